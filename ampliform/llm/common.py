@@ -84,12 +84,14 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes that no word holds: the space and \x09 to \x0D. Lower-casing touches A-Z alone.
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+#: Bytes that are no letter, digit or part of a longer character.
+PUNCTUATION = np.array([c < 0x80 and not chr(c).isalnum() for c in range(256)])
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+def word_hashes(text: bytes, blank: np.ndarray = BLANK) -> np.ndarray:
     """The hash of each word ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lower-cased, in order."""
     parts, at, n = [], 0, len(text)
     while at < n:
@@ -100,41 +102,41 @@ def word_hashes(text: bytes) -> np.ndarray:
                 end = min(n, end + SLICE)
                 cut_at = max(text.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
             end = cut_at + 1 if cut_at >= at and end < n else end
-        parts.append(_slice_words(text[at:end]))
+        parts.append(_slice_words(text[at:end], blank))
         at = end
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
-def _slice_words(text: bytes) -> np.ndarray:
+def _slice_words(text: bytes, blank: np.ndarray) -> np.ndarray:
     data = np.frombuffer(text.translate(_LOWER), np.uint8)
     solid = np.zeros(len(data) + 2, np.int8)
-    solid[1:-1] = ~_BLANK[data]
+    solid[1:-1] = ~blank[data]
     edge = np.diff(solid)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     p, down = prefix_hash(data)
     return mix((p[end] - p[start]) * down[start])
 
 
-def batched_words(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batched_words(texts: list[bytes], blank: np.ndarray = BLANK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, word hashes of the run, words per text) for runs of texts of about a slice."""
     first, size = 0, 0
     for i in range(len(texts) + 1):
         if i == len(texts) or size + len(texts[i]) > SLICE and i > first:
             if i > first:
                 if i - first == 1:
-                    w = word_hashes(texts[first])
+                    w = word_hashes(texts[first], blank)
                     yield first, w, np.array([len(w)])
                 else:
-                    yield first, *_run_words(texts[first:i])
+                    yield first, *_run_words(texts[first:i], blank)
             first, size = i, 0
         if i < len(texts):
             size += len(texts[i]) + 1
 
 
-def _run_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _run_words(texts: list[bytes], blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(texts).translate(_LOWER), np.uint8)
     solid = np.zeros(len(data) + 2, np.int8)
-    solid[1:-1] = ~_BLANK[data]
+    solid[1:-1] = ~blank[data]
     edge = np.diff(solid)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     p, down = prefix_hash(data)

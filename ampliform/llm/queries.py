@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, token_counts
+from . import bpe, exact_dedup, licenses, mixing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_sharding": sharding.op3_sharding,
+    "op5_licenses": licenses.op5_licenses,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op10_token_counts": token_counts.op10_token_counts,
 }
