@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Candidate boundaries for each splitter and round; rounds at most for each of the two hashes (64 bits each).
-PROBES, ROUNDS = 31, 16
+PROBES, ROUNDS = 255, 10
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -93,7 +93,10 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.02) -> list[tup
         out.append((h, _LOW))
         if upto > below:
             inner.setdefault(h, []).append((k, goals[k] - below))
+    several = {r.h for r in rows.where(F.col("h").isin(list(inner))).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").collect()} if inner else set()
     for h, wanted in inner.items():
+        if h not in several:  # a single row can't be split
+            continue
         found = _search(rows.where(F.col("h") == h), "g", [w for _, w in wanted], tolerance * total / shards)
         for (k, _), (g, _, _) in zip(wanted, found, strict=True):
             out[k] = (h, g)
