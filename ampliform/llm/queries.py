@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, mixing, sharding, token_counts, toxicity
+from . import bpe, exact_dedup, jaccard_join, licenses, mixing, repeats, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_repeats": repeats.op2_repeats,
     "op3_sharding": sharding.op3_sharding,
     "op5_licenses": licenses.op5_licenses,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLE = exact_dedup.ORACLE
+ORACLE = exact_dedup.ORACLE | jaccard_join.ORACLE
