@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, licenses, mixing, repeats, sharding, token_counts, toxicity
+from . import bpe, embedding_dedup, exact_dedup, jaccard_join, licenses, mixing, repeats, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_repeats": repeats.op2_repeats,
     "op3_sharding": sharding.op3_sharding,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_licenses": licenses.op5_licenses,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLE = exact_dedup.ORACLE | jaccard_join.ORACLE
+ORACLE = exact_dedup.ORACLE | embedding_dedup.ORACLE | jaccard_join.ORACLE
