@@ -3,8 +3,8 @@
 A text's features are its distinct words, word pairs and pairs with one word between, hashed into 2**28
 coordinates. The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their
 doc_id: the rows go to ``SHARDS`` tasks, each runs FTRL-proximal (per-coordinate rates, L1) over its rows from the
-common state, and the states are averaged after each pass. Features seen in fewer than ``SEEN`` sampled rows are not
-candidates. What is broadcast is bounded by the sample: candidate coordinates while fitting, then the few weights that
+common state, and the states are averaged after each pass. Features that fewer than ``SEEN`` rows of
+each task have are not candidates. What is broadcast is bounded by the sample: candidate coordinates while fitting, then the few weights that
 L1 left. Every row is scored, whole text.
 
 Edge cases: null and empty texts get the score of the bias alone; labels that are null are no examples; a doc_id
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import PUNCTUATION, batched_words, cut, fresh, mix, utf8
 
-#: Labelled rows that the model is fitted on at most; tasks; passes; the least number of sampled rows with a feature.
-SAMPLE, SHARDS, PASSES, SEEN = 12_000, 2, 10, 5
+#: Labelled rows that the model is fitted on at most; tasks; passes; the rows of one task that must have a feature.
+SAMPLE, SHARDS, PASSES, SEEN = 10_000, 2, 10, 4
 #: FTRL's rate, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.0
 _BITS = 28
@@ -71,14 +71,23 @@ def _examples(docs: DataFrame, labels: DataFrame, text: str, doc_id: str) -> Dat
 
 
 def _candidates(rows: DataFrame) -> np.ndarray:
+    """The features that SEEN rows of some shard have."""
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                f, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["feats"]]), return_counts=True)
-                yield pd.DataFrame({"f": f.astype(np.int64), "n": n})
+        for _, feats in _by_shard(batches):
+            f, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for _, x in feats]), return_counts=True)
+            yield pd.DataFrame({"f": f[n >= SEEN].astype(np.int64)})
+
+    return np.unique(rows.mapInPandas(count, "f long").toPandas()["f"].to_numpy(np.uint32))
+
 
-    counted = rows.select("feats").mapInPandas(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
-    return np.sort(counted.select("f").toPandas()["f"].to_numpy(np.uint32))
+def _by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """The (label, features) of each shard of a partition; the sample bounds them."""
+    held: dict[int, list[tuple[int, bytes]]] = {}
+    for pdf in batches:
+        for k, y, x in zip(pdf["shard"], pdf["y"], pdf["feats"], strict=True):
+            held.setdefault(int(k), []).append((int(y), x))
+    yield from held.items()
 
 
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -88,18 +97,19 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _learner(state):
     """One shard's pass from the common state, in an order drawn from the rows themselves."""
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, z, n, base = state.value
-        z, n = z.copy(), n.copy()
-        for y, raw in sorted(zip(pdf["y"], pdf["feats"], strict=True), key=lambda row: (zlib.crc32(row[1]), row)):
-            f = np.frombuffer(raw, np.uint32)
-            at = np.minimum(np.searchsorted(names, f), max(0, len(names) - 1))
-            at = np.append(at[names[at] == f] if len(names) else at[:0], len(names))  # the last one is the bias
-            w = _weights(z[at], n[at])
-            g = 1 / (1 + np.exp(-np.clip(w.sum() + base, -30, 30))) - y
-            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
-            n[at] += g * g
-        return pd.DataFrame({"z": [z.tobytes()], "n": [n.tobytes()]})
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, feats in _by_shard(batches):
+            names, z, n, base = state.value
+            z, n = z.copy(), n.copy()
+            for y, raw in sorted(feats, key=lambda row: (zlib.crc32(row[1]), row)):
+                f = np.frombuffer(raw, np.uint32)
+                at = np.minimum(np.searchsorted(names, f), max(0, len(names) - 1))
+                at = np.append(at[names[at] == f] if len(names) else at[:0], len(names))  # the last one is the bias
+                w = _weights(z[at], n[at])
+                g = 1 / (1 + np.exp(-np.clip(w.sum() + base, -30, 30))) - y
+                z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
+                n[at] += g * g
+            yield pd.DataFrame({"z": [z.tobytes()], "n": [n.tobytes()]})
 
     return learn
 
@@ -107,7 +117,7 @@ def _learner(state):
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, features sorted, their weights)."""
     spark = docs.sparkSession
-    rows = cut(_examples(docs, labels, text, doc_id))
+    rows = cut(_examples(docs, labels, text, doc_id).repartition(SHARDS, "shard"))  # dealt once, not in each pass
     seen, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     base = float(np.log((toxic + 0.5) / (seen - toxic + 0.5)))
     if toxic in (0, seen):
@@ -117,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     for _ in range(PASSES):
         state = spark.sparkContext.broadcast((names, z, n, base))
 
-        got = rows.groupBy("shard").applyInPandas(_learner(state), "z binary, n binary").collect()  # SHARDS states
+        got = rows.mapInPandas(_learner(state), "z binary, n binary").collect()  # SHARDS states
         z = np.mean([np.frombuffer(r.z) for r in got], axis=0)
         n = np.mean([np.frombuffer(r.n) for r in got], axis=0)
         state.unpersist()
