@@ -262,6 +262,30 @@ def _groups_of(contexts: DataFrame) -> DataFrame:
     return contexts.where("kind = 0").select("bucket", "h", "ctx", "t", "at", "left", "right").groupBy("bucket").applyInPandas(run, "h long, repeat long, length long, t long, start long")
 
 
+def _extents_of(contexts: DataFrame) -> DataFrame:
+    """(t, a, b): for each context the bytes from the first to the last that some repeat around its anchor covers."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts, starts, ends = [], [], []
+        pdf = pdf.drop_duplicates(["h", "ctx"]).sort_values("h", kind="stable")
+        h, t, at, lefts, rights = (pdf[c].to_numpy() for c in ("h", "t", "at", "left", "right"))
+        edges = np.flatnonzero(np.diff(h)) + 1
+        for a, b in zip([0, *edges], [*edges, len(h)], strict=True):
+            if b - a < 2:
+                continue
+            before, after = np.full(b - a, -1), np.zeros(b - a, np.int64)
+            for members, left, right in maximal_repeats(list(lefts[a:b]), list(rights[a:b])):
+                before[members] = np.maximum(before[members], left)
+                after[members] = np.maximum(after[members], right)
+            on = before >= 0
+            ts.append(t[a:b][on])
+            starts.append(at[a:b][on] - before[on])
+            ends.append(at[a:b][on] + after[on])
+        return pd.DataFrame({k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in (("t", ts), ("a", starts), ("b", ends))})
+
+    return contexts.where("kind = 0").select("bucket", "h", "ctx", "t", "at", "left", "right").groupBy("bucket").applyInPandas(run, "t long, a long, b long")
+
+
 def _hot_windows(contexts: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(pdf["right"]), np.uint64)
@@ -305,8 +329,7 @@ def repeat_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 def spans(texts: DataFrame) -> DataFrame:
     """(text_id, spans array of (a, b)): the bytes to remove of each distinct text, merged."""
     same, contexts = _plan(texts)
-    groups = _groups_of(contexts).groupBy("h", "t", "start").agg(F.max(F.col("start") + F.col("length")).alias("b")).select("t", F.col("start").alias("a"), "b")
-    covered = same.union(groups).union(_hot_windows(contexts))
+    covered = same.union(_extents_of(contexts)).union(_hot_windows(contexts))
     steps = covered.groupBy(F.col("t").alias("text_id")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
     # a span opens where no earlier one reaches: fold the sorted list
     joined = F.aggregate(
