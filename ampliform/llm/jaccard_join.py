@@ -19,6 +19,8 @@ never names a component unless all of its members' are null; extra columns are l
 from __future__ import annotations
 
 import math
+import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,19 +155,28 @@ def _repeated_tokens(docs: DataFrame, cls, similar: int, buckets: int) -> DataFr
     return packed.groupBy("bucket").applyInPandas(repeated, "h long, set_id long")
 
 
-def _tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, tokens) of the wanted sets."""
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, n, packed) of the wanted sets: a text of each, compressed, which is a third of its tokens' size."""
     maybe = lookup(docs.sparkSession, repeated_filter(wanted.union(wanted).toDF("key"), 2 * wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            found = [(k, s) for _, s in shingle_sets(utf8(b.column(1))) if (k := set_id(s)) not in seen and (seen.add(k) or True)]
-            hit = maybe(np.array([k for k, _ in found], np.int64)) if found else []
-            rows = [(k, s.tobytes()) for (k, s), y in zip(found, hit, strict=True) if y]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["set_id", "tokens"])
+            texts, rows = utf8(b.column(1)), []
+            for i, s in shingle_sets(texts):
+                if (k := set_id(s)) not in seen:
+                    seen.add(k)
+                    if maybe(np.array([k], np.int64))[0]:
+                        rows.append((k, len(s), zlib.compress(texts[i], 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["set_id", "n", "packed"])
+
+    return docs.mapInArrow(run, "set_id long, n long, packed binary").dropDuplicates(["set_id"]).join(wanted, "set_id", "left_semi")
+
 
-    return docs.mapInArrow(run, "set_id long, tokens binary").dropDuplicates(["set_id"]).join(wanted, "set_id", "left_semi")
+@functools.lru_cache(maxsize=256)
+def _unpack(packed: bytes) -> np.ndarray:
+    """The tokens of a compressed text."""
+    return next(shingle_sets([zlib.decompress(packed)]))[1]
 
 
 def _linked(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
@@ -175,21 +186,24 @@ def _linked(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
     return 100 * both >= similar * (len(a) + len(b) - both)
 
 
-def _star_links(repeated: DataFrame, tokens: DataFrame, similar: int) -> DataFrame:
+def _star_links(repeated: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Verified links of sets to the first set that shares a prefix token."""
     first = repeated.groupBy("h").agg(F.min("set_id").alias("dst"))
     pairs = repeated.join(first, "h").where("set_id <> dst").select(F.col("set_id").alias("src"), "dst").distinct()
-    t = tokens.select(F.col("set_id").alias("src"), F.col("tokens").alias("a"))
-    u = tokens.select(F.col("set_id").alias("dst"), F.col("tokens").alias("b"))
+    size = sets.select(F.col("set_id").alias("src"), F.col("n").alias("m")), sets.select(F.col("set_id").alias("dst"), "n")
+    # sizes first: what they rule out is never joined to its texts
+    pairs = pairs.join(size[0], "src").join(size[1], "dst").where(100 * F.least("m", "n") >= similar * F.greatest("m", "n")).select("src", "dst")
+    t = sets.select(F.col("set_id").alias("src"), F.col("packed").alias("a"))
+    u = sets.select(F.col("set_id").alias("dst"), F.col("packed").alias("b"))
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similar) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([_linked(_unpack(x), _unpack(y), similar) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     return pairs.join(t, "src").join(u, "dst").where(linked("a", "b")).select("src", "dst")
 
 
-def _opened_links(repeated: DataFrame, tokens: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
+def _opened_links(repeated: DataFrame, sets: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
     """A link of each query into each chunk of a larger group that holds one."""
     named = repeated.join(groups, repeated.set_id == groups.node, "left").select("h", "set_id", F.coalesce("component", "set_id").alias("g"))
     members = cut(named.select("set_id", "g").distinct())
@@ -201,8 +215,8 @@ def _opened_links(repeated: DataFrame, tokens: DataFrame, groups: DataFrame, sim
     buckets = max(16, queries.count() // 1000)
     chunks = F.ceil(F.col("size") / MEMBERS)
     bucket = lambda: F.pmod(F.xxhash64("g", "chunk"), F.lit(buckets)).alias("bucket")
-    asked = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).join(tokens, "set_id").select(bucket(), "g", "chunk", "set_id", "tokens")
-    held = members.join(queries.select("g", "size").distinct(), "g").withColumn("chunk", F.pmod(F.xxhash64("set_id"), chunks)).join(tokens, "set_id").select(bucket(), "g", "chunk", "set_id", "tokens")
+    asked = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).join(sets, "set_id").select(bucket(), "g", "chunk", "set_id", "packed")
+    held = members.join(queries.select("g", "size").distinct(), "g").withColumn("chunk", F.pmod(F.xxhash64("set_id"), chunks)).join(sets, "set_id").select(bucket(), "g", "chunk", "set_id", "packed")
 
     def open_groups(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -210,27 +224,27 @@ def _opened_links(repeated: DataFrame, tokens: DataFrame, groups: DataFrame, sim
         for key, ask in q.groupby(["g", "chunk"]):
             if (part := by.get(key)) is None:
                 continue
-            sets = [np.frombuffer(t, np.uint64) for t in part["tokens"]]
-            size, ids = np.array([len(s) for s in sets]), part["set_id"].to_numpy()
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            held_sets = [_unpack(t) for t in part["packed"]]
+            size, ids = np.array([len(s) for s in held_sets]), part["set_id"].to_numpy()
+            flat, owner = np.concatenate(held_sets), np.repeat(np.arange(len(held_sets)), size)
             order = np.argsort(flat, kind="stable")
             union, start = np.unique(flat[order], return_index=True)
             owner, stop = owner[order], np.append(start[1:], len(flat))
-            for s, raw in zip(ask["set_id"], ask["tokens"], strict=True):
-                t = np.frombuffer(raw, np.uint64)
+            for s, raw in zip(ask["set_id"], ask["packed"], strict=True):
+                t = _unpack(raw)
                 at = np.minimum(np.searchsorted(union, t), len(union) - 1)
                 at = at[union[at] == t]
                 if 100 * len(at) < similar * len(t):
                     continue  # the bound: no member can link
                 n = stop[at] - start[at]
                 places = np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                both = np.bincount(owner[places], minlength=len(sets))
+                both = np.bincount(owner[places], minlength=len(held_sets))
                 hit = np.flatnonzero(100 * both >= similar * (len(t) + size - both))
                 if len(hit):
                     found.append((int(s), int(ids[hit[0]])))
         return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
-    names = ("bucket", "g", "chunk", "set_id", "tokens")  # as new columns: both sides come from one table
+    names = ("bucket", "g", "chunk", "set_id", "packed")  # as new columns: both sides come from one table
     return asked.toDF(*names).groupBy("bucket").cogroup(held.toDF(*names).groupBy("bucket")).applyInPandas(open_groups, "src long, dst long")
 
 
@@ -242,9 +256,9 @@ def join_classes(docs: DataFrame, similar: int = SIMILAR, text: str = "text", do
     cls = spark.sparkContext.broadcast(_order(both.where("seg is not null").select("seg", "at", "count")))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     repeated = cut(_repeated_tokens(texts, cls, similar, max(16, total // 1_000_000)))
-    tokens = cut(_tokens_of(texts, repeated.select("set_id").distinct()))
-    stars = cut(_star_links(repeated, tokens, similar))
-    opened = cut(_opened_links(repeated, tokens, connected_components(stars), similar))
+    sets = cut(_texts_of(texts, repeated.select("set_id").distinct()))
+    stars = cut(_star_links(repeated, sets, similar))
+    opened = cut(_opened_links(repeated, sets, connected_components(stars), similar))
     found = connected_components(stars.union(opened))
     least = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = least.join(found, least.set_id == found.node, "left").select("set_id", "least", F.coalesce("component", "set_id").alias("root"))
