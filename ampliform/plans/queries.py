@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import records, sequence
-from ..operators import alignments, curation, graph, significance
+from ..operators import alignments, curation, graph, pairwise, runs, significance
 from .derived import CELLS, load, oracle
 
 QUERIES: dict = {}
@@ -71,7 +71,7 @@ def homopolymer_runs(spark, d):
 
 @query(oracle("select len, count(*) as n_reads, sum(len)::bigint as bases from (select length(seq) as len from reads) group by len"))
 def length_histogram(spark, d):
-    return load(spark, d, "reads").groupBy(F.length("seq").alias("len")).agg(F.count("*").alias("n_reads"), F.sum(F.length("seq")).alias("bases"))
+    return load(spark, d, "reads").groupBy(F.length("seq").cast("long").alias("len")).agg(F.count("*").alias("n_reads"), F.sum(F.length("seq")).alias("bases"))
 
 
 @query(oracle("select seq, count(*) as copies, min(read_id) as first, specimen from reads group by specimen, seq"))
@@ -126,7 +126,7 @@ def columns_without_majority(spark, d):
 _MASK = "case base when 'A' then 1 when 'C' then 2 when 'G' then 4 when 'T' then 8 else 0 end"
 
 
-@query(oracle(f"""select specimen, string_agg(code, '' order by pos) as consensus, count_if(code not in ('A', 'C', 'G', 'T')) as n_ambiguous
+@query(oracle(f"""select specimen, string_agg(code, '' order by pos) as consensus, count_if(code not in ('A', 'C', 'G', 'T'))::bigint as n_ambiguous
     from (select specimen, pos, substr('ACMGRSVTWYHKDBN', mask, 1) as code, first from (
       select specimen, pos, bit_or(case when r = 1 or base <> '-' and (n >= 3 and n >= total * 0.1 or bases >= 2 and top * 2 <= bases) then {_MASK} else 0 end)::int as mask, max(case when r = 1 then base end) as first
       from (select *, sum(case when base <> '-' then n end) over (partition by specimen, pos) as bases, max(case when base <> '-' then n end) over (partition by specimen, pos) as top from ranked) group by all)
@@ -135,7 +135,7 @@ def ambiguous_consensus(spark, d):
     return alignments.ambiguous_consensus(_comp(spark, d), "specimen", 0.1, 3)
 
 
-@query(oracle(f"""select specimen, string_agg(substr('ACMGRSVTWYHKDBN', mask, 1), '' order by pos) as consensus, count_if(mask not in (1, 2, 4, 8)) as snp_count
+@query(oracle(f"""select specimen, string_agg(substr('ACMGRSVTWYHKDBN', mask, 1), '' order by pos) as consensus, count_if(mask not in (1, 2, 4, 8))::bigint as snp_count
     from (select specimen, pos, bit_or({_MASK})::int as mask, sum(w) as everything, sum(case when base <> '-' then w else 0 end) as bases
           from cells join (select read_id, price % 9 + 1 as w from msa) using (read_id) group by all) where bases >= everything * 0.5 and bases >= 3 group by specimen""", CELLS))
 def weighted_consensus(spark, d):
@@ -386,3 +386,69 @@ def low_yield_specimens(spark, d):
     s = load(spark, d, "variants").groupBy("specimen").agg(F.sum("size").alias("reads"), F.round(100.0 * F.sum(F.when(ok, F.col("size")).otherwise(0)) / F.sum("size"), 6).alias("yield_pct"))
     limit = s.agg(F.percentile("yield_pct", F.lit(0.25)).alias("limit"))
     return s.join(F.broadcast(limit), F.col("yield_pct") < F.col("limit")).drop("limit")
+
+
+# ---- pairwise alignment
+
+
+@query(oracle("""select donor, a.read_id, levenshtein(a.seq, b.seq)::bigint as edits from few a join (select donor, arg_min(seq, read_id) as seq from few group by donor) b using (donor)""", _FEW.replace("select specimen", "select donor").replace("group by specimen", "group by donor")))
+def variant_differences(spark, d):
+    few = _few(spark, d)
+    ref = few.groupBy("donor").agg(F.min_by("seq", "read_id").alias("ref"))
+    x = few.join(ref, "donor").withColumn("x", pairwise.differences("seq", "ref"))
+    return x.select("donor", "read_id", F.col("x.edits").cast("long").alias("edits"))
+
+
+@query()
+def difference_tags(spark, d):
+    few = _few(spark, d)
+    ref = few.groupBy("donor").agg(F.min_by("seq", "read_id").alias("ref"))
+    x = few.join(ref, "donor").withColumn("x", pairwise.differences("seq", "ref"))
+    return x.select("donor", "read_id", "x.subs", "x.indel1", "x.indel3", "x.indel_long", F.array_join("x.tags", ",").alias("tags"), F.round("x.run_distance", 6).alias("run_distance"))
+
+
+@query()
+def read_orientation(spark, d):
+    r = load(spark, d, "reads").withColumn("rc", sequence.reverse_complement(F.col("seq")))
+    o = r.withColumn("strand", pairwise.orientation(F.col("seq"), F.col("rc"), "ACGTACGTAC", "GTRCGTACGT", 2, 40))
+    return o.groupBy("strand").agg(F.count("*").alias("n_reads"))
+
+
+# ---- homopolymer runs and recombinants
+
+_RUNS = """isle as (select *, sum(new) over (partition by specimen order by pos) as run from (select specimen, pos, c, case when c <> coalesce(lag(c) over (partition by specimen order by pos), '') then 1 else 0 end as new from c where c <> '-')),
+      cruns as (select specimen, pos, c as run_base, min(pos) over (partition by specimen, run) as start, count(*) over (partition by specimen, run) as length from isle),
+      obs as (select specimen, start, run_base, length, read_id, count_if(base = run_base)::bigint as called, count_if(base <> '-' and base <> run_base) as other from cells join cruns using (specimen, pos) where length >= 2 group by all),
+      ctx as (select run_base, length, count(*) as n, avg((called = length)::int) as correct, avg((called = length - 1)::int) as minus1, avg(called) as mean, stddev_pop(called) as std from obs where other = 0 and called > 0 group by all)"""
+
+
+@query(oracle("select run_base, length, n, round(correct, 6) as correct, round(minus1, 6) as minus1, round(mean, 6) as mean, round(std, 6) as std from ctx", CELLS, _RID, _RUNS))
+def run_contexts(spark, d):
+    c = runs.by_context(runs.observations(load(spark, d, "msa"), "specimen", "read_id", "row_aln"))
+    return c.select("run_base", "length", "n", *(F.round(x, 6).alias(x) for x in ("correct", "minus1", "mean", "std")))
+
+
+@query(oracle("select concat('hp-l', length) as key, round(sum((1 - correct ** (1.0::double / length)) * n) / sum(n), 6) as rate from ctx where length <= 5 group by length", CELLS, _RID, _RUNS))
+def run_rates(spark, d):
+    c = runs.by_context(runs.observations(load(spark, d, "msa"), "specimen", "read_id", "row_aln"))
+    return runs.rates(c).withColumn("rate", F.round("rate", 6))
+
+
+@query(oracle("""select specimen, start from (select specimen, start, run_base, length, n, sum(n) over (partition by specimen, start) as everything, row_number() over (partition by specimen, start order by n desc, called) as r
+    from (select specimen, start, run_base, length, called, count(*) as n from obs where other = 0 and called > 0 group by all)) join (select run_base, length, 1 - correct as wrong from ctx) using (run_base, length)
+    where r = 2 and everything >= 20 and n > everything * 0.01 and n / everything::double > 0.5 * wrong""", CELLS, _RID, _RUNS))
+def bimodal_runs(spark, d):
+    obs = runs.observations(load(spark, d, "msa"), "specimen", "read_id", "row_aln")
+    return runs.bimodal(obs, runs.by_context(obs), "specimen", 0.01, 0.5).withColumn("start", F.col("start").cast("long"))
+
+
+@query(oracle("""select specimen, count_if(base = run_base)::bigint as matches, count_if(base <> run_base and base <> '-')::bigint as subs, count_if(base = '-')::bigint as dels, count(distinct read_id) as reads
+    from cells join cruns using (specimen, pos) where length = 1 group by specimen""", CELLS, _RID, _RUNS))
+def other_errors(spark, d):
+    return runs.other_errors(load(spark, d, "msa"), "specimen", "read_id", "row_aln")
+
+
+@query()
+def chimeras(spark, d):
+    v = load(spark, d, "msa").groupBy("donor", F.col("row_aln")).agg(F.min("read_id").alias("read_id"), (F.count("*") * 1000 + F.max(F.col("price") % 997)).alias("size"))
+    return runs.chimeras(v, "donor", "read_id", "size", "row_aln")
