@@ -209,8 +209,9 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], need: int = NEED) -
         shared = np.minimum.reduceat(between, ranks[:-1]) if ranks[-1] == n - 1 else np.minimum.reduceat(between, ranks)[:-1]
         if shared.max() + right < need:
             continue
-        for left, a, b in _intervals([int(x) if x + right >= need else 0 for x in shared]):
-            yield [by_left[r] for r in ranks[a : b + 1]], left, right
+        # one more than the left length, as an interval of length 0 counts too
+        for left, a, b in _intervals([int(x) + 1 if x + right >= need else 0 for x in shared]):
+            yield [by_left[r] for r in ranks[a : b + 1]], left - 1, right
 
 
 def _contexts(docs: DataFrame, maybe, hot, buckets: int) -> DataFrame:
