@@ -72,16 +72,20 @@ def _classes_and_sketch(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: (doc_id, n, set_id) of each document, and (seg, at, count) pieces of the token counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int32)
+        total = np.zeros(CELLS, np.int64)
         names = ["doc_id", "n", "set_id", "seg", "at", "count"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for b in batches:
-            n, ids = [0] * b.num_rows, [None] * b.num_rows
+            n, ids, held, size = [0] * b.num_rows, [None] * b.num_rows, [], 0
             for i, s in shingle_sets(utf8(b.column(1))):
                 n[i], ids[i] = len(s), set_id(s)
-                total += np.bincount((s >> np.uint64(43)).astype(np.int64), minlength=CELLS) if len(s) > 100_000 else 0
-                if len(s) <= 100_000:
-                    np.add.at(total, (s >> np.uint64(43)).astype(np.int64), 1)
+                held.append(s >> np.uint64(43))
+                size += len(s)
+                if size > 1_000_000:
+                    total += np.bincount(np.concatenate(held).view(np.int64), minlength=CELLS)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held).view(np.int64), minlength=CELLS)
             none = pa.nulls(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, kinds[1]), pa.array(ids, kinds[2]), *(none.cast(k) for k in kinds[3:])], names=names)
         out = []
@@ -89,7 +93,7 @@ def _classes_and_sketch(docs: DataFrame) -> DataFrame:
             part = total[seg * _SEGMENT : (seg + 1) * _SEGMENT]
             at = np.flatnonzero(part)
             if len(at):
-                out.append((seg, at.astype(np.uint16).tobytes(), part[at].tobytes()))
+                out.append((seg, at.astype(np.uint16).tobytes(), part[at].astype(np.int32).tobytes()))
         none = pa.nulls(len(out))
         yield pa.RecordBatch.from_arrays([*(none.cast(k) for k in kinds[:3]), *(pa.array([o[j] for o in out], kinds[3 + j]) for j in range(3))], names=names)
 
@@ -118,41 +122,70 @@ def _prefix(tokens: np.ndarray, cls: np.ndarray, similar: int) -> np.ndarray:
     return tokens[order[:keep]]
 
 
+#: Sizes and places go along in a byte each: a size as its logarithm to this base, a place as a share of the size, both rounded down.
+_STEP = np.log(1.05)
+
+
+def _may_link(ni, pi, nj, pj, similar: int):
+    """Whether sets of sizes ni and nj may link if their first common token stands at pi and pj: what is left of each must hold
+    the overlap that two sets of these sizes need."""
+    need = similar / (100 + similar) * (ni + nj) - 1e-6
+    return (ni - pi >= need) & (nj - pj >= need)
+
+
+def _may_link_bytes(n: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, similar: int) -> np.ndarray:
+    """The same from rounded sizes and places, never stricter."""
+    low, high = np.exp(n * _STEP) - 1, np.exp((n + 1) * _STEP) + 1
+    share = similar / (100 + similar)
+    fit = lambda i, j: high[i] * (1 - share) - low[i] * (p[i] / 256.0) >= share * low[j]
+    return fit(a, b) & fit(b, a)
+
+
 def _repeated_tokens(docs: DataFrame, cls, similar: int, buckets: int) -> DataFrame:
-    """(h, set_id) of the prefix tokens that two or more sets have."""
+    """(h, set_id, share) of the prefix tokens that two or more sets have; share: the token's place in its set's order, in 256ths.
+
+    Of a token that just two sets have, both go if their sizes and places rule a link out.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            hs, ids = [], []
+            hs, ids, ns, ps = [], [], [], []
             for _, s in shingle_sets(utf8(b.column(1))):
                 if (k := set_id(s)) not in seen:
                     seen.add(k)
                     hs.append(_prefix(s, cls.value, similar))
-                    ids.append(np.full(len(hs[-1]), k, np.int64))
+                    m = len(hs[-1])
+                    ids.append(np.full(m, k, np.int64))
+                    ns.append(np.full(m, min(255, int(np.log(len(s)) / _STEP)), np.uint8))
+                    ps.append((np.arange(m) * 256 // len(s)).astype(np.uint8))
             if not hs:
                 continue
-            h, i = np.concatenate(hs), np.concatenate(ids)
-            hot = cls.value[(h >> np.uint64(43)).astype(np.int64)] >= _HOT
-            to = (mix(np.where(hot, h ^ i.view(np.uint64), h)) % np.uint64(buckets)).astype(np.int64)
-            out = list(group_rows({"h": h, "i": i}, to))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v["h"].tobytes() for _, v in out], pa.binary()), pa.array([v["i"].tobytes() for _, v in out], pa.binary())], names=["bucket", "h", "i"])
+            v = {"h": np.concatenate(hs), "i": np.concatenate(ids), "n": np.concatenate(ns), "p": np.concatenate(ps)}
+            hot = cls.value[(v["h"] >> np.uint64(43)).astype(np.int64)] >= _HOT
+            to = (mix(np.where(hot, v["h"] ^ v["i"].view(np.uint64), v["h"])) % np.uint64(buckets)).astype(np.int64)
+            out = list(group_rows(v, to))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), *(pa.array([x[c].tobytes() for _, x in out], pa.binary()) for c in "hinp")], names=["bucket", *"hinp"])
 
     def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, i = np.frombuffer(b"".join(pdf["h"]), np.uint64), np.frombuffer(b"".join(pdf["i"]), np.int64)
+        h, i, n, p = (np.frombuffer(b"".join(pdf[c]), t) for c, t in zip("hinp", (np.uint64, np.int64, np.uint8, np.uint8), strict=True))
         order = np.lexsort((i, h))
         h, i = h[order], i[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (i[1:] != i[:-1])
-        h, i = h[new], i[new]
-        same = h[1:] == h[:-1]
-        keep = cls.value[(h >> np.uint64(43)).astype(np.int64)] >= _HOT
-        keep[1:] |= same
-        keep[:-1] |= same
-        return pd.DataFrame({"h": h[keep].view(np.int64), "set_id": i[keep]})
+        h, i, n, p = h[new], i[new], n[order][new].astype(np.float64), p[order][new]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        at = np.flatnonzero(first)
+        size = np.diff(np.append(at, len(h)))
+        two = at[size == 2]
+        keep = np.repeat(size > 2, size) | (cls.value[(h >> np.uint64(43)).astype(np.int64)] >= _HOT)
+        fits = _may_link_bytes(n, p, two, two + 1, similar)
+        keep[two[fits]] = keep[two[fits] + 1] = True
+        return pd.DataFrame({"h": h[keep].view(np.int64), "set_id": i[keep], "share": p[keep].astype(np.int32)})
 
-    packed = docs.mapInArrow(pack, "bucket int, h binary, i binary")
-    return packed.groupBy("bucket").applyInPandas(repeated, "h long, set_id long")
+    packed = docs.mapInArrow(pack, "bucket int, h binary, i binary, n binary, p binary")
+    return packed.groupBy("bucket").applyInPandas(repeated, "h long, set_id long, share int")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -188,11 +221,9 @@ def _linked(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
 
 def _star_links(repeated: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Verified links of sets to the first set that shares a prefix token."""
-    first = repeated.groupBy("h").agg(F.min("set_id").alias("dst"))
-    pairs = repeated.join(first, "h").where("set_id <> dst").select(F.col("set_id").alias("src"), "dst").distinct()
-    size = sets.select(F.col("set_id").alias("src"), F.col("n").alias("m")), sets.select(F.col("set_id").alias("dst"), "n")
-    # sizes first: what they rule out is never joined to its texts
-    pairs = pairs.join(size[0], "src").join(size[1], "dst").where(100 * F.least("m", "n") >= similar * F.greatest("m", "n")).select("src", "dst")
+    first = repeated.groupBy("h").agg(F.min(F.struct("set_id", "n", "p")).alias("d"))
+    pairs = repeated.join(first, "h").where((F.col("set_id") != F.col("d.set_id")) & _may_link(F.col("n"), F.col("p"), F.col("d.n"), F.col("d.p"), similar))
+    pairs = pairs.select(F.col("set_id").alias("src"), F.col("d.set_id").alias("dst")).distinct()
     t = sets.select(F.col("set_id").alias("src"), F.col("packed").alias("a"))
     u = sets.select(F.col("set_id").alias("dst"), F.col("packed").alias("b"))
 
@@ -205,13 +236,16 @@ def _star_links(repeated: DataFrame, sets: DataFrame, similar: int) -> DataFrame
 
 def _opened_links(repeated: DataFrame, sets: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
     """A link of each query into each chunk of a larger group that holds one."""
-    named = repeated.join(groups, repeated.set_id == groups.node, "left").select("h", "set_id", F.coalesce("component", "set_id").alias("g"))
+    named = repeated.join(groups, repeated.set_id == groups.node, "left").select("h", "set_id", "n", "p", F.coalesce("component", "set_id").alias("g"))
     members = cut(named.select("set_id", "g").distinct())
     sizes = cut(members.groupBy("g").agg(F.count("*").alias("size")))
     rows = named.join(sizes, "g")
-    index = rows.select("h", F.col("g").alias("to"), F.col("size").alias("to_size")).distinct()
+    index = rows.groupBy("h", F.col("g").alias("to"), F.col("size").alias("to_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("p").alias("to_p"))
     larger = (F.col("to_size") > F.col("size")) | (F.col("to_size") == F.col("size")) & (F.col("to") < F.col("g"))
-    queries = cut(rows.join(index, "h").where(larger & (F.col("to") != F.col("g"))).select("set_id", F.col("to").alias("g"), F.col("to_size").alias("size")).distinct())
+    # the bound of _may_link at the size of a member that favours it
+    share = similar / (100 + similar)
+    fits = (F.col("n") - F.col("p") >= share * (F.col("n") + F.col("least")) - 1e-6) & ((1 - share) * F.col("most") - F.col("to_p") >= share * F.col("n") - 1e-6)
+    queries = cut(rows.join(index, "h").where(larger & fits & (F.col("to") != F.col("g"))).select("set_id", F.col("to").alias("g"), F.col("to_size").alias("size")).distinct())
     buckets = max(16, queries.count() // 1000)
     chunks = F.ceil(F.col("size") / MEMBERS)
     bucket = lambda: F.pmod(F.xxhash64("g", "chunk"), F.lit(buckets)).alias("bucket")
@@ -255,7 +289,9 @@ def join_classes(docs: DataFrame, similar: int = SIMILAR, text: str = "text", do
     rows = both.where("seg is null").select("doc_id", "n", "set_id")
     cls = spark.sparkContext.broadcast(_order(both.where("seg is not null").select("seg", "at", "count")))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    repeated = cut(_repeated_tokens(texts, cls, similar, max(16, total // 1_000_000)))
+    own = rows.where("set_id is not null").groupBy("set_id").agg(F.max("n").alias("n"))
+    repeated = _repeated_tokens(texts, cls, similar, max(16, total // 1_000_000)).join(own, "set_id")
+    repeated = cut(repeated.select("h", "set_id", "n", F.floor(F.col("share") * F.col("n") / 256).alias("p")))
     sets = cut(_texts_of(texts, repeated.select("set_id").distinct()))
     stars = cut(_star_links(repeated, sets, similar))
     opened = cut(_opened_links(repeated, sets, connected_components(stars), similar))
