@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched_words, connected_components, cut, fresh, group_rows, mix, utf8
+from .common import batched_words, connected_components, cut, fresh, group_rows, mix, pieces, utf8
 from .exact_dedup import lookup, repeated_filter
 
 #: Words of a shingle, the similarity in hundredths, counters of the sketch, sets of a chunk of a group.
@@ -75,7 +75,7 @@ def _classes_and_sketch(docs: DataFrame) -> DataFrame:
         total = np.zeros(CELLS, np.int64)
         names = ["doc_id", "n", "set_id", "seg", "at", "count"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        for b in batches:
+        for b in pieces(batches, 2048):
             n, ids, held, size = [0] * b.num_rows, [None] * b.num_rows, [], 0
             for i, s in shingle_sets(utf8(b.column(1))):
                 n[i], ids[i] = len(s), set_id(s)
@@ -149,7 +149,7 @@ def _repeated_tokens(docs: DataFrame, cls, similar: int, buckets: int) -> DataFr
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in pieces(batches, 2048):
             hs, ids, ns, ps = [], [], [], []
             for _, s in shingle_sets(utf8(b.column(1))):
                 if (k := set_id(s)) not in seen:
@@ -194,7 +194,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in pieces(batches, 2048):
             texts, rows = utf8(b.column(1)), []
             for i, s in shingle_sets(texts):
                 if (k := set_id(s)) not in seen:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, cut, group_rows, mix, prefix_hash, utf8
+from .common import SLICE, cut, group_rows, mix, pieces, prefix_hash, utf8
 from .exact_dedup import lookup, repeated_filter
 
 #: Bytes of a repeat, bytes of an anchor, contexts of a bucket that one task takes.
@@ -123,7 +123,7 @@ def _suffixes(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in pieces(batches):
             texts, ids = _new(utf8(b.column(1)), seen)
             parts = [{"h": a.h, "ctx": a.ctx, "t": ids[rows[a.row]], "at": a.at, "before": a.before, "after": a.after} for rows, a in anchors(texts)]
             if not parts:
@@ -221,7 +221,7 @@ def _contexts(docs: DataFrame, maybe, hot, buckets: int) -> DataFrame:
         seen: set[int] = set()
         met: set[tuple[int, int]] = set()
         names = ["kind", "bucket", "h", "ctx", "t", "at", "left", "right"]
-        for b in batches:
+        for b in pieces(batches):
             texts, ids = _new(utf8(b.column(1)), seen)
             out, windows = [], []
             for rows, a in anchors(texts):
@@ -342,12 +342,13 @@ def spans(texts: DataFrame) -> DataFrame:
     return steps.select("text_id", joined.alias("spans"))
 
 
-def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes; null if all of the text remains) of each row."""
+def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bytes_too: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (with ``bytes_too`` the remaining bytes; null if all of the
+    text remains) of each row."""
     texts = _texts(docs, text, doc_id)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             t = utf8(b.column(1))
             yield pa.RecordBatch.from_arrays([pa.array([text_id(x) for x in t], pa.int64()), pa.array([len(x) for x in t], pa.int64())], names=["text_id", "n"])
 
@@ -358,7 +359,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     maybe = lookup(texts.sparkSession, repeated_filter(keys.union(keys), 2 * gone.count()))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             t = utf8(b.column(1))
             k = np.array([text_id(x) for x in t], np.int64)
             hit = maybe(k)
@@ -374,7 +375,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     touched = routed.where("raw is not null").select("doc_id", "text_id", "n_bytes", "raw").join(gone, "text_id", "left").select("doc_id", "n_bytes", "raw", "spans")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             n, k, sha, kept = [], [], [], []
             for raw, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 edges = [0, *(e for x in s or () for e in (x["a"], x["b"])), len(raw)]
@@ -382,7 +383,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
                 n.append(len(raw) - len(rest))
                 k.append(len(s or ()))
                 sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest if s else None)
+                kept.append(rest if s and bytes_too else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -390,4 +391,4 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"), bytes_too=False).drop("kept")
