@@ -287,7 +287,9 @@ def _extents_of(contexts: DataFrame) -> DataFrame:
     return contexts.where("kind = 0").select("bucket", "h", "ctx", "t", "at", "left", "right").groupBy("bucket").applyInPandas(run, "t long, a long, b long")
 
 
-def _hot_windows(contexts: DataFrame) -> DataFrame:
+def _hot_windows(contexts: DataFrame, buckets: int = 64) -> DataFrame:
+    """(t, a, b): windows that repeat, counted by their hash, then brought together by text, packed, and merged."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(pdf["right"]), np.uint64)
         pairs = [np.frombuffer(x, np.int64).reshape(2, -1) for x in pdf["left"]]
@@ -300,9 +302,21 @@ def _hot_windows(contexts: DataFrame) -> DataFrame:
         on = np.zeros(len(h), bool)
         on[1:] = h[1:] == h[:-1]
         on[:-1] |= h[1:] == h[:-1]
-        return pd.DataFrame({"t": t[on], "a": s[on], "b": s[on] + NEED})
-
-    return contexts.where("kind = 1").select("bucket", "left", "right").groupBy("bucket").applyInPandas(run, "t long, a long, b long")
+        t, s = t[on], s[on]
+        out = [(k, v["t"].tobytes(), v["s"].tobytes()) for k, v in group_rows({"t": t, "s": s}, (mix(t.view(np.uint64)) % np.uint64(buckets)).astype(np.int64))]
+        return pd.DataFrame(out, columns=["to", "t", "s"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, s = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("t", "s"))
+        order = np.lexsort((s, t))
+        t, s = t[order], s[order]
+        first = np.ones(len(t), bool)
+        first[1:] = (t[1:] != t[:-1]) | (s[1:] - s[:-1] > NEED)
+        last = np.append(first[1:], True)
+        return pd.DataFrame({"t": t[first], "a": s[first], "b": s[last] + NEED})
+
+    packed = contexts.where("kind = 1").select("bucket", "left", "right").groupBy("bucket").applyInPandas(run, "to long, t binary, s binary")
+    return packed.groupBy("to").applyInPandas(join, "t long, a long, b long")
 
 
 def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
