@@ -3,9 +3,10 @@
 Equal vectors are one class. The neighbour graph begins with lists of ``K`` found in blocks of a few random
 hyperplane codes, and is refined by local joins: each round brings together, at every vector, its neighbours and those
 that have it as a neighbour, and each pair that improves a list enters it, until hardly any does. Pairs at or above the
-threshold, checked in double precision, are links. A list that is full of links is saturated: it is
-enlarged to its whole component, whose members are compared in blocks, so the number of links is exact within what was
-found and no pair of a large group is ever a row. Recall is audited against brute force over a fixed
+threshold, checked in double precision, are links. Lists may be full of nearer vectors, so
+their components are joined by an exact comparison: each is split into narrow pieces, all pieces' centres are compared
+in blocks, and the members of pieces of two components where the triangle inequality admits a link. Members of a
+component are compared in blocks to count links, so no pair of a large group is ever a row. Recall is audited against brute force over a fixed
 share of vectors (``AUDIT`` at most); below ``RECALL`` the graph takes in lists from more codes and is refined again.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of
@@ -27,6 +28,8 @@ from .common import connected_components, cut
 
 #: Length of a list, codes to begin with, vectors of a block, rounds, share of lists' entries that ends them.
 K, CODES, BLOCK, ROUNDS, STILL = 10, 4, 512, 4, 0.02
+#: The widest angle (radians) between the first vector of a piece and another.
+NARROW = 0.25
 #: Vectors of the audit, recall to reach, times that codes are added.
 AUDIT, RECALL, MORE = 256, 0.99, 3
 
@@ -144,6 +147,76 @@ def _links(lists: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").where(cosine("a", "b") >= threshold).select("src", "dst")
 
 
+def _pieces(parts: DataFrame, units: DataFrame) -> DataFrame:
+    """(piece, component, v, centre, radius, ids): the classes of each component in pieces of ``BLOCK`` at most, none
+    further than ``NARROW`` from the piece's first; a class outside all components is a piece of its own."""
+    named = units.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "v", F.coalesce("component", "id").alias("component"))
+    sizes = named.groupBy("component").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("slices"))
+    dealt = named.join(sizes, "component").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("component", "slice"), F.lit(max(16, units.count() // 2000))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (component, _, size), g in pdf.groupby(["component", "slice", pdf["v"].str.len()]):
+            x, ids, raw = _unit(g["v"]), g["id"].to_numpy(), g["v"].to_numpy()
+            left = np.arange(len(ids))
+            while len(left):
+                angle = np.arccos(np.clip(x[left] @ x[left[0]], -1, 1))
+                angle[0] = 0
+                near = np.flatnonzero(angle <= NARROW)[:BLOCK]
+                own = left[near]
+                out.append((int(ids[own[0]]), int(component), b"".join(raw[own]), raw[own[0]], float(angle[near].max()), ids[own].astype(np.int64).tobytes()))
+                left = np.delete(left, near)
+        return pd.DataFrame(out, columns=["piece", "component", "v", "centre", "radius", "ids"])
+
+    return dealt.select("bucket", "component", "slice", "id", "v").groupBy("bucket").applyInPandas(run, "piece long, component long, v binary, centre binary, radius double, ids binary")
+
+
+def _bridges(parts: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """Links between components, whatever the lists hold: one of each two pieces that have any. All pieces' centres are
+    compared in blocks; by the triangle inequality only pieces whose centres are near enough can hold a link."""
+    pieces = cut(_pieces(parts, units))
+    n = pieces.count()
+    blocks = -(-n // min(4096, max(128, n // 16))) if n else 1
+    block = F.pmod(F.xxhash64("piece", F.lit(7)), F.lit(blocks))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
+    spread = pieces.select("piece", "component", "centre", "radius", block.alias("block")).withColumn("pair", F.explode(pair)).select("pair.i", "pair.j", "block", "piece", "component", "centre", "radius")
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-5
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"p": np.empty(0, np.int64), "q": np.empty(0, np.int64)})]
+        (i, j), size = pdf[["i", "j"]].iloc[0], pdf["centre"].str.len()
+        for _, g in pdf.groupby(size):
+            x, name, part, radius, at = _unit(g["centre"]), g["piece"].to_numpy(), g["component"].to_numpy(), g["radius"].to_numpy(), g["block"].to_numpy()
+            a, b = np.flatnonzero(at == i), np.flatnonzero(at == j)
+            if len(a) and len(b):
+                least = np.cos(np.minimum(radius[a, None] + radius[b] + reach, np.pi))
+                u, v = np.nonzero((x[a] @ x[b].T >= least) & (part[a, None] != part[b]))
+                u, v = name[a[u]], name[b[v]]
+                on = u < v if i == j else np.ones(len(u), bool)
+                out.append(pd.DataFrame({"p": u[on], "q": v[on]}))
+        return pd.concat(out)
+
+    pairs = cut(spread.groupBy("i", "j").applyInPandas(near, "p long, q long"))
+    left = pieces.select(F.col("piece").alias("p"), F.col("v").alias("a"), F.col("ids").alias("a_ids"), F.col("centre").alias("ca"))
+    right = pieces.select(F.col("piece").alias("q"), F.col("v").alias("b"), F.col("ids").alias("b_ids"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst = [], []
+            for a, ai, c, b, bi in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                x, y = (_unit([v[k : k + len(c)] for k in range(0, len(v), len(c))]) for v in (a, b))
+                hit = x @ y.T >= threshold
+                if hit.any():
+                    u, v = np.unravel_index(hit.argmax(), hit.shape)
+                    src.append(np.frombuffer(ai, np.int64)[u])
+                    dst.append(np.frombuffer(bi, np.int64)[v])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    both = pairs.join(left, "p").join(right, "q").select("a", "a_ids", "ca", "b", "b_ids")
+    return both.mapInArrow(compare, "src long, dst long")
+
+
 def _count_links(parts: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     """(id, links): the copies of other classes that link with each, within its component, block against block."""
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -199,7 +272,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, embedding: str =
     lists = cut(_best(_first_lists(units, n, range(CODES))))
     for more in range(MORE + 1):
         lists = _refine(lists, units, n)
-        parts = connected_components(_links(lists, units, threshold))
+        links = cut(_links(lists, units, threshold))
+        parts = connected_components(links)
+        parts = connected_components(links.union(_bridges(parts, units, threshold)))
         if more == MORE or _recall(units, parts, threshold) >= RECALL:
             break
         lists = cut(_best(lists.union(_first_lists(units, n, range(CODES * (more + 1), CODES * (more + 2))))))

@@ -142,6 +142,26 @@ def test_embeddings(spark):
     assert [got[i].n_links for i in range(1000, 1007)] == [0, 0, 0, 0, 0, 1, 1]
 
 
+def true_groups(data, least=0.9):
+    """n_links and component_id of each vector by brute force."""
+    x = np.array([e for _, e in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= least
+    np.fill_diagonal(hit, False)
+    ids = [i for i, _ in data]
+    names = components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(hit), strict=True)])
+    return {i: (int(n), names[i]) for i, n in zip(ids, hit.sum(axis=1), strict=True)}
+
+
+def test_dense_groups_link_across(spark):
+    rng = np.random.default_rng(3)
+    a, b = np.eye(32)[0], 0.92 * np.eye(32)[0] + np.sqrt(1 - 0.92**2) * np.eye(32)[1]
+    data = [(i, ((a if i < 40 else b) + 0.01 * rng.standard_normal(32)).tolist()) for i in range(80)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == (want := true_groups(data))
+    assert {c for _, c in want.values()} == {0} and max(n for n, _ in want.values()) > 40
+
+
 def test_licenses(docs, rows, nothing):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     text = {i: t or "" for i, t, *_ in rows}
