@@ -6,8 +6,9 @@ that have it as a neighbour, and each pair that improves a list enters it, until
 threshold, checked in double precision, are links. Lists may be full of nearer vectors, so
 their components are joined by an exact comparison: each is split into narrow pieces, all pieces' centres are compared
 in blocks, and the members of pieces of two components where the triangle inequality admits a link. Members of a
-component are compared in blocks to count links, so no pair of a large group is ever a row. Recall is audited against brute force over a fixed
-share of vectors (``AUDIT`` at most); below ``RECALL`` the graph takes in lists from more codes and is refined again.
+component are compared in blocks to count links, so no pair of a large group is ever a row. What
+the lists miss, for whatever reason, is found there: they save work, and the result does not depend on their recall. The
+comparison of centres grows with the square of the number of pieces (of classes, where hardly any are near).
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of
 different length never link; rows that repeat a vec_id are vectors of their own; an empty table gives an empty result; extra
@@ -30,8 +31,6 @@ from .common import connected_components, cut
 K, CODES, BLOCK, ROUNDS, STILL = 10, 4, 512, 4, 0.02
 #: The widest angle (radians) between the first vector of a piece and another.
 NARROW = 0.25
-#: Vectors of the audit, recall to reach, times that codes are added.
-AUDIT, RECALL, MORE = 256, 0.99, 3
 
 
 def _classes(vectors: DataFrame, embedding: str, vec_id: str) -> DataFrame:
@@ -242,42 +241,15 @@ def _count_links(parts: DataFrame, units: DataFrame, threshold: float) -> DataFr
     return spread.groupBy("bucket").applyInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _recall(units: DataFrame, parts: DataFrame, threshold: float) -> float:
-    """The share of links of a fixed set of classes, found by brute force, that lie within a component."""
-    asked = units.orderBy(F.xxhash64("id", F.lit(5))).limit(AUDIT).select("id", "v").toPandas()
-    shared = units.sparkSession.sparkContext.broadcast(asked)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
-        for pdf in batches:
-            for dim, part in pdf.groupby(pdf["v"].str.len()):
-                own = q[q["v"].str.len() == dim]
-                if len(own):
-                    i, j = np.nonzero(_unit(own["v"]) @ _unit(part["v"]).T >= threshold)
-                    a, b = own["id"].to_numpy()[i], part["id"].to_numpy()[j]
-                    yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
-
-    true = units.select("id", "v").mapInPandas(run, "a long, b long")
-    left = parts.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    got = true.join(left, "a", "left").join(right, "b", "left").agg(F.count("*"), F.count_if(F.col("ca") == F.col("cb"))).first()
-    return got[1] / got[0] if got[0] else 1.0
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, embedding: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
     rows = cut(_classes(vectors, embedding, vec_id))
     units = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).where("id is not null"))
     n = units.count()
-    lists = cut(_best(_first_lists(units, n, range(CODES))))
-    for more in range(MORE + 1):
-        lists = _refine(lists, units, n)
-        links = cut(_links(lists, units, threshold))
-        parts = connected_components(links)
-        parts = connected_components(links.union(_bridges(parts, units, threshold)))
-        if more == MORE or _recall(units, parts, threshold) >= RECALL:
-            break
-        lists = cut(_best(lists.union(_first_lists(units, n, range(CODES * (more + 1), CODES * (more + 2))))))
+    lists = _refine(cut(_best(_first_lists(units, n, range(CODES)))), units, n)
+    found = cut(_links(lists, units, threshold))
+    parts = connected_components(found)
+    parts = connected_components(found.union(_bridges(parts, units, threshold)))
     links = _count_links(parts, units, threshold)
     classes = units.join(parts.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left")
     named = classes.select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -162,6 +162,17 @@ def test_dense_groups_link_across(spark):
     assert {c for _, c in want.values()} == {0} and max(n for n, _ in want.values()) > 40
 
 
+def test_sparse_links_beside_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "ROUNDS", 0)  # poor lists
+    rng = np.random.default_rng(4)
+    hot = np.eye(32)[0] + 0.01 * rng.standard_normal((400, 32))
+    sparse = rng.standard_normal((300, 32))
+    near = sparse + 0.07 * np.linalg.norm(sparse, axis=1, keepdims=True) * rng.standard_normal((300, 32))
+    data = [(i, e.tolist()) for i, e in enumerate(np.concatenate([hot, sparse, near]))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == true_groups(data)
+
+
 def test_licenses(docs, rows, nothing):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     text = {i: t or "" for i, t, *_ in rows}
