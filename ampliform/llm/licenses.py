@@ -1,8 +1,8 @@
 """License scans: ordered signature rules in DataFrame operations alone.
 
 A text is put into normal form: words of ASCII digits, letters and all characters beyond ASCII, A-Z lower-cased,
-one blank between. Rules are regular expressions over that form, built from ``NAMES`` and ``FORMS``; each belongs to
-a name with a keyword, and is tried only on texts that hold the keyword. Detections carry the rule's priority;
+one blank between. Rules are regular expressions over that form, built from ``NAMES`` and ``FORMS``, or taken from
+``BODIES``; each has a keyword that all its matches hold, and is tried only on texts that hold it. Detections carry the rule's priority;
 one that lies within a detection of a better priority (or of the same and longer) is suppressed. Labels are those of the
 detections left and of the base phrases, which are never suppressed.
 
@@ -12,6 +12,8 @@ are left alone; rows are scanned one by one, so repeated rows agree.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +46,10 @@ NAMES = (
     ("bsd-4-clause", "bsd", r"(?:original |old )bsd|bsd 4 clause|4 clause bsd|four clause bsd"),
     ("bsd-3-clause", "bsd", r"(?:new |revised |modified )bsd|bsd 3 clause|3 clause bsd|three clause bsd"),
     ("bsd-2-clause", "bsd", r"(?:simplified |freebsd )bsd|bsd 2 clause|2 clause bsd|two clause bsd"),
-    ("0bsd", "0bsd", r"0bsd|bsd zero clause"),
+    ("0bsd", "bsd", r"0bsd|bsd zero clause"),
     ("bsd", "bsd", r"bsd(?: style)?"),
-    ("mit-0", "mit no attribution", r"mit no attribution|mit 0"),
-    ("mit", "mit", r"(?:the )?(?:mit|expat|mit x11|x11)"),
+    ("mit-0", "mit", r"mit no attribution|mit 0"),
+    ("mit", "mit|expat|x11", r"(?:the )?(?:mit x11|mit|expat|x11)"),
     ("isc", "isc", r"isc"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e v(?:ersion)? ?1(?: [01])?"),
     ("mpl-2", "mozilla", r"mozilla public licen[sc]e v(?:ersion)? ?2(?: 0)?"),
@@ -85,7 +87,7 @@ NAMES = (
     ("cc-by-nd", "by nd", r"cc by nd(?: [1234] [05])?"),
     ("cc-by-sa", "by sa", r"cc by sa(?: [1234] [05])?"),
     ("cc-by", "cc by", r"cc by(?: [1234] [05])?"),
-    ("cc-by-nc-nd", "noderiv", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?"),
+    ("cc-by-nc-nd", "deriv", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?"),
     ("cc-by-nc-sa", "share", r"creative commons attribution non ?commercial share ?alike"),
     ("cc-by-nc", "commercial", r"creative commons attribution non ?commercial"),
     ("cc-by-sa", "share", r"creative commons attribution share ?alike"),
@@ -93,29 +95,47 @@ NAMES = (
     ("cc-by", "creative commons", r"creative commons attribution"),
 )
 
-#: (score, expression around {name}), the surest first.
+_GIVEN = ("released", "distributed", "published", "available", "provided", "shared", "covered")
+
+#: (score, what a text holds if the form is to match, expression around {name}), the surest first.
 FORMS = (
-    (1.0, r"spdx licen[sc]e identifier {name}"),
-    (0.95, r"(?:re)?licen[sc]ed under(?: the)?(?: terms of)?(?: the)? {name}(?: licen[sc]e)?"),
-    (0.9, r"(?:released|distributed|published|available|provided|shared|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)? {name}(?: licen[sc]e)?"),
-    (0.85, r"under(?: the)?(?: terms of)?(?: the)? {name} licen[sc]e"),
-    (0.8, r"{name} (?:public )?licen[sc]e(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)?)?"),
+    (1.0, ("spdx",), r"spdx licen[sc]e identifier {name}"),
+    (0.95, ("licen",), r"(?:re)?licen[sc]ed under(?: the)?(?: terms of)?(?: the)? {name}(?: licen[sc]e)?"),
+    (0.9, tuple(f"{v} {w} " for v in _GIVEN for w in ("under", "by")), rf"(?:{'|'.join(_GIVEN)}) (?:under|by)(?: the)?(?: terms of)?(?: the)? {{name}}(?: licen[sc]e)?"),
+    (0.85, ("licen",), r"under(?: the)?(?: terms of)?(?: the)? {name} licen[sc]e"),
+    (0.8, ("licen",), r"{name} (?:public )?licen[sc]e(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)?)?"),
 )
-#: Names that are phrases of their own: they need no form around them.
+#: Names that are phrases of their own, as they hold a version or the word licence: they need no form around them.
 _ALONE = 0.7
-
-#: What a text holds if any rule or base phrase is to match: keywords of the forms.
-_GATE = ("licen", "spdx", "under ", "cc by", "cc0", "creative commons", " gpl", "lgpl", "agpl", "general public", "published", "available", "covered by", "provided by", "shared by", "distributed by", "released by", "unlicense", "wtfpl", "eupl", "cddl", "gfdl")
+#: What such a name has to be where the one in NAMES is wider.
+_STRICT = {"boost": r"boost(?: software)? licen[sc]e(?: (?:version )?1 0)?|boost(?: software)? (?:version )?1 0"}
+
+#: (label, keyword, expression): what the bodies of licenses say.
+_BODY = 0.9
+BODIES = (
+    ("boost-1", "organization obtaining a copy", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("mit", "person obtaining a copy", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("0bsd", "granted the software is provided", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("isc", "granted provided that", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("postgresql", "software and its documentation", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("bsd-3-clause", "endorse or promote", r"(?:neither the names? of .{1,200}|the names? of .{1,200} may not) be used to endorse or promote products derived from this software"),
+    ("bsd", "source and binary forms", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("zlib", "held liable for any damages arising from the use", r"in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "what the fuck", r"you just do what the fuck you want to"),
+)
 
 
-def rules() -> list[tuple[int, str, str, float, str]]:
-    """(priority, label, keyword, score, expression), the best priority first."""
+def rules() -> list[tuple[int, str, str, float, str, tuple[str, ...]]]:
+    """(priority, label, keyword, score, expression, what else the text holds), the best priority first."""
     out = []
     for place, (label, keyword, name) in enumerate(NAMES):
-        for k, (score, form) in enumerate(FORMS):
-            out.append((place * 10 + k, label, keyword, score, form.replace("{name}", f"(?:{name})")))
+        for k, (score, needs, form) in enumerate(FORMS):
+            out.append((place * 10 + k, label, keyword, score, form.replace("{name}", f"(?:{name})"), needs))
         if label.startswith("cc") or "licen" in name:
-            out.append((place * 10 + len(FORMS), label, keyword, _ALONE, f"(?:{name})"))
+            out.append((place * 10 + len(FORMS), label, keyword, _ALONE, f"(?:{_STRICT.get(keyword, name)})", ()))
+    for place, (label, keyword, body) in enumerate(BODIES, len(NAMES)):
+        out.append((place * 10, label, keyword, _BODY, body, ()))
     return out
 
 
@@ -151,8 +171,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     step = docs.withColumn(norm, normal_form(text))
     any_of = F.lit(False)
     wide = F.lower(n)  # lowers more than A-Z: a text that this form doesn't admit can't match
-    for g in _GATE:
-        any_of = any_of | wide.contains(g)
+    words_of = {w for rule in rules() for w in rule[2].split("|")} | {phrase for phrase, _ in BASE}
+    for w in sorted(w for w in words_of if not any(v != w and v in w for v in words_of)):
+        any_of = any_of | wide.contains(w)
     step = step.withColumn(gate, any_of).withColumn(low, F.when(F.col(gate), F.concat(F.lit(" "), F.translate(n, upper, lower), F.lit(" "))))
     at = F.col(low)
     spots = [F.when(at.contains(phrase), _places(at, F.lit(_bounded(phrase)), lambda s, k, label=label: F.struct(F.lit(label).alias("label"), _word(at, s).alias("word")))) for phrase, label in BASE]
@@ -160,13 +181,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn(base, F.when(F.col(gate), F.concat(*(F.coalesce(s, empty) for s in spots))).otherwise(empty))
     kinds = "array<struct<priority:int,label:string,score:double,start:int,length:int>>"
     hits = F.array().cast(kinds)
-    by_keyword: dict[str, list] = {}
+    by_need: dict[tuple, list] = {}
     for rule in rules():
-        by_keyword.setdefault(rule[2], []).append(rule)
+        by_need.setdefault((rule[2], rule[5]), []).append(rule)
+    has = lambda words: functools.reduce(lambda x, y: x | y, (at.contains(w) for w in words))
     tried = []
-    for keyword, group in by_keyword.items():
-        rows = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(lab).alias("l"), F.lit(s).alias("s"), F.lit(_bounded(rx)).alias("rx")) for p, lab, _, s, rx in group))
-        tried.append(F.when(at.contains(keyword), rows))
+    for (keyword, needs), group in by_need.items():
+        rows = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(lab).alias("l"), F.lit(s).alias("s"), F.lit(_bounded(rx)).alias("rx")) for p, lab, _, s, rx, _ in group))
+        held = has(keyword.split("|"))
+        tried.append(F.when(held & has(needs) if needs else held, rows))
     todo = F.flatten(F.filter(F.array(*tried), lambda r: r.isNotNull()))
     each = F.flatten(F.transform(todo, lambda r: _places(at, r["rx"], lambda s, k: F.struct(r["p"].alias("priority"), r["l"].alias("label"), r["s"].alias("score"), s.alias("start"), k.alias("length")))))
     step = step.withColumn(found, F.when(F.col(gate), each).otherwise(hits).cast(kinds))

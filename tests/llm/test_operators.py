@@ -191,6 +191,46 @@ def test_license_suppression(spark):
     assert {r.doc_id: r.labels for r in licenses.report(df).collect()} == {1: "lgpl-3", 2: "mpl-2", 3: ""}
 
 
+def example(tree, rng):
+    """A string that a parsed expression matches."""
+    out = ""
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "ANY":
+            out += "z"
+        elif kind == "IN":
+            low, high = arg[0][1] if str(arg[0][0]) == "RANGE" else (rng.choice(arg)[1],) * 2
+            out += chr(rng.randint(low, high))
+        elif kind == "BRANCH":
+            out += example(rng.choice(arg[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += example(arg[3], rng)
+        else:
+            assert kind == "MAX_REPEAT"
+            out += "".join(example(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+    return out
+
+
+def test_each_license_rule_is_found(spark):
+    rng = random.Random(2)
+    said = [re.sub(" +", " ", example(re._parser.parse(r[4]), rng)).strip() for r in licenses.rules() for _ in range(4)]
+    df = spark.createDataFrame([(i, f"zz {t} zz") for i, t in enumerate(said)], "doc_id long, text string")
+    found = {r.doc_id: r.license.found for r in licenses.scan(df).collect()}
+    assert not [t for i, t in enumerate(said) if not any(f.start <= 4 and f.start + f.length >= 4 + len(t) for f in found[i])]
+
+
+def test_license_names_and_bodies(spark):
+    texts = {
+        "Apache-2.0": "apache-2", "Apache 2": "apache-2", "Boost 1.0": "boost-1", "Public Domain Dedication": "pddl", "licensed, with a boost": "",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.report(df).collect()} == dict(enumerate(texts.values()))
+
+
 def test_mixing(docs, rows, nothing):
     size = {i: len(WORD.findall(t or "")) for i, t, *_ in rows}
     got = mixing.mix(docs).toPandas()
