@@ -135,7 +135,7 @@ def _may_link(ni, pi, nj, pj, similar: int):
 
 def _may_link_bytes(n: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, similar: int) -> np.ndarray:
     """The same from rounded sizes and places, never stricter."""
-    low, high = np.exp(n * _STEP) - 1, np.exp((n + 1) * _STEP) + 1
+    low, high = np.exp(n * _STEP) - 1, np.where(n == 255, np.inf, np.exp((n + 1) * _STEP) + 1)  # 255 stands for all larger sizes too
     share = similar / (100 + similar)
     fit = lambda i, j: high[i] * (1 - share) - low[i] * (p[i] / 256.0) >= share * low[j]
     return fit(a, b) & fit(b, a)

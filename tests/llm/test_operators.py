@@ -329,6 +329,17 @@ def test_jaccard(docs, rows, nothing, spark):
     assert jaccard_join.join_classes(nothing).count() == 0
 
 
+def test_jaccard_size_bytes_are_never_stricter():
+    for a, b in ((400_000, 310_000), (3_000_000, 2_400_000), (300, 240)):
+        sizes = np.array([a, b])
+        code = np.minimum(255, (np.log(sizes) / jaccard_join._STEP).astype(int)).astype(np.float64)
+        for i in range(0, a // 4, a // 40):
+            for j in range(0, b // 4, b // 40):
+                share = np.array([i, j]) * 256 // sizes
+                if jaccard_join._may_link(a, i, b, j, 75):
+                    assert jaccard_join._may_link_bytes(code, share, np.array([0]), np.array([1]), 75)[0]
+
+
 def test_jaccard_chains(spark, monkeypatch):
     """Links through steps of small edits, with groups larger than a chunk."""
     monkeypatch.setattr(jaccard_join, "MEMBERS", 4)
