@@ -8,15 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import similarity
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+from .tables import cut, discard
 
 
 def classes(reads: DataFrame, group: str, read: str, seq: str) -> DataFrame:
@@ -61,18 +53,37 @@ def weights(e: DataFrame) -> DataFrame:
     return e.withColumn("weight", F.round(F.pow("sim", F.lit(2)), 6))
 
 
+def connected(e: DataFrame, keys: tuple[str, ...] = (), rounds: int = 100) -> DataFrame:
+    """(keys, node, component): the smallest node that each node of the edges (keys, src, dst) reaches; integer nodes.
+
+    Alternating stars: a large step ties every larger neighbour of a node to the smallest node around it, a small step
+    ties the smaller neighbours to it. Edges never grow in number, shrink to one a node, and end as stars around the
+    smallest nodes; long chains take rounds by their logarithm.
+    """
+    key = lambda a, b: [F.col(k) for k in keys] + [F.col(a).alias("src"), F.col(b).alias("dst")]
+    e = e.where("src <> dst").select(*keys, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    e = cut(e.distinct())
+    state = None
+    for _ in range(rounds):
+        both = e.union(e.select(*key("dst", "src")))
+        low = cut(both.groupBy(*keys, F.col("src").alias("node")).agg(F.min("dst").alias("low")).withColumn("low", F.least("low", "node")))
+        large = both.where("dst > src").join(low.withColumnRenamed("node", "src"), [*keys, "src"]).select(*key("dst", "low")).distinct()
+        near = large.groupBy(*keys, "src").agg(F.min("dst").alias("low"))
+        small = large.join(near, [*keys, "src"]).where("dst <> low").select(*key("dst", "low")).union(near.select(*key("src", "low")))
+        new = cut(small.distinct())
+        discard(low, e)
+        e, before = new, state
+        mark = F.xxhash64(*keys, "src", "dst")
+        state = e.agg(F.count("*"), F.bit_xor(mark), F.sum(F.shiftright(mark, 8))).first()
+        if state == before:
+            return e.select(*keys, F.col("src").alias("node"), F.col("dst").alias("component")).union(e.select(*keys, "dst", "dst").distinct())
+    raise RuntimeError("the stars did not settle")
+
+
 def components(nodes: DataFrame, e: DataFrame, group: str, read: str) -> DataFrame:
-    """(group, read, component): the smallest name that each node reaches; smallest labels spread, and jump to their own labels."""
-    both = _cut(e.select(group, "src", "dst").union(e.select(group, "dst", "src")).distinct())
-    labels = _cut(nodes.select(group, F.col(read).alias("node"), F.col(read).alias("component")).distinct())
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "dst"), [group, "dst"]).groupBy(group, F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, [group, "node"], "left").withColumn("step", F.least("component", F.coalesce("near", "component")))
-        up = labels.select(group, F.col("node").alias("step"), F.col("component").alias("up"))
-        new = _cut(step.join(up, [group, "step"]).select(group, "node", F.col("component").alias("old"), F.least("step", "up").alias("component")))
-        labels = new.select(group, "node", "component")
-        if not new.where("old <> component").limit(1).count():
-            return labels.withColumnRenamed("node", read)
+    """(group, read, component): the smallest name that each node reaches within its group, itself if it has no edge."""
+    found = connected(e.select(group, "src", "dst"), (group,)).withColumnRenamed("node", read)
+    return nodes.select(group, read).distinct().join(found, [group, read], "left").select(group, read, F.coalesce("component", read).alias("component"))
 
 
 def star_centres(e: DataFrame, group: str) -> DataFrame:
