@@ -7,14 +7,16 @@ most ``SLICE`` bytes, so memory does not follow the length of a text or the size
 from __future__ import annotations
 
 import functools
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
+from ..operators.tables import cut, discard, own_folder  # noqa: F401
+
 #: Bytes of text that one numpy step handles.
 SLICE = 1 << 19
 
@@ -22,23 +24,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a folder of our own only where none is set (tests)."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, kept in the shared checkpoint folder, with its lineage cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def fresh(name: str, taken: Iterable[str]) -> str:
     """A column name that clashes with none of ``taken`` (Spark compares names without case)."""
     low = {t.lower() for t in taken}
@@ -147,25 +132,9 @@ def _run_words(texts: list[bytes], blank: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix((p[end] - p[start]) * down[start]), np.diff(np.searchsorted(start, ends), prepend=0)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of ``edges`` (src, dst) reaches.
-
-    Smallest-label propagation with pointer jumping: each round takes the smallest label among a node and its
-    neighbours, then the label of that label, so chains shorten by halves. All state stays in DataFrames.
-    """
-    e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
-    both = cut(e.union(e.select("dst", "src")).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels, both.dst == labels.node).groupBy(F.col("src").alias("n")).agg(F.min("component").alias("m"))
-        step = labels.join(near, labels.node == near.n).select("node", "component", F.least("component", "m").alias("m"))
-        up = labels.select(F.col("node").alias("n"), F.col("component").alias("c"))
-        new = cut(step.join(up, step.m == up.n, "left").select("node", F.col("component").alias("old"), F.least("m", "c").alias("component")))
-        moved = new.where("old <> component").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
-    raise RuntimeError("the labels did not settle")
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of ``edges`` (src, dst) reaches."""
+    return connected(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")))
 
 
 def group_rows(columns: dict[str, np.ndarray], by: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:

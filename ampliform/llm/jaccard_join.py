@@ -1,15 +1,18 @@
 """N-gram Jaccard join: a token-group matrix over five-word shingles.
 
 Sets are the distinct shingles of a text; equal sets are one class. Groups of similar sets are formed first, by
-verified links to the first set that shares a rare shingle. The matrix stores each group's token union. A set is a
-query to every other group that shares one of its *prefix* tokens (two sets that link share a token among the
-rarest quarter of each, whatever fixed order the tokens have); the bound |query and union| >= 0.75 |query| decides
-whether the group is opened, and only opened groups compare members. A query needs one link into a group,
-as the group is connected already, so groups of copies cost no pairs.
+verified links to the first set that shares a rare shingle. The matrix stores each group's token union, first as a
+bitmap. A set is a query to every other group that shares one of its *prefix* tokens (two sets that link share a
+token among the rarest quarter of each, whatever fixed order the tokens have); the bound |query and union| >= 0.75
+|query| decides whether the group is opened, on the bitmap before any text moves and on the tokens after, and only
+opened groups compare members. A query needs one link into a group, as the group is connected already, so groups of
+copies cost no pairs.
 
 The order is by a count sketch of all documents' tokens (``CELLS`` counters, bounded), then by hash: tokens of common
 passages come last, and lists of a token stay short. Tokens travel packed in arrays, and only repeated ones leave
-the first exchange. Groups are dealt in chunks of ``MEMBERS`` sets, each with its own union.
+the first exchange; a token that very many sets have is salted by set there. Groups are dealt in chunks of
+``MEMBERS`` sets, each with its own union. A set's bitmap has two to four bits a token: each bit that one set has and
+another lacks is a token that the other lacks, so the bitmaps' bound never rules a link out.
 
 Edge cases: a null text, or one without words, has the empty set and links with nothing; a text of one to four words is
 one shingle; equal texts are one class whatever their number; rows repeating a doc_id are alike; a null doc_id
@@ -29,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched_words, connected_components, cut, fresh, group_rows, mix, pieces, utf8
+from .common import batched_words, connected_components, cut, discard, fresh, group_rows, mix, pieces, utf8
 from .exact_dedup import lookup, repeated_filter
 
 #: Words of a shingle, the similarity in hundredths, counters of the sketch, sets of a chunk of a group.
 WORDS, SIMILAR, CELLS, MEMBERS = 5, 75, 1 << 21, 512
 _SEGMENT = 1 << 16
-#: Tokens as common as this are dealt by set too, and pass as repeated without a count.
+#: The class of count from which a token is salted by its sets; it passes as repeated without a count.
 _HOT = 17
 
 
@@ -64,21 +67,55 @@ def set_id(tokens: np.ndarray) -> int:
     return int(mix(np.array([np.sum(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64) + np.uint64(len(tokens))])).view(np.int64)[0])
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each token, the last bits of its hash naming it; as many bits as the power of two from twice the tokens on."""
+    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    on = np.zeros(bits, np.uint8)
+    on[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap in fewer bytes."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
+
+
+def _lacking(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound on the tokens of a that b lacks, from their bitmaps."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_fold(a, size) & ~_fold(b, size)).sum())
+
+
+def _may_overlap(n: int, a: bytes, m: int, b: bytes, similar: int) -> bool:
+    """Whether sets of n and m tokens can link by their bitmaps."""
+    if 100 * min(n, m) < similar * max(n, m):
+        return False
+    need = -(-similar * (n + m) // (100 + similar))  # tokens in common
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    return _lacking(x, y) <= n - need and _lacking(y, x) <= m - need
+
+
 def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    t = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("th"))
 
 
-def _classes_and_sketch(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, set_id) of each document, and (seg, at, count) pieces of the token counts."""
+def _classes_and_sketch(texts: DataFrame) -> DataFrame:
+    """Rows of two kinds: (doc_id, th, n, set_id, bits) of each document, the bitmap with the first of a partition's equal sets,
+    and (seg, at, count) pieces of the token counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "n", "set_id", "seg", "at", "count"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["doc_id", "th", "n", "set_id", "bits", "seg", "at", "count"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        seen: set[int] = set()
         for b in pieces(batches, 2048):
-            n, ids, held, size = [0] * b.num_rows, [None] * b.num_rows, [], 0
+            n, ids, bits, held, size = [0] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows, [], 0
             for i, s in shingle_sets(utf8(b.column(1))):
                 n[i], ids[i] = len(s), set_id(s)
+                if ids[i] not in seen:
+                    seen.add(ids[i])
+                    bits[i] = bitmap(s)
                 held.append(s >> np.uint64(43))
                 size += len(s)
                 if size > 1_000_000:
@@ -87,17 +124,18 @@ def _classes_and_sketch(docs: DataFrame) -> DataFrame:
             if held:
                 total += np.bincount(np.concatenate(held).view(np.int64), minlength=CELLS)
             none = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, kinds[1]), pa.array(ids, kinds[2]), *(none.cast(k) for k in kinds[3:])], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, kinds[2]), pa.array(ids, kinds[3]), pa.array(bits, kinds[4]), *(none.cast(k) for k in kinds[5:])], names=names)
         out = []
         for seg in range(CELLS // _SEGMENT):
             part = total[seg * _SEGMENT : (seg + 1) * _SEGMENT]
             at = np.flatnonzero(part)
             if len(at):
-                out.append((seg, at.astype(np.uint16).tobytes(), part[at].astype(np.int32).tobytes()))
+                gaps = np.diff(at, prepend=0).astype(np.uint16)
+                out.append((seg, zlib.compress(gaps.tobytes(), 1), zlib.compress(part[at].astype(np.int32).tobytes(), 1)))
         none = pa.nulls(len(out))
-        yield pa.RecordBatch.from_arrays([*(none.cast(k) for k in kinds[:3]), *(pa.array([o[j] for o in out], kinds[3 + j]) for j in range(3))], names=names)
+        yield pa.RecordBatch.from_arrays([*(none.cast(k) for k in kinds[:5]), *(pa.array([o[j] for o in out], kinds[5 + j]) for j in range(3))], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_id long, seg int, at binary, count binary")
+    return texts.mapInArrow(run, "doc_id long, th long, n long, set_id long, bits binary, seg int, at binary, count binary")
 
 
 def _order(pieces: DataFrame) -> np.ndarray:
@@ -105,8 +143,8 @@ def _order(pieces: DataFrame) -> np.ndarray:
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_SEGMENT, np.int64)
-        for at, count in zip(pdf["at"], pdf["count"], strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(count, np.int32)
+        for gaps, count in zip(pdf["at"], pdf["count"], strict=True):
+            total[np.cumsum(np.frombuffer(zlib.decompress(gaps), np.uint16), dtype=np.int64)] += np.frombuffer(zlib.decompress(count), np.int32)
         return pd.DataFrame({"seg": pdf["seg"].iloc[:1], "cls": [np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
 
     out = np.zeros(CELLS, np.uint8)
@@ -141,8 +179,9 @@ def _may_link_bytes(n: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray,
     return fit(a, b) & fit(b, a)
 
 
-def _repeated_tokens(docs: DataFrame, cls, similar: int, buckets: int) -> DataFrame:
-    """(h, set_id, share) of the prefix tokens that two or more sets have; share: the token's place in its set's order, in 256ths.
+def _repeated_tokens(texts: DataFrame, cls, similar: int, buckets: int) -> DataFrame:
+    """(h, set_id, size, place, first) of the prefix tokens that two or more sets have; size and place as codes; first: the
+    first set of the token, if the two may link.
 
     Of a token that just two sets have, both go if their sizes and places rule a link out.
     """
@@ -182,28 +221,32 @@ def _repeated_tokens(docs: DataFrame, cls, similar: int, buckets: int) -> DataFr
         keep = np.repeat(size > 2, size) | (cls.value[(h >> np.uint64(43)).astype(np.int64)] >= _HOT)
         fits = _may_link_bytes(n, p, two, two + 1, similar)
         keep[two[fits]] = keep[two[fits] + 1] = True
-        return pd.DataFrame({"h": h[keep].view(np.int64), "set_id": i[keep], "share": p[keep].astype(np.int32)})
+        centre = np.repeat(at, size)
+        star = ~first & _may_link_bytes(n, p, np.arange(len(h)), centre, similar)
+        to = pd.array(np.where(star, i[centre], 0), dtype="Int64")
+        to[~star] = pd.NA
+        return pd.DataFrame({"h": h[keep].view(np.int64), "set_id": i[keep], "size": n[keep].astype(np.int16), "place": p[keep].astype(np.int16), "first": to[keep]})
 
-    packed = docs.mapInArrow(pack, "bucket int, h binary, i binary, n binary, p binary")
-    return packed.groupBy("bucket").applyInPandas(repeated, "h long, set_id long, share int")
+    packed = texts.mapInArrow(pack, "bucket int, h binary, i binary, n binary, p binary")
+    return packed.groupBy("bucket").applyInPandas(repeated, "h long, set_id long, size short, place short, first long")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, n, packed) of the wanted sets: a text of each, compressed, which is a third of its tokens' size."""
-    maybe = lookup(docs.sparkSession, repeated_filter(wanted.union(wanted).toDF("key"), 2 * wanted.count()))
+def _texts_of(texts: DataFrame, wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """(set_id, packed) of the wanted sets: a text of each, compressed, found by its hash in ``names`` (set_id, th)."""
+    wanted = cut(wanted.join(names, "set_id"))
+    keys = wanted.select(F.col("th").alias("key"))
+    maybe = lookup(texts.sparkSession, repeated_filter(keys.union(keys), 2 * wanted.count()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in pieces(batches, 2048):
-            texts, rows = utf8(b.column(1)), []
-            for i, s in shingle_sets(texts):
-                if (k := set_id(s)) not in seen:
-                    seen.add(k)
-                    if maybe(np.array([k], np.int64))[0]:
-                        rows.append((k, len(s), zlib.compress(texts[i], 1)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["set_id", "n", "packed"])
+    @F.pandas_udf("boolean")
+    def look(key: pd.Series) -> pd.Series:
+        return pd.Series(maybe(key.to_numpy(np.int64)))
+
+    @F.pandas_udf("binary")
+    def pack(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: zlib.compress(x.encode(), 1))
 
-    return docs.mapInArrow(run, "set_id long, n long, packed binary").dropDuplicates(["set_id"]).join(wanted, "set_id", "left_semi")
+    found = texts.select("th", "t").where(look("th")).dropDuplicates(["th"]).join(wanted, "th")
+    return found.select("set_id", pack("t").alias("packed"))
 
 
 @functools.lru_cache(maxsize=256)
@@ -219,13 +262,20 @@ def _linked(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
     return 100 * both >= similar * (len(a) + len(b) - both)
 
 
-def _star_links(repeated: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Verified links of sets to the first set that shares a prefix token."""
-    first = repeated.groupBy("h").agg(F.min(F.struct("set_id", "n", "p")).alias("d"))
-    pairs = repeated.join(first, "h").where((F.col("set_id") != F.col("d.set_id")) & _may_link(F.col("n"), F.col("p"), F.col("d.n"), F.col("d.p"), similar))
-    pairs = pairs.select(F.col("set_id").alias("src"), F.col("d.set_id").alias("dst")).distinct()
-    t = sets.select(F.col("set_id").alias("src"), F.col("packed").alias("a"))
-    u = sets.select(F.col("set_id").alias("dst"), F.col("packed").alias("b"))
+def _near(pairs: DataFrame, sketches: DataFrame, similar: int) -> DataFrame:
+    """The pairs (src, dst) that sizes and bitmaps don't rule out."""
+
+    @F.pandas_udf("boolean")
+    def may(n: pd.Series, a: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_may_overlap(*x, similar) for x in zip(n, a, m, b, strict=True)], dtype=bool)
+
+    s, t = sketches.toDF("src", "n", "a"), sketches.toDF("dst", "m", "b")
+    return pairs.join(s, "src").join(t, "dst").where((100 * F.least("n", "m") >= similar * F.greatest("n", "m")) & may("n", "a", "m", "b")).select("src", "dst")
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs that link, by their tokens."""
+    t, u = sets.toDF("src", "a"), sets.toDF("dst", "b")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -234,23 +284,63 @@ def _star_links(repeated: DataFrame, sets: DataFrame, similar: int) -> DataFrame
     return pairs.join(t, "src").join(u, "dst").where(linked("a", "b")).select("src", "dst")
 
 
-def _opened_links(repeated: DataFrame, sets: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
-    """A link of each query into each chunk of a larger group that holds one."""
-    named = repeated.join(groups, repeated.set_id == groups.node, "left").select("h", "set_id", "n", "p", F.coalesce("component", "set_id").alias("g"))
-    members = cut(named.select("set_id", "g").distinct())
-    sizes = cut(members.groupBy("g").agg(F.count("*").alias("size")))
-    rows = named.join(sizes, "g")
-    index = rows.groupBy("h", F.col("g").alias("to"), F.col("size").alias("to_size")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("p").alias("to_p"))
-    larger = (F.col("to_size") > F.col("size")) | (F.col("to_size") == F.col("size")) & (F.col("to") < F.col("g"))
-    # the bound of _may_link at the size of a member that favours it
+def _queries(repeated: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
+    """(set_id, g, size): the larger groups that share a prefix token with a set, as far as sizes and places admit a link."""
+    named = repeated.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("h", "set_id", "size", "place", F.coalesce("component", "set_id").alias("g"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
+    index = named.groupBy("h", F.col("g").alias("to"), F.col("members").alias("to_members")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("place").alias("to_place"))
+    larger = (F.col("to_members") > F.col("members")) | (F.col("to_members") == F.col("members")) & (F.col("to") < F.col("g"))
+    # the bound of _may_link_bytes at the size of a member that favours it
     share = similar / (100 + similar)
-    fits = (F.col("n") - F.col("p") >= share * (F.col("n") + F.col("least")) - 1e-6) & ((1 - share) * F.col("most") - F.col("to_p") >= share * F.col("n") - 1e-6)
-    queries = cut(rows.join(index, "h").where(larger & fits & (F.col("to") != F.col("g"))).select("set_id", F.col("to").alias("g"), F.col("to_size").alias("size")).distinct())
-    buckets = max(16, queries.count() // 1000)
-    chunks = F.ceil(F.col("size") / MEMBERS)
-    bucket = lambda: F.pmod(F.xxhash64("g", "chunk"), F.lit(buckets)).alias("bucket")
-    asked = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).join(sets, "set_id").select(bucket(), "g", "chunk", "set_id", "packed")
-    held = members.join(queries.select("g", "size").distinct(), "g").withColumn("chunk", F.pmod(F.xxhash64("set_id"), chunks)).join(sets, "set_id").select(bucket(), "g", "chunk", "set_id", "packed")
+    low = lambda c: F.exp(F.col(c) * _STEP) - 1
+    high = lambda c: F.when(F.col(c) < 255, F.exp((F.col(c) + 1) * _STEP) + 1).otherwise(F.lit(float("inf")))
+    fits = (high("size") * (1 - share) - low("size") * F.col("place") / 256 >= low("least") * share) & (high("most") * (1 - share) - low("least") * F.col("to_place") / 256 >= low("size") * share)
+    return named.join(index, "h").where(larger & (F.col("to") != F.col("g")) & fits).select("set_id", F.col("to").alias("g"), F.col("to_members").alias("members")).distinct()
+
+
+def _chunked(asked: DataFrame, held: DataFrame, sets: DataFrame, run, schema: str) -> DataFrame:
+    """run(queries, members) over buckets of chunks of groups: asked (g, chunk, set_id), held the same, each with what ``sets`` has."""
+    n = max(16, asked.count() // 2000)
+    names = ["bucket", "g", "chunk", "set_id", *sets.columns[1:]]
+    bucket = F.pmod(F.xxhash64("g", "chunk"), F.lit(n)).alias("bucket")
+    one, two = (x.join(sets, "set_id").select(bucket, *names[1:]).toDF(*names) for x in (asked, held))  # as new columns: both sides come from one table
+    return one.groupBy("bucket").cogroup(two.groupBy("bucket")).applyInPandas(run, schema)
+
+
+def _opened_links(repeated: DataFrame, texts: DataFrame, names: DataFrame, sketches: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
+    """A link of each query into each chunk of a larger group that holds one."""
+    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
+    groups = cut(groups.join(sizes, "component").select("node", "component", "members"))
+    queries = cut(_queries(repeated, groups, similar))
+    chunks = F.ceil(F.col("members") / MEMBERS)
+    asked = cut(queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).select("g", "chunk", "set_id"))
+    wanted = queries.select("g", "members").distinct()
+    alone = wanted.where("members = 1").select("g", F.lit(0).cast("long").alias("chunk"), F.col("g").alias("set_id"))
+    held = wanted.where("members > 1").select("g").join(groups.toDF("set_id", "g", "members"), "g").select("g", F.pmod(F.xxhash64("set_id"), chunks).alias("chunk"), "set_id")
+    held = cut(alone.union(held))
+
+    def bound(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        """The chunks that a query may overlap enough, by the bitmap of their union."""
+        unions: dict[tuple[int, int], np.ndarray] = {}
+        for g, c, bits in zip(m["g"], m["chunk"], m["bits"], strict=True):
+            x = np.frombuffer(bits, np.uint8)
+            if (u := unions.get((g, c))) is not None:
+                size = min(len(x), len(u))
+                x = _fold(u, size) | _fold(x, size)
+            unions[g, c] = x
+        out = []
+        for g, c, i, n, bits in zip(q["g"], q["chunk"], q["set_id"], q["n"], q["bits"], strict=True):
+            if (u := unions.get((g, c))) is not None and 100 * (n - _lacking(np.frombuffer(bits, np.uint8), u)) >= similar * n:
+                out.append((g, c, i))
+        return pd.DataFrame(out, columns=["g", "chunk", "set_id"], dtype="int64")
+
+    opened = cut(_chunked(asked, held, sketches, bound, "g long, chunk long, set_id long"))
+    inside = cut(held.join(opened.select("g", "chunk").distinct(), ["g", "chunk"]))
+    single = opened.join(queries.where("members = 1").select("g").distinct(), "g")
+    # a group of one is its member: both bitmaps decide
+    pairs = _near(single.select(F.col("set_id").alias("src"), F.col("g").alias("dst")), sketches, similar)
+    opened = cut(opened.join(pairs.toDF("set_id", "g"), ["set_id", "g"], "left_semi").union(opened.join(queries.where("members > 1").select("set_id", "g"), ["set_id", "g"], "left_semi")).select("g", "chunk", "set_id"))
+    inside = inside.join(opened.select("g", "chunk").distinct(), ["g", "chunk"])
+    sets = cut(_texts_of(texts, opened.select("set_id").union(inside.select("set_id")).distinct(), names))
 
     def open_groups(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -278,36 +368,65 @@ def _opened_links(repeated: DataFrame, sets: DataFrame, groups: DataFrame, simil
                     found.append((int(s), int(ids[hit[0]])))
         return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
-    names = ("bucket", "g", "chunk", "set_id", "packed")  # as new columns: both sides come from one table
-    return asked.toDF(*names).groupBy("bucket").cogroup(held.toDF(*names).groupBy("bucket")).applyInPandas(open_groups, "src long, dst long")
+    return _chunked(opened, inside, sets, open_groups, "src long, dst long")
 
 
-def join_classes(docs: DataFrame, similar: int = SIMILAR, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
+def _components(docs: DataFrame, similar: int, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, th, n_shingles, root, component_id) of each row; root is null for the empty set."""
     spark, texts = docs.sparkSession, _texts(docs, text, doc_id)
     both = cut(_classes_and_sketch(texts))
-    rows = both.where("seg is null").select("doc_id", "n", "set_id")
+    rows = both.where("seg is null").select("doc_id", "th", "n", "set_id")
+    own = both.where("bits is not null").groupBy("set_id").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.first("bits").alias("bits"))
     cls = spark.sparkContext.broadcast(_order(both.where("seg is not null").select("seg", "at", "count")))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    own = rows.where("set_id is not null").groupBy("set_id").agg(F.max("n").alias("n"))
-    repeated = _repeated_tokens(texts, cls, similar, max(16, total // 1_000_000)).join(own, "set_id")
-    repeated = cut(repeated.select("h", "set_id", "n", F.floor(F.col("share") * F.col("n") / 256).alias("p")))
-    sets = cut(_texts_of(texts, repeated.select("set_id").distinct()))
-    stars = cut(_star_links(repeated, sets, similar))
-    opened = cut(_opened_links(repeated, sets, connected_components(stars), similar))
+    repeated = cut(_repeated_tokens(texts, cls, similar, max(16, total // 1_000_000)))
+    wanted = own.join(repeated.select("set_id").distinct(), "set_id", "left_semi")
+    known = cut(wanted)
+    names, sketches = known.select("set_id", "th"), known.select("set_id", "n", "bits")
+    pairs = repeated.where("first is not null").select(F.col("set_id").alias("src"), F.col("first").alias("dst")).distinct()
+    near = cut(_near(pairs, sketches, similar))
+    sets = cut(_texts_of(texts, near.select("src").union(near.select("dst")).distinct().toDF("set_id"), names))
+    stars = cut(_star_links(near, sets, similar))
+    discard(near, sets)
+    opened = cut(_opened_links(repeated, texts, names, sketches, connected_components(stars), similar))
     found = connected_components(stars.union(opened))
+    discard(repeated, known, stars, opened)
     least = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    named = least.join(found, least.set_id == found.node, "left").select("set_id", "least", F.coalesce("component", "set_id").alias("root"))
+    named = cut(least.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("component", "set_id").alias("root")))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(roots, "root").select(F.col("set_id").alias("s"), "component_id")
-    return rows.join(names, rows.set_id == names.s, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = named.select("set_id", "root").join(roots, "root")
+    return rows.join(named, "set_id", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), "root", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def join_classes(docs: DataFrame, similar: int = SIMILAR, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id of each row."""
+    return _components(docs, similar, text, doc_id).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, similar: int = SIMILAR, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, columns unchanged: the smallest doc_id of each component."""
-    k = fresh("k", docs.columns)
-    gone = join_classes(docs, similar, text, doc_id).where("component_id <> doc_id").select(F.col("doc_id").alias(k)).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == F.col(k), "left_anti")
+    """The rows of ``docs`` that stay, columns unchanged: of each component the row with the smallest doc_id (null last), then
+    the smallest hash of its text; rows without words stay. Only rows that may have to go are shuffled."""
+    rows = cut(_components(docs, similar, text, doc_id).where("root is not null").select("root", "doc_id", "th"))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    best = rows.groupBy("root").agg(F.min(row).alias("best"), F.count("*").alias("members")).where("members > 1")
+    stay = best.select(F.lit(True).alias("stays"), F.col("best.doc_id").alias("doc_id"), F.col("best.th").alias("th"))
+    gone = rows.join(best.select("root"), "root", "left_semi").select("doc_id", "th").distinct()
+    a, b = fresh("a", docs.columns), fresh("b", [*docs.columns, "a_"])
+    k, c = fresh("k", docs.columns), fresh("c", docs.columns)
+    told = gone.join(stay, gone.doc_id.eqNullSafe(stay.doc_id) & (gone.th == stay.th), "left").select(gone.doc_id.alias(a), gone.th.alias(b), F.coalesce("stays", F.lit(False)).alias(k))
+    told = cut(told)
+    keys = told.select(F.xxhash64(a, b).alias("key"))
+    maybe = lookup(docs.sparkSession, repeated_filter(keys.union(keys), 2 * told.count()))
+
+    @F.pandas_udf("boolean")
+    def look(key: pd.Series) -> pd.Series:
+        return pd.Series(maybe(key.to_numpy(np.int64)))
+
+    i, h = F.col(doc_id).cast("long"), F.xxhash64(F.col(text).cast("string"))
+    marked = docs.withColumn(c, look(F.xxhash64(i, h)))
+    some = marked.where(c).withColumn(c, h).join(told, i.eqNullSafe(F.col(a)) & (F.col(c) == F.col(b)), "left")
+    one = some.where(k).dropDuplicates([doc_id, c])
+    return marked.where(~F.col(c)).select(*docs.columns).union(some.where(F.col(k).isNull()).select(*docs.columns)).union(one.select(*docs.columns))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
