@@ -3,17 +3,21 @@
 Toxic documents go, then exact copies, then all but one of each group of near copies; the rest is mixed to the
 sources' target weights (a document comes out as often as the mix takes it) and encoded. Each stage reads what its
 predecessor wrote.
+
+A null text counts as the empty text everywhere: it is never toxic, all empty texts are one exact copy, none has a near
+copy, and the mix takes none, as it has no words. A null source is a source of its own. Rows that repeat a doc_id with
+different texts are documents of their own; with equal texts, one stays. An empty table gives an empty result, and extra
+columns go along unchanged, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ampliform.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
-from ampliform.llm.common import checkpoint_dir
+from ampliform.llm.common import own_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -45,7 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = f"{own_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
