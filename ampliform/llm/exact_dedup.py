@@ -5,9 +5,12 @@ looks each key up: a row of which some counter is below two is unique for certai
 only the others, the possibly repeated, are shuffled by their full digest and compared exactly. False positives
 of the filter cost a shuffled row each and never change a result.
 
-The filter has a fixed bound (``max_bits`` counters, one bit each once merged), so what is broadcast does not
-follow the data; beyond the bound more rows are shuffled. A hot text is counted per partition before the
-filter's shuffle and aggregated map-side before its group's.
+The filter has ``BITS_PER_KEY`` counters a key whatever the number of rows, in segments of 2**``SEGMENT`` counters at
+most (one bit each once merged): rows lie in folders by the segment of their key, and each segment is counted, sent to
+the executors and looked up by its own rows alone. So what is broadcast has a fixed bound, and the share of rows that
+shuffle without need stays small at any size. A hot text is counted per partition before the
+filter's shuffle, aggregated map-side before its group's, and its rows meet their keeper by broadcast: groups of at least
+a ``HOT``-th of all rows are ``HOT`` at most.
 
 Edge cases: a null text is the empty text; texts of white space alone equal the empty text. A null doc_id loses
 against any other. Rows that repeat a doc_id with an equal text are one document: `decisions` marks each of
@@ -17,41 +20,34 @@ their names, are left alone.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, fresh, utf8
+from .common import cut, fresh
 
-#: Counters of the filter at most (16 MB once merged), counters for each expected key, and counters of a segment.
-MAX_BITS, BITS_PER_KEY, SEGMENT_BITS = 27, 16, 16
+#: Counters of a segment of the filter at most (16 MB once merged), counters for each key, counters of a merged piece, and
+#: the share of all rows, one in so many, from which a group is hot.
+SEGMENT, BITS_PER_KEY, PIECE_BITS, HOT = 27, 16, 16, 10_000
 
-_BLANKS = b" \t\n\x0b\x0c\r"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _digest(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    raw, chars = [], np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        raw.append(hashlib.sha256(t.translate(None, _BLANKS)).digest())
-        chars[i] = len(t) if t.isascii() else len(t.decode("utf-8", "replace"))
-    return [r.hex() for r in raw], np.frombuffer(b"".join(r[:8] for r in raw), "<i8"), chars
+def sha256(text: Column) -> Column:
+    """The digest of a text without white space, in hexadecimal digits."""
+    return F.sha2(F.translate(F.coalesce(text.cast("string"), F.lit("")), _BLANKS, ""), 256)
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, text_sha256, key, chars) of each row: key is the digest's first eight bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sha, key, chars = _digest(utf8(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha), pa.array(key), pa.array(chars)], names=["doc_id", "text_sha256", "key", "chars"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, text_sha256 string, key long, chars long")
+    """(doc_id, text_sha256, key, chars) of each row: key is a hash of the digest."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), sha256(F.col(text)).alias("text_sha256"), F.length(t).cast("long").alias("chars"))
+    return d.select("doc_id", "text_sha256", F.xxhash64("text_sha256").alias("key"), "chars")
 
 
 def _positions(key: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -59,9 +55,9 @@ def _positions(key: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(k & m).astype(np.int64), ((k >> np.uint64(32)) & m).astype(np.int64)]
 
 
-def repeated_filter(keys: DataFrame, rows: int, max_bits: int = MAX_BITS) -> tuple[int, dict[int, bytes]]:
-    """(bits, bitmap by segment): the counters that two or more rows of ``keys`` (key long) reached."""
-    bits = min(max_bits, max(SEGMENT_BITS, (max(1, rows) * BITS_PER_KEY - 1).bit_length()))
+def repeated_filter(keys: DataFrame, rows: int, segment: int = SEGMENT) -> tuple[int, dict[int, bytes]]:
+    """(bits, bitmap by piece): the counters, 2**``segment`` at most, that two or more rows of ``keys`` (key long) reached."""
+    bits = min(segment, max(PIECE_BITS, (max(1, rows) * BITS_PER_KEY - 1).bit_length()))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, list[np.ndarray]] = {}
@@ -78,7 +74,7 @@ def repeated_filter(keys: DataFrame, rows: int, max_bits: int = MAX_BITS) -> tup
         for pdf in batches:
             pos = np.concatenate(_positions(pdf["key"].to_numpy(np.int64), bits))
             pos = np.sort(pos)
-            seg, at = pos >> SEGMENT_BITS, pos & ((1 << SEGMENT_BITS) - 1)
+            seg, at = pos >> PIECE_BITS, pos & ((1 << PIECE_BITS) - 1)
             cuts = np.flatnonzero(np.diff(seg)) + 1
             for s, a in zip(seg[np.concatenate([[0], cuts])] if len(seg) else [], np.split(at, cuts), strict=False):
                 seen.setdefault(int(s), []).append(a)
@@ -89,7 +85,7 @@ def repeated_filter(keys: DataFrame, rows: int, max_bits: int = MAX_BITS) -> tup
         yield drain()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros(1 << SEGMENT_BITS, np.uint8)
+        n = np.zeros(1 << PIECE_BITS, np.uint8)
         for once, more in zip(pdf["once"], pdf["more"], strict=True):
             at = np.frombuffer(once, np.uint16)
             n[at] = np.minimum(n[at] + 1, 2)
@@ -106,7 +102,7 @@ def lookup(spark: SparkSession, found: tuple[int, dict[int, bytes]]):
     bits, segments = found
     whole = np.zeros(1 << (bits - 3), np.uint8)
     for seg, bitmap in segments.items():
-        whole[seg << (SEGMENT_BITS - 3) : (seg + 1) << (SEGMENT_BITS - 3)] = np.frombuffer(bitmap, np.uint8)
+        whole[seg << (PIECE_BITS - 3) : (seg + 1) << (PIECE_BITS - 3)] = np.frombuffer(bitmap, np.uint8)
     shared = spark.sparkContext.broadcast(whole)
 
     def maybe(key: np.ndarray) -> np.ndarray:
@@ -115,13 +111,39 @@ def lookup(spark: SparkSession, found: tuple[int, dict[int, bytes]]):
             out &= (shared.value[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
         return out
 
+    maybe.forget = shared.unpersist
     return maybe
 
 
-def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    seen = cut(digests(docs, text, doc_id))
-    return _decide(seen, lookup(docs.sparkSession, repeated_filter(seen, seen.count(), max_bits)))
+def _in_segments(rows: DataFrame, total: int, segment: int, key: str = "key") -> list[DataFrame]:
+    """``rows`` by segments of the filter, one frame if one is enough."""
+    n = -(-total * BITS_PER_KEY >> segment)
+    if n <= 1:
+        return [rows]
+    part = fresh("part", rows.columns)
+    kept = cut(rows.withColumn(part, F.pmod(F.xxhash64(key, F.lit(5)), F.lit(n)).cast("int")), by=part)
+    return [kept.where(F.col(part) == k).drop(part) for k in range(n)]
+
+
+def _flag(maybe):
+    @F.arrow_udf("boolean")
+    def flag(key: pa.Array) -> pa.Array:
+        return pa.array(maybe(key.to_numpy(zero_copy_only=False)))
+
+    return flag
+
+
+def _marked(seen: DataFrame, total: int, segment: int) -> DataFrame:
+    """``seen`` with maybe: whether the key may be repeated."""
+    parts = _in_segments(seen, total, segment)
+    out = []
+    for p in parts:
+        maybe = lookup(seen.sparkSession, repeated_filter(p, total // len(parts), segment))
+        marked = p.withColumn("maybe", _flag(maybe)("key"))
+        out.append(marked if len(parts) == 1 else cut(marked))
+        if len(parts) > 1:
+            maybe.forget()
+    return functools.reduce(DataFrame.union, out)
 
 
 def _keepers(flagged: DataFrame) -> DataFrame:
@@ -129,40 +151,43 @@ def _keepers(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy("text_sha256").agg(F.count("*").alias("group_size"), best).select("text_sha256", "group_size", (-F.col("best.neg")).alias("keep_id"))
 
 
-def _decide(seen: DataFrame, maybe) -> DataFrame:
-    @F.pandas_udf(T.BooleanType())
-    def flag(key: pd.Series) -> pd.Series:
-        return pd.Series(maybe(key.to_numpy(np.int64)))
-
-    marked = seen.withColumn("maybe", flag("key"))
-    flagged = marked.where("maybe")
+def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", segment: int = SEGMENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    seen = cut(digests(docs, text, doc_id))
+    total = seen.count()
+    marked = _marked(seen, total, segment)
+    flagged = cut(marked.where("maybe").select("doc_id", "text_sha256", "chars"))
+    keep = cut(_keepers(flagged))
     straight = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    compared = flagged.join(_keepers(flagged), "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    big = F.col("group_size") > max(1000, total // HOT)  # fewer than HOT groups, so their keepers may be broadcast
+    hot, few = F.broadcast(keep.where(big)), keep.where(~big)
+    mine = flagged.join(hot, "text_sha256")
+    others = flagged.join(hot.select("text_sha256"), "text_sha256", "left_anti").join(few, "text_sha256")
+    compared = mine.unionByName(others).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return straight.union(compared)
 
 
-def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", segment: int = SEGMENT) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged; rows that are unique for certain are not shuffled."""
-    seen = cut(digests(docs, text, doc_id))
-    maybe = lookup(docs.sparkSession, repeated_filter(seen, seen.count(), max_bits))
-    sha, yes = fresh("text_sha256", docs.columns), fresh("maybe_repeated", docs.columns)
-
-    @F.pandas_udf(f"{sha} string, {yes} boolean")
-    def look(t: pd.Series) -> pd.DataFrame:
-        digest, key, _ = _digest([(x or "").encode() for x in t])
-        return pd.DataFrame({sha: digest, yes: maybe(key)})
-
-    slot = fresh("look_up", [*docs.columns, sha, yes])
-    marked = docs.withColumn(slot, look(F.col(text).cast("string"))).select(*docs.columns, f"{slot}.{sha}", f"{slot}.{yes}")
-
-    @F.pandas_udf(T.BooleanType())
-    def flag(key: pd.Series) -> pd.Series:
-        return pd.Series(maybe(key.to_numpy(np.int64)))
-
-    keep = _keepers(seen.where(flag("key"))).select(F.col("text_sha256").alias("k_sha"), F.col("keep_id").alias("k_id"))
-    rest = marked.where(yes)
-    kept = rest.join(keep, (rest[sha] == F.col("k_sha")) & rest[doc_id].cast("long").eqNullSafe(F.col("k_id")), "left_semi").dropDuplicates([sha])
-    return marked.where(~F.col(yes)).select(*docs.columns).union(kept.select(*docs.columns))
+    sha, key, yes = (fresh(x, docs.columns) for x in ("text_sha256", "key", "maybe_repeated"))
+    k_sha, k_id = fresh("k_sha", docs.columns), fresh("k_id", docs.columns)
+    rows = docs.withColumn(sha, sha256(F.col(text))).withColumn(key, F.xxhash64(sha))
+    total = docs.count()
+    parts = _in_segments(rows, total, segment, key)
+    out = []
+    for p in parts:
+        maybe = lookup(docs.sparkSession, repeated_filter(p.select(F.col(key).alias("key")), total // len(parts), segment))
+        marked = p.withColumn(yes, _flag(maybe)(key))
+        rest = marked.where(yes)
+        flagged = rest.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(sha).alias("text_sha256"), F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long").alias("chars"))
+        keep = cut(_keepers(flagged).select(F.col("text_sha256").alias(k_sha), F.col("keep_id").alias(k_id)))
+        # by digest and doc_id, so the rows of a hot text are spread
+        kept = rest.join(keep, (F.col(sha) == F.col(k_sha)) & F.col(doc_id).cast("long").eqNullSafe(F.col(k_id)), "left_semi").dropDuplicates([sha])
+        stay = marked.where(~F.col(yes)).select(*docs.columns).union(kept.select(*docs.columns))
+        out.append(stay if len(parts) == 1 else cut(stay))
+        if len(parts) > 1:
+            maybe.forget()
+    return functools.reduce(DataFrame.union, out)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,3 +355,21 @@ def test_jaccard_chains(spark, monkeypatch):
     part = components(sets, links)
     got = jaccard_join.join_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == part
+
+
+def test_exact_in_segments(docs, monkeypatch):
+    """A filter of several segments gives the same rows."""
+    one, first = exact_dedup.decisions(docs).collect(), exact_dedup.keep_first(docs).collect()
+    monkeypatch.setattr(exact_dedup, "BITS_PER_KEY", 1 << 12)
+    assert len(exact_dedup._in_segments(docs.selectExpr("doc_id as key"), docs.count(), 16)) > 1
+    assert sorted(map(tuple, one), key=str) == sorted(map(tuple, exact_dedup.decisions(docs, segment=16).collect()), key=str)
+    assert sorted(r.doc_id for r in first) == sorted(r.doc_id for r in exact_dedup.keep_first(docs, segment=16).collect())
+
+
+def test_exact_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 2)
+    df = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 < 2 then 'a copy' else cast(id as string) end as text")
+    got = {r.doc_id: r for r in exact_dedup.decisions(df).collect()}
+    copies = [i for i in range(4000) if i % 3 < 2]
+    assert len(got) == 4000 and all((got[i].keep_id, got[i].group_size) == (0, len(copies)) for i in copies)
+    assert all(got[i].kept for i in range(2, 4000, 3)) and exact_dedup.keep_first(df).count() == 4000 - len(copies) + 1
