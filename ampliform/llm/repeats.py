@@ -8,11 +8,17 @@ anchor to need bytes after its start) is equal are one context. A bucket with se
 contexts sorted by what follows, the common prefixes of neighbours, and a stack scan that gives the interval tree. In
 each interval the contexts are ordered by what precedes them; intervals of that order are the sets with one left
 extension, maximal as their left ends differ, and each with total length ``need`` or more is a repeat group with all its
-occurrences. A bucket of more than ``CONTEXTS`` contexts isn't taken into one task: its suffixes' windows of ``need``
-bytes are counted instead, dealt by their hash, which covers the same bytes.
+occurrences.
+
+A bucket of more than ``CONTEXTS`` contexts is split by the bytes around it before it is exchanged: part i holds the
+contexts that agree in ``STEP`` * i bytes before the anchor and in the need - ``STEP`` * (i + 1) bytes from its start.
+A repeat with L bytes before the anchor is whole in part L // ``STEP``, so each part is scanned by itself. Contexts of a part
+that is still larger agree in all but ``STEP`` bytes of a repeat: the tree's nodes left below are strings of ``need`` bytes,
+and they are dealt by their hash and counted, so no part is ever one task's beyond the bound.
 
 What is removed is the union of all occurrences, judged on the input. Equal texts are one text here; a text with
-copies is removed whole if it has ``need`` bytes.
+copies is removed whole if it has ``need`` bytes. Bytes are compared wherever contexts are; strings are the same bucket by a
+64-bit hash, the same context by two.
 
 Edge cases: null and shorter texts lose nothing; matches never cross rows, but may lie in one row; rows that repeat a
 doc_id are texts of their own; an empty table gives an empty result; extra columns are left alone.
@@ -32,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import SLICE, cut, group_rows, mix, pieces, prefix_hash, utf8
 from .exact_dedup import lookup, repeated_filter
 
-#: Bytes of a repeat, bytes of an anchor, contexts of a bucket that one task takes.
-NEED, GRAM, CONTEXTS = 400, 200, 2000
+#: Bytes of a repeat, bytes of an anchor, contexts of a bucket or part that one task takes, bytes by which parts differ.
+NEED, GRAM, CONTEXTS, STEP = 400, 200, 2000, 40
 
 
 def _slide(v: np.ndarray, w: int, op) -> np.ndarray:
@@ -136,8 +142,8 @@ def _suffixes(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _same_contexts(packed: DataFrame) -> DataFrame:
-    """Of each bucket with two suffixes or more: kind 0, (text, start, end) covered as its whole context repeats; kind 1,
-    (h, number of contexts) if it has several."""
+    """Of each bucket with two suffixes or more: kind 0, (h, ctx, t, at, a, b) of a suffix whose whole context [a, b) repeats;
+    kind 1, (h, a: number of contexts) if it has several."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = {c: np.frombuffer(b"".join(pdf[c]), _KINDS[c]) for c in _PACKED}
@@ -152,13 +158,14 @@ def _same_contexts(packed: DataFrame) -> DataFrame:
         on = np.repeat(n > 1, n)
         h, contexts = np.unique(v["h"][first], return_counts=True)
         several = contexts > 1
-        start = v["at"][on] - v["before"][on]
+        none = np.zeros(several.sum(), np.int64)
+        both = lambda x, y: np.concatenate([x, y])
         return pd.DataFrame({
-            "kind": np.repeat([0, 1], [on.sum(), several.sum()]).astype(np.int32), "k": np.concatenate([v["t"][on], h[several]]),
-            "a": np.concatenate([start, contexts[several]]), "b": np.concatenate([v["at"][on] + v["after"][on], contexts[several]]),
+            "kind": np.repeat([0, 1], [on.sum(), several.sum()]).astype(np.int32), "h": both(v["h"][on], h[several]), "ctx": both(v["ctx"][on], none), "t": both(v["t"][on], none),
+            "at": both(v["at"][on], none), "a": both(v["at"][on] - v["before"][on], contexts[several]), "b": both(v["at"][on] + v["after"][on], none),
         })
 
-    return packed.groupBy("bucket").applyInPandas(run, "kind int, k long, a long, b long")
+    return packed.groupBy("bucket").applyInPandas(run, "kind int, h long, ctx long, t long, at long, a long, b long")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -214,86 +221,121 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], need: int = NEED) -
             yield [by_left[r] for r in ranks[a : b + 1]], left - 1, right
 
 
-def _contexts(docs: DataFrame, maybe, hot, buckets: int) -> DataFrame:
-    """Of buckets with several contexts: kind 0, one suffix of each context with its bytes; of hot ones: kind 1, packed windows."""
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _parts(h: int, left: bytes, right: bytes) -> Iterator[tuple[int, int]]:
+    """(i, part) of each part of a large bucket that a context belongs to; left reversed, from the anchor backwards."""
+    for i in range((NEED - GRAM) // STEP + 1):
+        before, after = STEP * i, max(GRAM, NEED - STEP * (i + 1))
+        if len(left) >= before and len(right) >= after:
+            yield i, _hash(b"%d %d " % (h, i) + left[:before] + b"|" + right[:after])
+
+
+def _contexts(texts: DataFrame, maybe, large, buckets: int) -> DataFrame:
+    """(bucket, part, i, h, ctx, t, at, left, right): one suffix of each context of the buckets with several; a large bucket's
+    contexts once in each of their parts. i is -1 in buckets that are not split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         met: set[tuple[int, int]] = set()
-        names = ["kind", "bucket", "h", "ctx", "t", "at", "left", "right"]
+        names = ["bucket", "part", "i", "h", "ctx", "t", "at", "left", "right"]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
         for b in pieces(batches):
-            texts, ids = _new(utf8(b.column(1)), seen)
-            out, windows = [], []
-            for rows, a in anchors(texts):
-                for j in np.flatnonzero(maybe(a.h)):
+            new, ids = _new(utf8(b.column(1)), seen)
+            out = []
+            for rows, a in anchors(new):
+                at = np.flatnonzero(maybe(a.h))
+                for j, split in zip(at, large(a.h[at]), strict=True):
                     key = (int(a.h[j]), int(a.ctx[j]))
                     if key in met:
                         continue
                     met.add(key)
-                    t, place, left, right = int(ids[rows[a.row[j]]]), a.place[j], a.left[j], a.right[j]
-                    if key[0] in hot.value:
-                        s = np.arange(left, min(place, right - NEED) + 1)
-                        windows.append((mix((a.p[s + NEED] - a.p[s]) * a.down[s]), np.full(len(s), t, np.int64), s + (a.at[j] - place)))
-                    else:
-                        out.append((0, key[0] % buckets, *key, t, int(a.at[j]), a.data[left:place].tobytes()[::-1], a.data[place:right].tobytes()))
-            if windows:
-                w = {k: np.concatenate([x[i] for x in windows]) for i, k in enumerate("hts")}
-                for k, v in group_rows(w, (w["h"] % np.uint64(buckets)).astype(np.int64)):
-                    out.append((1, k, 0, 0, 0, 0, np.concatenate([v["t"], v["s"]]).tobytes(), v["h"].tobytes()))
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    place = a.place[j]
+                    left, right = a.data[a.left[j] : place].tobytes()[::-1], a.data[place : a.right[j]].tobytes()
+                    for i, part in _parts(key[0], left, right) if split else ((-1, key[0]),):
+                        out.append((part % buckets, part, i, *key, int(ids[rows[a.row[j]]]), int(a.at[j]), left, right))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return docs.mapInArrow(run, "kind int, bucket int, h long, ctx long, t long, at long, left binary, right binary")
+    return texts.mapInArrow(run, "bucket int, part long, i int, h long, ctx long, t long, at long, left binary, right binary")
+
+
+def _scanned(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, int, list[int], int, int]]:
+    """(its rows, i, members, left, right) of each maximal repeat of each part in ``pdf``."""
+    pdf = pdf.drop_duplicates(["part", "h", "ctx"]).sort_values(["part", "h", "ctx"], kind="stable")
+    part, i, lefts, rights = (pdf[c].to_numpy() for c in ("part", "i", "left", "right"))
+    rows = pdf.index.to_numpy()
+    edges = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *edges], [*edges, len(part)], strict=True):
+        if b - a > 1:
+            for members, left, right in maximal_repeats(list(lefts[a:b]), list(rights[a:b])):
+                if i[a] in (-1, left // STEP):  # a repeat counts in its own part
+                    yield rows[a:b], int(i[a]), members, left, right
+
+
+def _forced(data: bytes, at: int) -> bool:
+    """Whether the anchor at ``at`` is one wherever ``data`` stands: whether it's the smallest of some window inside."""
+    p, down = prefix_hash(np.frombuffer(data, np.uint8))
+    grams = mix((p[GRAM:] - p[:-GRAM]) * down[: len(p) - GRAM])
+    least = _slide(grams, NEED - GRAM + 1, np.minimum)[: len(data) - NEED + 1]
+    return bool((least[max(0, at - NEED + GRAM) : at + 1] == grams[at]).any())
 
 
 def _groups_of(contexts: DataFrame) -> DataFrame:
-    """(h, repeat, length, t, start): the occurrences of each maximal repeat between contexts."""
+    """(part, repeat, length, h, ctx, before, full): the contexts of each maximal repeat, which begins so many bytes before the
+    anchor; full: the repeat is the whole context."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        pdf = pdf.drop_duplicates(["h", "ctx"])
-        for h, part in pdf.groupby("h", sort=False):
-            if len(part) < 2:
-                continue
-            t, at = part["t"].tolist(), part["at"].tolist()
-            for k, (members, left, right) in enumerate(maximal_repeats(part["left"].tolist(), part["right"].tolist())):
-                out += [(h, k, left + right, t[m], at[m] - left) for m in members]
-        return pd.DataFrame(out, columns=["h", "repeat", "length", "t", "start"], dtype="int64")
+        out, pdf = [], pdf.reset_index(drop=True)
+        part, h, ctx = (pdf[c].to_numpy() for c in ("part", "h", "ctx"))
+        size = pdf["left"].str.len().to_numpy(), pdf["right"].str.len().to_numpy()
+        lefts, rights = pdf["left"].to_numpy(), pdf["right"].to_numpy()
+        for k, (rows, _, members, left, right) in enumerate(_scanned(pdf)):
+            one = rows[members[0]]
+            if not _forced(lefts[one][:left][::-1] + rights[one][:right], left):
+                continue  # it comes with another anchor, at which all its occurrences meet
+            out += [(part[r], k, left + right, h[r], ctx[r], left, int((size[0][r], size[1][r]) == (left, right))) for r in rows[members]]
+        return pd.DataFrame(out, columns=["part", "repeat", "length", "h", "ctx", "before", "full"], dtype="int64")
 
-    return contexts.where("kind = 0").select("bucket", "h", "ctx", "t", "at", "left", "right").groupBy("bucket").applyInPandas(run, "h long, repeat long, length long, t long, start long")
+    return contexts.select("bucket", "part", "i", "h", "ctx", "left", "right").groupBy("bucket").applyInPandas(run, "part long, repeat long, length long, h long, ctx long, before long, full long")
 
 
 def _extents_of(contexts: DataFrame) -> DataFrame:
     """(t, a, b): for each context the bytes from the first to the last that some repeat around its anchor covers."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts, starts, ends = [], [], []
-        pdf = pdf.drop_duplicates(["h", "ctx"]).sort_values("h", kind="stable")
-        h, t, at, lefts, rights = (pdf[c].to_numpy() for c in ("h", "t", "at", "left", "right"))
-        edges = np.flatnonzero(np.diff(h)) + 1
-        for a, b in zip([0, *edges], [*edges, len(h)], strict=True):
-            if b - a < 2:
-                continue
-            before, after = np.full(b - a, -1), np.zeros(b - a, np.int64)
-            for members, left, right in maximal_repeats(list(lefts[a:b]), list(rights[a:b])):
-                before[members] = np.maximum(before[members], left)
-                after[members] = np.maximum(after[members], right)
-            on = before >= 0
-            ts.append(t[a:b][on])
-            starts.append(at[a:b][on] - before[on])
-            ends.append(at[a:b][on] + after[on])
-        return pd.DataFrame({k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in (("t", ts), ("a", starts), ("b", ends))})
+        pdf = pdf.reset_index(drop=True)
+        before, after = np.full(len(pdf), -1), np.zeros(len(pdf), np.int64)
+        for rows, _, members, left, right in _scanned(pdf):
+            m = rows[members]
+            before[m] = np.maximum(before[m], left)
+            after[m] = np.maximum(after[m], right)
+        on = before >= 0
+        at = pdf["at"].to_numpy()[on]
+        return pd.DataFrame({"t": pdf["t"].to_numpy()[on], "a": at - before[on], "b": at + after[on]})
+
+    return contexts.select("bucket", "part", "i", "h", "ctx", "t", "at", "left", "right").groupBy("bucket").applyInPandas(run, "t long, a long, b long")
 
-    return contexts.where("kind = 0").select("bucket", "h", "ctx", "t", "at", "left", "right").groupBy("bucket").applyInPandas(run, "t long, a long, b long")
 
+def _strings(contexts: DataFrame, buckets: int) -> DataFrame:
+    """(t, a, b): strings of ``NEED`` bytes around the anchors of large parts that several contexts hold, dealt by their hash."""
 
-def _hot_windows(contexts: DataFrame, buckets: int = 64) -> DataFrame:
-    """(t, a, b): windows that repeat, counted by their hash, then brought together by text, packed, and merged."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            parts = []
+            for t, at, left, right in zip(*(b.column(c).to_pylist() for c in ("t", "at", "left", "right")), strict=True):
+                data = np.frombuffer(left[::-1] + right, np.uint8)
+                s = np.arange(0, min(len(left), len(data) - NEED) + 1)
+                if len(s):
+                    p, down = prefix_hash(data)
+                    parts.append((mix((p[s + NEED] - p[s]) * down[s]), np.full(len(s), t, np.int64), s + (at - len(left))))
+            w = {k: np.concatenate([x[i] for x in parts]) if parts else np.empty(0, np.uint64 if k == "h" else np.int64) for i, k in enumerate("hts")}
+            out = list(group_rows(w, (w["h"] % np.uint64(buckets)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), *(pa.array([v[c].tobytes() for _, v in out], pa.binary()) for c in "hts")], names=["bucket", *"hts"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.frombuffer(b"".join(pdf["right"]), np.uint64)
-        pairs = [np.frombuffer(x, np.int64).reshape(2, -1) for x in pdf["left"]]
-        t, s = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+        h, t, s = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in zip("hts", (np.uint64, np.int64, np.int64), strict=True))
         order = np.lexsort((s, t, h))
         h, t, s = h[order], t[order], s[order]
         new = np.ones(len(h), bool)
@@ -303,57 +345,75 @@ def _hot_windows(contexts: DataFrame, buckets: int = 64) -> DataFrame:
         on[1:] = h[1:] == h[:-1]
         on[:-1] |= h[1:] == h[:-1]
         t, s = t[on], s[on]
-        out = [(k, v["t"].tobytes(), v["s"].tobytes()) for k, v in group_rows({"t": t, "s": s}, (mix(t.view(np.uint64)) % np.uint64(buckets)).astype(np.int64))]
-        return pd.DataFrame(out, columns=["to", "t", "s"])
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, s = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("t", "s"))
         order = np.lexsort((s, t))
         t, s = t[order], s[order]
         first = np.ones(len(t), bool)
-        first[1:] = (t[1:] != t[:-1]) | (s[1:] - s[:-1] > NEED)
-        last = np.append(first[1:], True)
+        first[1:] = (t[1:] != t[:-1]) | (s[1:] - s[:-1] > NEED)  # neighbours in one task go on as one row
+        last = np.append(first[1:], True) if len(t) else first
         return pd.DataFrame({"t": t[first], "a": s[first], "b": s[last] + NEED})
 
-    packed = contexts.where("kind = 1").select("bucket", "left", "right").groupBy("bucket").applyInPandas(run, "to long, t binary, s binary")
-    return packed.groupBy("to").applyInPandas(join, "t long, a long, b long")
+    packed = contexts.select("t", "at", "left", "right").mapInArrow(spread, "bucket int, h binary, t binary, s binary")
+    return packed.groupBy("bucket").applyInPandas(run, "t long, a long, b long")
 
 
 def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
 
 
-def _plan(texts: DataFrame):
-    """(covered as whole contexts repeat, contexts of the buckets with several)."""
+def _plan(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(suffixes whose whole contexts repeat, contexts of parts that one task may take, contexts of larger parts)."""
     spark = texts.sparkSession
     size = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     buckets = max(16, size // 20_000_000)
     first = cut(_same_contexts(_suffixes(texts, buckets)))
-    several = first.where("kind = 1")
-    hot = spark.sparkContext.broadcast({r.k for r in several.where(F.col("a") > CONTEXTS).select("k").toLocalIterator()})
-    keys = several.select(F.col("k").alias("key"))
-    maybe = lookup(spark, repeated_filter(keys.union(keys), 2 * keys.count()))
-    return first.where("kind = 0").select(F.col("k").alias("t"), "a", "b"), cut(_contexts(texts, maybe, hot, 4 * buckets))
+    several = first.where("kind = 1").select(F.col("h").alias("key"), "a")
+    sieve = lambda keys: lookup(spark, repeated_filter(keys.union(keys), 2 * keys.count()))
+    maybe, large = sieve(several.select("key")), sieve(several.where(F.col("a") > CONTEXTS).select("key"))
+    contexts = cut(_contexts(texts, maybe, large, 4 * buckets))
+    sizes = contexts.where("i >= 0").groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > CONTEXTS).select("part")
+    if sizes.limit(1).count() == 0:
+        return first.where("kind = 0").drop("kind"), contexts, contexts.limit(0)
+    over = cut(sizes)
+    return first.where("kind = 0").drop("kind"), contexts.join(over, "part", "left_anti"), contexts.join(over, "part", "left_semi").dropDuplicates(["h", "ctx"])
 
 
 def repeat_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(h, repeat, length, text_id, start): maximal repeats between different contexts, each with all its occurrences."""
-    return _groups_of(_plan(_texts(docs, text, doc_id))[1]).withColumnRenamed("t", "text_id")
+    """(part, repeat, length, text_id, start): the maximal repeats of ``NEED`` bytes or more, each with all its occurrences in distinct
+    texts, as far as a context reaches around an anchor: a longer one comes once for each anchor in it. Repeats
+    of parts too large to scan come as their contexts' whole repeats alone; `spans` has what they cover."""
+    same, contexts, _ = _plan(_texts(docs, text, doc_id))
+    contexts = cut(contexts)
+    every = contexts.select("h", "ctx", "t", "at").union(same.select("h", "ctx", "t", "at")).distinct()
+    groups = cut(_groups_of(contexts))
+    found = groups.join(every, ["h", "ctx"]).select("part", "repeat", "length", F.col("t").alias("text_id"), (F.col("at") - F.col("before")).alias("start"))
+    # contexts that repeat as wholes, named by the context, unless another context holds them too
+    whole = same.join(groups.where("full = 1").select("h", "ctx"), ["h", "ctx"], "left_anti").where(F.col("b") - F.col("a") >= NEED).select(F.col("ctx").alias("part"), F.lit(-1).cast("long").alias("repeat"), (F.col("b") - F.col("a")).alias("length"), F.col("t").alias("text_id"), F.col("a").alias("start"))
+    return found.union(whole).distinct()
+
+
+def _merged(covered: DataFrame, buckets: int) -> DataFrame:
+    """(text_id, spans array of (a, b)): overlapping and touching spans of a text as one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "a"], kind="stable")
+        t, a, b = (pdf[c].to_numpy() for c in "tab")
+        reach = pdf.groupby("t")["b"].cummax().to_numpy()
+        first = np.ones(len(t), bool)
+        first[1:] = (t[1:] != t[:-1]) | (a[1:] > reach[:-1])
+        last = np.append(first[1:], True)
+        t, a, b = t[first], a[first], reach[last]
+        edges = np.flatnonzero(np.diff(t)) + 1
+        return pd.DataFrame({"text_id": t[np.concatenate([[0], edges])], "spans": [[{"a": x, "b": y} for x, y in zip(p, q, strict=True)] for p, q in zip(np.split(a, edges), np.split(b, edges), strict=True)]})
+
+    dealt = covered.withColumn("to", F.pmod(F.xxhash64("t"), F.lit(buckets)))
+    return dealt.groupBy("to").applyInPandas(run, "text_id long, spans array<struct<a: bigint, b: bigint>>")
 
 
 def spans(texts: DataFrame) -> DataFrame:
     """(text_id, spans array of (a, b)): the bytes to remove of each distinct text, merged."""
-    same, contexts = _plan(texts)
-    covered = same.union(_extents_of(contexts)).union(_hot_windows(contexts))
-    steps = covered.groupBy(F.col("t").alias("text_id")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
-    # a span opens where no earlier one reaches: fold the sorted list
-    joined = F.aggregate(
-        "s", F.array().cast("array<struct<a:bigint,b:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b")))))
-        .otherwise(F.concat(acc, F.array(x))),
-    )
-    return steps.select("text_id", joined.alias("spans"))
+    same, contexts, large = _plan(texts)
+    covered = cut(same.select("t", "a", "b").union(_extents_of(contexts)).union(_strings(large, 64)))
+    return _merged(covered, max(16, covered.count() // 20_000))
 
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bytes_too: bool = True) -> DataFrame:
@@ -405,4 +465,5 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bytes_to
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"), bytes_too=False).drop("kept")
+    out = remove(spark.read.parquet(f"{sf_dir}/documents.parquet"), bytes_too=False)
+    return out.select("doc_id", "n_removed", "n_bytes", "n_spans", "kept_sha256")

@@ -87,26 +87,64 @@ def test_exact(docs, rows, nothing, spark):
     assert exact_dedup.keep_first(odd).count() == 1
 
 
+def covered_bytes(data, need=400):
+    """Brute force: which bytes of each text a string of ``need`` bytes covers that starts anywhere else too."""
+    n = Counter(d[p : p + need] for d in data.values() for p in range(len(d) - need + 1))
+    out = {}
+    for i, d in data.items():
+        cover = np.zeros(len(d), bool)
+        for p in range(len(d) - need + 1):
+            if n[d[p : p + need]] > 1:
+                cover[p : p + need] = True
+        out[i] = cover
+    return out
+
+
+def removed_like(got, data):
+    cover = covered_bytes(data)
+    for r in got:
+        d, on = data[r.doc_id], cover[r.doc_id]
+        runs = int((np.diff(np.concatenate([[0], on.astype(int)])) == 1).sum())
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(d), int(on.sum()), runs)
+        assert r.kept_sha256 == hashlib.sha256(np.frombuffer(d, np.uint8)[~on].tobytes()).hexdigest()
+
+
 @pytest.mark.parametrize("contexts", [2000, 2])
 def test_repeats(docs, rows, nothing, monkeypatch, contexts):
     monkeypatch.setattr(repeats, "CONTEXTS", contexts)
-    data = {i: (t or "").encode() for i, t, *_ in rows}
-    n = Counter(d[p : p + 400] for d in data.values() for p in range(len(d) - 399))
-    for r in repeats.remove(docs).collect():
-        d = data[r.doc_id]
-        cover = np.zeros(len(d) + 1, int)
-        for p in range(len(d) - 399):
-            if n[d[p : p + 400]] > 1:
-                cover[p : p + 400] = 1
-        on = cover[: len(d)] == 1
-        rest = np.frombuffer(d, np.uint8)[~on].tobytes()
-        runs = int((np.diff(np.concatenate([[0], on.astype(int)])) == 1).sum())
-        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(d), int(on.sum()), runs)
-        assert r.kept_sha256 == hashlib.sha256(rest).hexdigest()
+    got = repeats.remove(docs).collect()
+    assert len(got) == len(rows)
+    removed_like(got, {i: (t or "").encode() for i, t, *_ in rows})
     if contexts == 2000:
         assert repeats.remove(nothing).count() == 0
 
 
+@pytest.mark.parametrize("contexts", [2000, 6])
+def test_repeats_of_hot_passages_and_long_texts(spark, monkeypatch, contexts):
+    """Many texts share a passage, cut at different places; some are longer than a slice."""
+    monkeypatch.setattr(repeats, "CONTEXTS", contexts)
+    monkeypatch.setattr(repeats, "SLICE", 4000)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    data = {}
+    for i in range(40):
+        a, b = rng.randrange(0, 500), rng.randrange(380, 900)
+        data[i] = ("".join(rng.choice("xyz ") for _ in range(rng.randrange(600))) + passage[a : max(b, a + 300)] + "".join(rng.choice("uvw ") for _ in range(rng.randrange(300)))).encode()
+    for i in range(40, 44):
+        data[i] = ("".join(rng.choice("klmn ") for _ in range(3900)) + passage + "".join(rng.choice("opq ") for _ in range(9000)) + passage[100:700]).encode()
+    df = spark.createDataFrame([(i, d.decode()) for i, d in data.items()], "doc_id long, text string").repartition(3)
+    removed_like(repeats.remove(df).collect(), data)
+    if contexts == 2000:
+        found = repeats.repeat_groups(df).toPandas()
+        texts = {repeats.text_id(d): d for d in data.values()}
+        for _, g in found.groupby(["part", "repeat"]):
+            said = {texts[t][s : s + n] for t, s, n in zip(g["text_id"], g["start"], g["length"], strict=True)}
+            assert len(said) == 1 and len(g) > 1  # one string, in several places
+            word = said.pop()
+            every = {(k, m.start()) for k, d in texts.items() for m in re.finditer(b"(?=" + re.escape(word) + b")", d)}
+            assert every == set(zip(g["text_id"], g["start"], strict=True))
+
+
 def test_repeat_groups_are_maximal():
     lefts, rights = [b"xyz" + b"a" * 197, b"xyz" + b"b" * 197, b"q" * 200], [b"r" * 400, b"r" * 398 + b"st", b"r" * 400]
     got = {(tuple(sorted(m)), a, b) for m, a, b in repeats.maximal_repeats(lefts, rights, 400)}
