@@ -3,9 +3,9 @@
 Encoding reads bytes from left to right. Each prefix has one last token, which depends on at most as many bytes as
 the longest token has (`pairwise`). A state holds the prefixes that a later token may still attach to, each with
 the tokens not yet put out; a token is stable, whatever follows, once they all share it, and is emitted then.
-States are compiled when first met, in a table of fixed size; once it's full, a short word that leaves it (its end is
-within the lookahead) is merged as a whole, and a long one runs on states that are not kept. `lookahead` is the
-merge list's sufficient lookahead: no token waits for more bytes than that. Between words the machine starts
+States are compiled when first met, in a table that is emptied when it has ``STATES``. `lookahead` is a merge list's
+sufficient lookahead: merges times the longest token's bytes; what follows later never changes a token. No state
+holds more bytes than that (`_settle` makes sure), so memory is constant. Between words the machine starts
 anew, as no merge crosses a word of the pre-tokenizer's pattern; frequent words are memoised, in a table
 that is emptied at a fixed size. Decoding turns ids into bytes and feeds an incremental UTF-8 machine which keeps
 at most three bytes. Ids go into the result in runs of a fixed size.
@@ -20,7 +20,6 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
-import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -31,14 +30,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import utf8
-from .pairwise import NEVER, Machine, State, Uncompiled
+from .common import pieces, utf8
+from .pairwise import NEVER, Machine
 
 #: The byte-level pre-tokenizer's pattern (fixed values of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Words memoised at most, the longest word that is, the states kept at most, and the ids that are handed over at once.
-MEMO, MEMO_WORD, STATES, RUN = 300_000, 64, 30_000, 1 << 16
+MEMO, MEMO_WORD, STATES, RUN = 400_000, 64, 150_000, 1 << 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,20 +58,20 @@ class Codec(Machine):
         self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items() if all(c in letter for c in s)}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         ranks = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
-        self.ranks = ranks
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for s in self.added:
             self.ids.pop(s.encode(), None)
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.added.items()}
-        self.packed = {b: i.to_bytes(4, "little") for b, i in self.ids.items()}
+        #: What a state holds of a token: its id, packed.
+        packed = {b: i.to_bytes(4, "little") for b, i in self.ids.items()}
         longest = max(map(len, self.ids))
-        super().__init__(set(self.ids), lambda a, b: ranks.get((a, b), NEVER), (), lambda w, p: (*w, p), self._settle, STATES)
+        super().__init__(set(self.ids), lambda a, b: ranks.get((a, b), NEVER), b"", lambda w, p: w + packed[p], self._settle, STATES)
         table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         #: The tokens' bytes one after another, their sizes and places.
         self.flat, self.sizes = np.frombuffer(b"".join(table), np.uint8), np.array([len(t) for t in table])
         self.places = np.cumsum(self.sizes) - self.sizes
-        #: Each merge can delay a decision by one token at most.
-        self.lookahead = len(ranks) * longest
+        #: Bytes after a token beyond which nothing can change it: each merge delays a decision by one token at most.
+        self.waiting, self.lookahead = 4 * len(ranks), len(ranks) * longest
         self.words = regex.compile(PATTERN)
         #: The same for texts of characters below U+0250, with sets that the standard library can search.
         low = [chr(i) for i in range(0x250)]
@@ -90,44 +89,23 @@ class Codec(Machine):
                 state, put = state[c]
                 if put:
                     yield put
-        yield b"".join(self.packed[p] for p in state.entries[0][2])
-
-    def move(self, entries: tuple, symbol: int, keep: bool = True) -> tuple[State, object]:
-        return super().move(entries, bytes((symbol,)), keep)
-
-    def _settle(self, weights: list[tuple]) -> tuple[bytes, list[tuple]]:
-        """Tokens that all encodings still possible share are stable."""
-        n = 0
-        for same in zip(*weights, strict=False):
-            if any(p != same[0] for p in same):
-                break
-            n += 1
-        return b"".join(self.packed[p] for p in weights[0][:n]), [w[n:] for w in weights]
-
-    def merge(self, text: bytes) -> list[bytes]:
-        """The tokens of a short word, by merging alone: the best pair first, the leftmost of equals."""
-        get = self.ranks.get
-        part = [text[i : i + 1] for i in range(len(text))]
-        ranks = [get(pair, NEVER) for pair in itertools.pairwise(part)]
-        while ranks and (best := min(ranks)) < NEVER:
-            i = ranks.index(best)
-            del ranks[i]
-            new = part[i] + part.pop(i + 1)
-            part[i] = new
-            if i:
-                ranks[i - 1] = get((part[i - 1], new), NEVER)
-            if i < len(ranks):
-                ranks[i] = get((new, part[i + 1]), NEVER)
-        return part
+        yield state.entries[0][2]
+
+    def _settle(self, weights: list[bytes]) -> tuple[bytes, list[bytes]]:
+        """Tokens that all encodings still possible share are stable. As many tokens may wait as there are merges, which bounds
+        their bytes by the lookahead."""
+        if len(weights) == 1:
+            return weights[0], [b""]
+        low, high, n = min(weights), max(weights), 0
+        while n < len(low) and low[n : n + 4] == high[n : n + 4]:
+            n += 4
+        if len(low) - n > self.waiting or len(high) - n > self.waiting:
+            raise RuntimeError("a token waits for more bytes than the sufficient lookahead")
+        return (low[:n], [w[n:] for w in weights]) if n else (b"", weights)
 
     def word(self, word: str) -> bytes:
         """The ids of a word as little-endian unsigned 32-bit integers."""
-        data = word.encode()
-        self.short = len(data) <= MEMO_WORD
-        try:
-            return b"".join(self.stream((data,)))
-        except Uncompiled:
-            return b"".join(map(self.packed.__getitem__, self.merge(data)))
+        return b"".join(self.stream((word.encode(),)))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Runs of ids, packed."""
@@ -185,7 +163,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in pieces(batches):
             n, ids, back = [], [], []
             for t in utf8(b.column(1)):
                 size, digest, turned = 0, hashlib.sha256(), hashlib.sha256()

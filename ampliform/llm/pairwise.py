@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 #: The rank of a pair that doesn't merge.
 NEVER = float("inf")
+_WIDTH = 1 << 21
 
 
 class Pairwise:
@@ -53,7 +54,7 @@ class Pairwise:
     def fits(self, a, b) -> bool:
         """Whether b can follow a: whether no merge crosses their boundary while both are being built."""
         if (w := self._pair.get((a, b))) is None:
-            if len(self._pair) > 200_000:
+            if len(self._pair) > 400_000:
                 self._pair.clear()
             w = self._pair[a, b] = self._apart(a, b)
         return w
@@ -74,16 +75,12 @@ class Pairwise:
             else:
                 y, j = theirs[j][1], j + 1
 
-    def starts(self) -> set:
-        """All proper beginnings of pieces: a suffix of what was read matters only while it's one."""
-        return {p[:i] for p in self.pieces for i in range(1, len(p))}
-
 
 class State(dict):
     """A state of the transducer, compiled when first met; maps the next symbol to (next state, output).
 
-    entries: for each suffix that a piece can begin with, the empty one first: (suffix, the token before it, weight),
-    the weight being what the encoding up to that token has beyond what was put out.
+    entries: for each suffix that a piece can begin with, the empty one first: (its node in the pieces' trie, the token
+    before it, weight), the weight being what the encoding up to that token has beyond what was put out.
     """
 
     __slots__ = ("entries", "machine")
@@ -94,48 +91,61 @@ class State(dict):
 
     def __missing__(self, symbol):
         machine = self.machine
-        if len(machine.known) < machine.most_states:
-            self[symbol] = move = machine.move(self.entries, symbol)
-            return move
-        if machine.short:
-            raise Uncompiled
-        return machine.move(self.entries, symbol, keep=False)
-
-
-class Uncompiled(Exception):
-    """The table of states is full and the text has left it."""
+        if len(machine.known) >= machine.most_states:
+            machine.forget()
+        self[symbol] = move = machine.move(self.entries, symbol)
+        return move
 
 
 class Machine(Pairwise):
-    """A deterministic transducer over symbols, compiled lazily from the pieces.
+    """A deterministic transducer over symbols, compiled lazily from the pieces, in a table that is emptied when it's full.
 
     zero is the empty weight; add(weight, piece) extends it; settle(weights) gives (output, weights without it).
     """
 
     def __init__(self, pieces: set, rank: Callable, zero, add: Callable, settle: Callable, most_states: int):
         super().__init__(pieces, rank)
-        self.begins, self.zero, self.add, self.settle, self.most_states = self.starts(), zero, add, settle, most_states
+        self.add, self.settle, self.most_states = add, settle, most_states
+        # nodes are multiples of _WIDTH, those with children first; an edge is its node plus the symbol's code
+        inner = sorted({p[:i] for p in pieces for i in range(1, len(p))})
+        at = {p: (i + 1) * _WIDTH for i, p in enumerate([*inner, *sorted(pieces - set(inner))])}
+        code = (lambda p: p[-1]) if isinstance(next(iter(pieces)), bytes) else (lambda p: ord(p[-1]))
+        self._edges = {at.get(p[:-1], 0) + code(p): node for p, node in at.items()}
+        self._tokens, self._leaves = {at[p]: p for p in pieces}, (len(inner) + 1) * _WIDTH
         self.known: dict[tuple, State] = {}
-        self.start = State(self, ((None, None, zero),))
-        #: Whether what is read is short enough to be merged as a whole once it leaves a full table.
-        self.short = False
-
-    def move(self, entries: tuple, symbol, keep: bool = True) -> tuple[State, object]:
-        found, out = None, []
-        for suffix, before, weight in entries:
-            longer = symbol if suffix is None else suffix + symbol
-            if found is None and (suffix is None and self._single(longer) or longer in self.pieces and self.whole(longer)) and (before is None or self.fits(before, longer)):
-                found = (longer, weight)
-            if longer in self.begins:
-                out.append((longer, before, weight))
-        out.insert(0, (None, found[0], self.add(found[1], found[0])))
-        put, weights = self.settle([w for _, _, w in out])
-        key = tuple((s, b, w) for (s, b, _), w in zip(out, weights, strict=True))
+        self.start = State(self, ((0, None, zero),))
+
+    def forget(self) -> None:
+        """Drops all compiled states; a run in progress goes on from the one that it holds."""
+        self.known.clear()
+        self.start.clear()
+
+    def state(self, entries: tuple) -> State:
+        """The state of these entries."""
+        if entries == self.start.entries:
+            return self.start
+        if (found := self.known.get(entries)) is None:
+            found = self.known[entries] = State(self, entries)
+        return found
+
+    def move(self, entries: tuple, symbol) -> tuple[State, object]:
+        """The next state and the output; the one suffix whose token fits is the last token of what was read."""
+        code = symbol if isinstance(symbol, int) else ord(symbol)
+        edges, tokens, leaves, runs, pair = self._edges.get, self._tokens.get, self._leaves, self._runs, self._pair
+        token, ways, weights = None, [None], [None]
+        for node, before, weight in entries:
+            if (to := edges(node + code)) is None:
+                continue
+            if token is None and (t := tokens(to)) is not None and (runs.get(t) or self._run(t))[0]:
+                if before is None or (fits := pair.get((before, t))) or fits is None and self.fits(before, t):
+                    token, weights[0] = t, self.add(weight, t)
+            if to < leaves:
+                ways.append((to, before))
+                weights.append(weight)
+        if token is None:  # a symbol that no piece has
+            token, weights[0] = symbol, self.add(entries[0][2], symbol)
+        put, weights = self.settle(weights)
+        key = ((0, token, weights[0]), *[(w[0], w[1], x) for w, x in zip(ways[1:], weights[1:], strict=True)])
         if (state := self.known.get(key)) is None:
-            state = State(self, key)
-            if keep:
-                self.known[key] = state
+            state = self.known[key] = State(self, key)
         return state, put
-
-    def _single(self, symbol) -> bool:
-        return True

@@ -341,15 +341,49 @@ def test_bpe_query(docs, rows, nothing):
     assert bpe.round_trip(nothing, path).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [1 << 16, 37])
-def test_counts_are_the_librarys(monkeypatch, chunk):
+def test_counts_are_the_librarys(monkeypatch):
     import sentencepiece
 
-    monkeypatch.setattr(token_counts, "CHUNK", chunk)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.Counter(path)
-    for t in odd_texts()[:: 1 if chunk > 100 else 3]:
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    own = token_counts.Counter(path)
+    for t in odd_texts():
         assert own.count(t) == len(lib.encode(t))
+    monkeypatch.setattr(token_counts, "STATES", 10)
+    small = token_counts.Counter(path)
+    for t in odd_texts()[:60]:
+        assert small.count(t) == own.count(t)
+
+
+@pytest.mark.parametrize("meet", [4096, 5])
+def test_state_maps_compose(monkeypatch, meet):
+    """In any order, over any chunks, as walking does."""
+    monkeypatch.setattr(token_counts, "MEET", meet)
+    rng = random.Random(6)
+    own = token_counts.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    for t in [*odd_texts()[::4], "internationalisation" * 40, "a" * 700, "ab  c" * 90]:
+        if not t:
+            continue
+        whole = " " + t.replace("▁", " ")
+        cuts = sorted({0, len(whole), *(rng.randrange(len(whole)) for _ in range(9))})
+        maps = [own.map(whole[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        while len(maps) > 1:
+            i = rng.randrange(len(maps) - 1)
+            maps[i : i + 2] = [own.compose(*maps[i : i + 2])]
+        assert own.total(maps[0]) == own.count(t)
+
+
+def test_counts_query(spark, docs, rows, nothing, monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(token_counts, "LONG", 200)
+    monkeypatch.setattr(token_counts, "CHUNK", 64)
+    both = docs.union(docs.where("doc_id > 10"))
+    want = sorted((i, len((t or "").encode()), len(lib.encode(t or "")), len(lib.encode(t or "")) > 100) for i, t, *_ in [*rows, *(r for r in rows if r[0] > 10)])
+    assert sorted(map(tuple, token_counts.token_counts(both, path, 100).collect())) == want
+    assert token_counts.token_counts(nothing, path).count() == 0
 
 
 def test_jaccard(docs, rows, nothing, spark):
