@@ -12,7 +12,8 @@ occurrences.
 
 A bucket of more than ``CONTEXTS`` contexts is split by the bytes around it before it is exchanged: part i holds the
 contexts that agree in ``STEP`` * i bytes before the anchor and in the need - ``STEP`` * (i + 1) bytes from its start.
-A repeat with L bytes before the anchor is whole in part L // ``STEP``, so each part is scanned by itself. Contexts of a part
+A repeat with L bytes before the anchor is whole in part L // ``STEP`` (the last part takes longer ones), so each part is
+scanned by itself. Contexts of a part
 that is still larger agree in all but ``STEP`` bytes of a repeat: the tree's nodes left below are strings of ``need`` bytes,
 and they are dealt by their hash and counted, so no part is ever one task's beyond the bound.
 
@@ -39,7 +40,7 @@ from .common import SLICE, cut, group_rows, mix, pieces, prefix_hash, utf8
 from .exact_dedup import lookup, repeated_filter
 
 #: Bytes of a repeat, bytes of an anchor, contexts of a bucket or part that one task takes, bytes by which parts differ.
-NEED, GRAM, CONTEXTS, STEP = 400, 200, 2000, 40
+NEED, GRAM, CONTEXTS, STEP = 400, 200, 4000, 100
 
 
 def _slide(v: np.ndarray, w: int, op) -> np.ndarray:
@@ -227,7 +228,7 @@ def _hash(data: bytes) -> int:
 
 def _parts(h: int, left: bytes, right: bytes) -> Iterator[tuple[int, int]]:
     """(i, part) of each part of a large bucket that a context belongs to; left reversed, from the anchor backwards."""
-    for i in range((NEED - GRAM) // STEP + 1):
+    for i in range((NEED - GRAM) // STEP):
         before, after = STEP * i, max(GRAM, NEED - STEP * (i + 1))
         if len(left) >= before and len(right) >= after:
             yield i, _hash(b"%d %d " % (h, i) + left[:before] + b"|" + right[:after])
@@ -270,7 +271,7 @@ def _scanned(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, int, list[int], in
     for a, b in zip([0, *edges], [*edges, len(part)], strict=True):
         if b - a > 1:
             for members, left, right in maximal_repeats(list(lefts[a:b]), list(rights[a:b])):
-                if i[a] in (-1, left // STEP):  # a repeat counts in its own part
+                if i[a] in (-1, min(left // STEP, (NEED - GRAM) // STEP - 1)):  # a repeat counts in its own part
                     yield rows[a:b], int(i[a]), members, left, right
 
 
