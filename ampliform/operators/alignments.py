@@ -64,8 +64,8 @@ def ambiguous_consensus(comp: DataFrame, group: str, frequency: float, count: in
 def weighted_consensus(rows: DataFrame, group: str, read: str, aligned: str, weight: str, fraction: float = 0.5, floor: int = 3) -> DataFrame:
     """(group, consensus, snp_count): each row votes with its weight; a column stays if its bases have ``fraction`` of the weight
     and ``floor`` at least, and several bases give a code."""
-    w = rows.select(F.col(read).alias("w_read"), F.col(group).alias("w_group"), F.col(weight).alias("w"))
-    c = cells(rows, group, read, aligned).join(w, (F.col(read) == F.col("w_read")) & (F.col(group) == F.col("w_group")))
+    c = rows.select(group, F.col(weight).alias("w"), F.posexplode(F.split(F.upper(aligned), "")).alias("pos", "base")).where("base <> ''")
+    c = c.withColumn("base", F.when(F.col("base").isin("A", "C", "G", "T"), F.col("base")).otherwise("-"))
     col = c.groupBy(group, "pos").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("base") != "-", F.col("w")).otherwise(0)).alias("bases"), F.bit_or(base_mask(F.col("base"))).alias("mask"))
     kept = col.where((F.col("bases") >= F.col("all") * F.lit(fraction)) & (F.col("bases") >= floor)).withColumn("code", mask_code(F.col("mask")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]), "")
@@ -73,31 +73,44 @@ def weighted_consensus(rows: DataFrame, group: str, read: str, aligned: str, wei
 
 
 def read_identities(rows: DataFrame, comp: DataFrame, group: str, read: str, aligned: str) -> DataFrame:
-    """(group, read, rid): 1 - columns that differ from the consensus / bases of the consensus."""
-    cons = consensus_cells(comp, group).select(F.col(group).alias("c_group"), F.col("pos").alias("c_pos"), F.col("base").alias("c_base"))
-    length = cons.where("c_base <> '-'").groupBy("c_group").agg(F.count("*").alias("bases"))
-    c = cells(rows, group, read, aligned).join(cons, (F.col(group) == F.col("c_group")) & (F.col("pos") == F.col("c_pos")))
-    per = c.groupBy(group, read).agg(F.count_if(F.col("base") != F.col("c_base")).alias("errors"))
-    return per.join(length, F.col(group) == F.col("c_group")).select(group, read, (1 - F.col("errors") / F.col("bases")).alias("rid"))
+    """(group, read, rid): 1 - columns that differ from the consensus / bases of the consensus. A group's consensus is one text, which
+    meets each row whole."""
+    cons = consensus_cells(comp, group).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("c_row"))
+    row = F.regexp_replace(F.upper(aligned), "[^ACGT]", "-")
+    r = rows.select(group, read, row.alias("row")).join(cons, group)
+    errors = F.size(F.filter(F.zip_with(F.split("row", ""), F.split("c_row", ""), lambda x, y: x != y), lambda x: x))
+    return r.select(group, read, (1 - errors / F.length(F.replace("c_row", F.lit("-"), F.lit("")))).alias("rid"))
 
 
 def identity_outliers(rids: DataFrame, group: str, z: float = 1.5, gap: float = 2.5, least_mad: float = 0.002, drop: float = 0.02) -> DataFrame:
     """``rids`` with outlier: far below the median in units of the median deviation, or the worst one beyond a gap, and at
-    least ``drop`` below the median; groups of two or fewer have none."""
-    mid = rids.groupBy(group).agg(F.median("rid").alias("median"), F.count("*").alias("members")).withColumnRenamed(group, "m_group")
-    d = rids.join(mid, F.col(group) == F.col("m_group")).drop("m_group")
-    mad = d.groupBy(group).agg(F.median(F.abs(F.col("rid") - F.col("median"))).alias("mad"), F.min("rid").alias("worst"), F.max("rid").alias("best"), F.min_by(F.lit(1), "rid").alias("one")).withColumnRenamed(group, "m_group").drop("one")
-    by = Window.partitionBy(group).orderBy("rid")
-    second = d.withColumn("r", F.row_number().over(by)).where("r = 2").select(F.col(group).alias("s_group"), F.col("rid").alias("second"))
-    d = d.join(mad, F.col(group) == F.col("m_group")).join(second, F.col(group) == F.col("s_group"), "left")
+    least ``drop`` below the median; groups of two or fewer have none. The second worst comes from sums, so no group is sorted."""
+    mid = rids.groupBy(group).agg(F.median("rid").alias("median"), F.count("*").alias("members"), F.min("rid").alias("worst"), F.max("rid").alias("best"))
+    d = rids.join(mid, group)
+    off = F.abs(F.col("rid") - F.col("median"))
+    more = d.groupBy(group).agg(F.median(off).alias("mad"), F.count_if(F.col("rid") == F.col("worst")).alias("ties"), F.min(F.when(F.col("rid") > F.col("worst"), F.col("rid"))).alias("above"))
+    d = d.join(more, group)
+    second = F.when(F.col("ties") > 1, F.col("worst")).otherwise(F.col("above"))
     far = F.lit(0.6745) * (F.col("rid") - F.col("median")) / F.greatest(F.col("mad"), F.lit(least_mad)) < -z
-    rest = F.col("best") - F.col("second")
-    apart = F.col("second") - F.col("worst")
-    alone = (F.col("rid") == F.col("worst")) & F.when(rest > least_mad, apart > gap * rest).otherwise(apart > 5 * least_mad)
+    rest, apart = F.col("best") - second, second - F.col("worst")
+    alone = (F.col("rid") == F.col("worst")) & F.when(rest > 1e-9, apart > gap * rest).otherwise(apart > 5 * least_mad)
     low = F.col("median") - F.col("rid") >= drop
     return d.select(*rids.columns, ((F.col("members") >= 3) & low & (far | F.coalesce(alone, F.lit(False)))).alias("outlier"))
 
 
+def with_errors(reads: DataFrame, read: str, seq: str, rate: int) -> DataFrame:
+    """(read, seq) with errors in ``rate`` of 256 bases: a base goes, gets another after it, or becomes another, as the digest of
+    the read's name and the place decides."""
+
+    def one(base: Column, i: Column) -> Column:
+        h = F.md5(F.concat(F.col(read).cast("string"), F.lit(":"), (i + 1).cast("string")))
+        x, kind = F.conv(F.substring(h, 1, 2), 16, 10).cast("int"), F.conv(F.substring(h, 3, 1), 16, 10).cast("int") % 3
+        more = F.concat(base, F.substring(F.lit("ACGT"), x % 4 + 1, F.lit(1)))
+        return F.when(x >= rate, base).when(kind == 0, "").when(kind == 1, more).otherwise(F.translate(base, "ACGT", "CGTA"))
+
+    return reads.select(read, F.array_join(F.transform(F.split(seq, ""), one), "").alias("seq"))
+
+
 def haplotypes(c: DataFrame, positions: DataFrame, group: str, read: str, count: int, frequency: float) -> DataFrame:
     """(group, pos, allele, members): alleles at the given columns that pass both floors of their group's reads."""
     at = c.join(positions.select(F.col(group).alias("p_group"), F.col("pos").alias("p_pos")), (F.col(group) == F.col("p_group")) & (F.col("pos") == F.col("p_pos")))

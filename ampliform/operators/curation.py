@@ -83,3 +83,69 @@ def groups_by_anchor(variants: DataFrame, most: int, specimen: str = "specimen")
     a = variants.groupBy(specimen, "gid").agg(F.max("size").alias("anchor"))
     top = a.withColumn("r", F.row_number().over(Window.partitionBy(specimen).orderBy(F.desc("anchor"), "gid"))).where(F.col("r") <= most)
     return variants.join(top.select(specimen, "gid"), [specimen, "gid"], "left_semi")
+
+
+def calibration(variants: DataFrame, track: str, observed: str, expected: str, columns: str, low: float = 0.7, high: float = 1.4, least: int = 5000) -> DataFrame:
+    """(track, clusters, ratio, enough, within): observed over expected errors by track, and over all (track null)."""
+    c = variants.rollup(track).agg(F.count("*").alias("clusters"), (F.sum(observed) / F.sum(expected)).alias("ratio"), (F.sum(columns) >= least).alias("enough"))
+    return c.withColumn("within", F.coalesce(F.round("ratio", 6).between(low, high), F.lit(False)))
+
+
+def parameter_signals(variants: DataFrame, max_err: float = MAX_ERR) -> DataFrame:
+    """One row of what may suggest other parameters: passing variants just under the thresholds, and unusual routing."""
+    passed, n = F.col("track") == "pass", F.count("*")
+    pct = lambda t: F.round(100.0 * F.count_if(F.col("track") == t) / n, 6)
+    raw = lambda t: 100.0 * F.count_if(F.col("track") == t) / n
+    return variants.agg(
+        F.count_if(passed).alias("passed"), F.count_if(passed & (F.col("err_factor") > 1.3) & (F.col("err_factor") <= max_err)).alias("high_err"), F.count_if(passed & (F.col("cer_factor") > 1.0) & (F.col("cer_factor") <= 1.1)).alias("border_cer"),
+        pct("ns").alias("ns_pct"), pct("lq").alias("lq_pct"), ((raw("ns") > 50) | (raw("lq") > 20)).alias("unusual"),
+    )
+
+
+def summary_rows(variants: DataFrame, specimen: str, order: list[str]) -> DataFrame:
+    """``variants`` with multiple, the record's running number within its specimen."""
+    return variants.withColumn("multiple", F.row_number().over(Window.partitionBy(specimen).orderBy(*order)))
+
+
+def parents(variants: DataFrame, keys: list[str]) -> DataFrame:
+    """(ordinal, parent, parent_size, identity, edits): of each variant but the anchor the most similar larger one of its group, or the
+    anchor; of equals the larger, then the first."""
+    v = variants.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("size"), "ordinal"))).select(*keys, "ordinal", "size", "seq", "place")
+    p = v.select(*keys, F.col("ordinal").alias("parent"), F.col("size").alias("parent_size"), F.col("seq").alias("parent_seq"), F.col("place").alias("parent_place"))
+    pairs = v.join(p, keys).where((F.col("parent_size") > F.col("size")) | (F.col("parent_place") == 1) & (F.col("place") != 1))
+    pairs = pairs.withColumn("edits", F.levenshtein("seq", "parent_seq")).withColumn("identity", 1 - F.col("edits") / F.greatest(F.length("seq"), F.length("parent_seq")))
+    best = F.max_by(F.struct("parent", "parent_size", "identity", "edits"), F.struct(F.round("identity", 9), "parent_size", -F.col("parent")))
+    return pairs.groupBy("ordinal").agg(best.alias("x")).select("ordinal", "x.*")
+
+
+def specimens(variants: DataFrame, specimen: str) -> DataFrame:
+    """(specimen, clusters, passed, yield_pct, tracks): a specimen's variants over all tracks."""
+    passed = F.sum(F.when(F.col("track") == "pass", F.col("size")).otherwise(0))
+    return variants.groupBy(specimen).agg(F.count("*").alias("clusters"), passed.alias("passed"), F.round(100.0 * passed / F.sum("size"), 6).alias("yield_pct"), F.array_join(F.array_sort(F.collect_set("track")), ",").alias("tracks"))
+
+
+def mergeable(variants: DataFrame, keys: list[str], aligned: str, most: int, snps: int, indels: int) -> DataFrame:
+    """(keys, mask, size, snps): the largest subset of each group's ``most`` largest variants whose columns differ in ``snps`` places and
+    have gaps beside bases in ``indels`` at most. Subsets are bit masks, and so is who has which base in a column: no subset of rows is made."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("size"), "ordinal")) - 1
+    v = variants.withColumn("place", place).where(F.col("place") < most).withColumn("bit", F.call_function("shiftleft", F.lit(1), F.col("place")))
+    cell = v.select(*keys, "bit", F.posexplode(F.split(F.upper(aligned), "")).alias("pos", "base")).where("base <> ''")
+    who = lambda b: F.coalesce(F.bit_or(F.when(F.col("base") == b, F.col("bit"))), F.lit(0)).alias(f"has_{b}")
+    col = cell.groupBy(*keys, "pos").agg(*(who(b) for b in "ACGT"), F.coalesce(F.bit_or(F.when(F.col("base") == "-", F.col("bit"))), F.lit(0)).alias("gap"))
+    masks = F.explode(F.sequence(F.lit(1), F.lit((1 << most) - 1))).alias("mask")
+    m = F.col("mask")
+    kinds = sum(((F.col(f"has_{b}").bitwiseAND(m)) != 0).cast("int") for b in "ACGT")
+    gap = F.col("gap").bitwiseAND(m) != 0
+    stats = col.select("*", masks).groupBy(*keys, "mask").agg(F.count_if((kinds > 1) & ~gap).alias("snps"), F.count_if((kinds > 0) & gap).alias("indels"))
+    size = v.select(*keys, "bit", "size", masks).where(F.col("bit").bitwiseAND(m) != 0).groupBy(*keys, "mask").agg(F.sum("size").alias("size"))
+    ok = stats.where((F.col("snps") <= snps) & (F.col("indels") <= indels)).join(size, [*keys, "mask"])
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("size"), "mask"))
+    return ok.withColumn("r", first).where("r = 1").select(*keys, "mask", "size", "snps")
+
+
+def nearest_groups(variants: DataFrame, specimen: str) -> DataFrame:
+    """(specimen, gid, mate, edits): of each group the later group of its specimen whose anchor is nearest, the first of equals."""
+    a = variants.groupBy(specimen, "gid").agg(F.max_by("seq", F.struct("size", -F.col("ordinal"))).alias("seq"))
+    b = a.select(specimen, F.col("gid").alias("mate"), F.col("seq").alias("mate_seq"))
+    pairs = a.join(b, specimen).where("gid < mate").withColumn("edits", F.levenshtein("seq", "mate_seq"))
+    return pairs.groupBy(specimen, "gid").agg(F.min(F.struct("edits", "mate")).alias("x")).select(specimen, "gid", "x.mate", "x.edits")

@@ -18,12 +18,22 @@ def consensus_runs(rows: DataFrame, group: str, read: str, aligned: str) -> Data
 
 
 def observations(rows: DataFrame, group: str, read: str, aligned: str, least: int = 2) -> DataFrame:
-    """(group, start, base, length, read, called): bases of the run that the read shows in its columns; status clean, or complex with another base there."""
-    runs = consensus_runs(rows, group, read, aligned).where(F.col("length") >= least).select(F.col(group).alias("r_group"), F.col("pos").alias("r_pos"), F.col("base").alias("r_base"), "start", "length")
-    c = cells(rows, group, read, aligned).join(runs, (F.col(group) == F.col("r_group")) & (F.col("pos") == F.col("r_pos")))
-    per = c.groupBy(group, "start", F.col("r_base").alias("run_base"), "length", read).agg(F.count_if(F.col("base") == F.col("r_base")).alias("called"), F.count_if(~F.col("base").isin("-") & (F.col("base") != F.col("r_base"))).alias("other"))
-    status = F.when(F.col("other") > 0, "complex").when(F.col("called") == 0, "full_deletion").otherwise("clean")
-    return per.withColumn("status", status).drop("other")
+    """(group, start, run_base, length, read, called, status): bases of the run that the read shows between the bases beside it;
+    status clean, complex with another base there, full_deletion, or no_coverage where the bases beside it are missing too.
+
+    A group's runs travel to its rows as one array, and each is cut out of the row: no row becomes its cells.
+    """
+    by = Window.partitionBy(group).orderBy("start")
+    r = consensus_runs(rows, group, read, aligned).groupBy(group, "start", "base", "length").agg(F.max("pos").alias("stop"))
+    r = r.withColumn("left", F.coalesce(F.lag("stop").over(by), F.lit(-1))).withColumn("right", F.lead("start").over(by)).where(F.col("length") >= least)
+    spans = r.groupBy(group).agg(F.collect_list(F.struct("start", "base", "length", "left", "right")).alias("spans"))
+    x = rows.select(group, read, F.regexp_replace(F.upper(aligned), "[^ACGT]", "-").alias("row")).join(spans, group).select(group, read, "row", F.explode("spans").alias("x"))
+    right = F.coalesce("x.right", F.length("row"))
+    bases = F.replace(F.substring("row", F.col("x.left") + 2, right - F.col("x.left") - 1), F.lit("-"), F.lit(""))
+    x = x.withColumn("bases", bases).withColumn("called", F.length("bases") - F.length(F.replace("bases", F.col("x.base"), F.lit(""))))
+    lost = ((F.col("x.left") >= 0) & (F.substring("row", F.col("x.left") + 1, F.lit(1)) == "-")) & ((right < F.length("row")) & (F.substring("row", right + 1, F.lit(1)) == "-"))
+    status = F.when(F.length("bases") > F.col("called"), "complex").when(F.col("called") > 0, "clean").when(lost, "no_coverage").otherwise("full_deletion")
+    return x.select(group, "x.start", F.col("x.base").alias("run_base"), "x.length", read, F.col("called").cast("long").alias("called"), status.alias("status"))
 
 
 def by_context(obs: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def cluster_identity(spark, d):
 
 
 @query(oracle("""select specimen, read_id, members >= 3 and median - rid >= 0.01 and (0.6745 * (rid - median) / greatest(mad, 0.002) < -1.5
-      or coalesce(rid = worst and case when best - second > 0.002 then second - worst > 2.5 * (best - second) else second - worst > 0.01 end, false)) as outlier
+      or coalesce(rid = worst and case when best - second > 1e-9 then second - worst > 2.5 * (best - second) else second - worst > 0.01 end, false)) as outlier
     from (select *, median(abs(rid - median)) over (partition by specimen) as mad from (select *, median(rid) over (partition by specimen) as median, count(*) over (partition by specimen) as members,
       min(rid) over (partition by specimen) as worst, max(rid) over (partition by specimen) as best, nth_value(rid, 2) over (partition by specimen order by rid rows between unbounded preceding and unbounded following) as second
       from (select specimen, read_id, round(rid, 6) as rid from rid)))""", CELLS, _RID))
@@ -452,3 +452,6 @@ def other_errors(spark, d):
 def chimeras(spark, d):
     v = load(spark, d, "msa").groupBy("donor", F.col("row_aln")).agg(F.min("read_id").alias("read_id"), (F.count("*") * 1000 + F.max(F.col("price") % 997)).alias("size"))
     return runs.chimeras(v, "donor", "read_id", "size", "row_aln")
+
+
+from . import analysis  # noqa: E402, F401  registers more queries
