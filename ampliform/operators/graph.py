@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,88 +93,89 @@ def star_centres(e: DataFrame, group: str) -> DataFrame:
     return degree.groupBy(group).agg(best.alias("centre"), F.max("degree").alias("degree"))
 
 
+def _both(e: DataFrame, group: str, *more: str) -> DataFrame:
+    return e.select(group, "src", "dst", *more).union(e.select(group, F.col("dst").alias("src"), F.col("src").alias("dst"), *more))
+
+
 def greedy_clusters(nodes: DataFrame, e: DataFrame, group: str, read: str) -> DataFrame:
-    """(group, cluster, read): again and again the read with most free neighbours takes them; what is left stands alone.
+    """(group, cluster, read): again and again the read with most free neighbours, the first by name of equals, takes them; what
+    is left stands alone. A cluster has its centre's name; integer names.
 
-    One group's graph is one task's: a specimen's reads are bounded by a run of the instrument.
+    A round takes every read that no read within two steps comes before: such reads don't touch each other's stars, so all are
+    taken at once, as one after another would be.
     """
-
-    def run(key, node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        around = {n: set() for n in node[read]}
-        for a, b in zip(edge["src"], edge["dst"], strict=True):
-            around[a].add(b)
-            around[b].add(a)
-        out, cluster = [], 0
-        while around:
-            centre = min(around, key=lambda n: (-len(around[n]), n))
-            members = around[centre] | {centre}
-            out += [(key[0], cluster, m) for m in sorted(members)]
-            for m in members:
-                for n in around.pop(m):
-                    if n not in members:
-                        around[n].discard(m)
-            cluster += 1
-        return pd.DataFrame(out, columns=[group, "cluster", read])
-
-    schema = f"{group} {dict(nodes.dtypes)[group]}, cluster long, {read} {dict(nodes.dtypes)[read]}"
-    return nodes.select(group, read).groupBy(group).cogroup(e.select(F.col(group).alias("g"), "src", "dst").groupBy("g")).applyInPandas(run, schema)
-
-
-def flow_clusters(nodes: DataFrame, e: DataFrame, group: str, read: str, inflation: float = 4.0, rounds: int = 100, keep: int = 50) -> DataFrame:
-    """(group, cluster, read): Markov flow: column-stochastic weights are squared, raised and pruned until they stand still;
-    reads whose flow ends at the same attractors are a cluster, named by its smallest read."""
-
-    def run(key, node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(node[read].unique())
-        at = {n: i for i, n in enumerate(names)}
-        m = np.eye(len(names))
-        for a, b, w in zip(edge["src"], edge["dst"], edge["weight"], strict=True):
-            m[at[a], at[b]] = m[at[b], at[a]] = w
-        m /= m.sum(axis=0)
-        for _ in range(rounds):
-            new = np.power(m @ m, inflation)
-            if len(new) > keep:
-                new[new < np.partition(new, -keep, axis=0)[-keep]] = 0
-            new[new < 1e-6] = 0
-            new /= new.sum(axis=0)
-            if np.abs(new - m).max() < 1e-8:
-                break
-            m = new
-        label = np.arange(len(names))
-        links = (m > 1e-5) | (m > 1e-5).T
-        while True:
-            new = np.minimum(label, np.where(links, label[None, :], len(names)).min(axis=1))
-            if (new == label).all():
-                break
-            label = new
-        return pd.DataFrame({group: key[0], "cluster": names[label], read: names})
-
-    schema = f"{group} {dict(nodes.dtypes)[group]}, cluster {dict(nodes.dtypes)[read]}, {read} {dict(nodes.dtypes)[read]}"
-    return nodes.select(group, read).groupBy(group).cogroup(e.select(F.col(group).alias("g"), "src", "dst", "weight").groupBy("g")).applyInPandas(run, schema)
+    both = cut(_both(e, group).where("src <> dst").distinct())
+    out = []
+    while both.limit(1).count():
+        key = both.groupBy(group, "src").agg(F.struct(F.count("*").alias("k"), (-F.col("src")).alias("name")).alias("own"))
+        near = both.join(key.withColumnRenamed("src", "dst"), [group, "dst"]).groupBy(group, "src").agg(F.max("own").alias("near"))
+        top = cut(key.join(near, [group, "src"]).select(group, "src", "own", F.greatest("own", "near").alias("one")))
+        two = both.join(top.select(group, F.col("src").alias("dst"), "one"), [group, "dst"]).groupBy(group, "src").agg(F.max("one").alias("two"))
+        centres = top.join(two, [group, "src"]).where("own = greatest(one, two)").select(group, "src")
+        taken = both.join(centres, [group, "src"]).select(group, F.col("src").alias("cluster"), F.col("dst").alias(read))
+        taken = cut(taken.union(centres.select(group, "src", "src")))
+        gone = taken.select(group, read)
+        rest = both.join(gone.withColumnRenamed(read, "src"), [group, "src"], "left_anti").join(gone.withColumnRenamed(read, "dst"), [group, "dst"], "left_anti")
+        new = cut(rest.select(group, "src", "dst"))
+        discard(both, top)
+        both = new
+        out.append(taken)
+    known = functools.reduce(DataFrame.union, out) if out else None
+    alone = nodes.select(group, read).distinct()
+    if known is None:
+        return alone.select(group, F.col(read).alias("cluster"), read)
+    return known.union(alone.join(known.select(group, read), [group, read], "left_anti").select(group, read, read))
+
+
+def flow_clusters(nodes: DataFrame, e: DataFrame, group: str, read: str, inflation: float = 4.0, rounds: int = 100, keep: int = 50, least: float = 1e-6) -> DataFrame:
+    """(group, cluster, read): Markov flow: column-stochastic weights are squared, raised and pruned to ``keep`` a column until they stand
+    still; reads whose flow ends at the same attractors are a cluster, named by its smallest read. The matrix is rows (group, row,
+    col, w): squaring is a join on the shared read, and pruning bounds what a column brings to it."""
+
+    def normal(m: DataFrame) -> DataFrame:
+        total = m.groupBy(group, "col").agg(F.sum("w").alias("total"))
+        return m.join(total, [group, "col"]).select(group, "row", "col", (F.col("w") / F.col("total")).alias("w"))
+
+    loops = nodes.select(group, F.col(read).alias("row"), F.col(read).alias("col"), F.lit(1.0).alias("w")).distinct()
+    m = cut(normal(loops.union(_both(e, group, "weight"))))
+    by = Window.partitionBy(group, "col").orderBy(F.desc("w"), "row")
+    for _ in range(rounds):
+        left = m.select(group, "row", F.col("col").alias("mid"), F.col("w").alias("v"))
+        square = left.join(m.withColumnRenamed("row", "mid"), [group, "mid"]).groupBy(group, "row", "col").agg(F.pow(F.sum(F.col("v") * F.col("w")), F.lit(inflation)).alias("w"))
+        new = cut(normal(square.where(F.col("w") >= least).withColumn("r", F.row_number().over(by)).where(F.col("r") <= keep).drop("r")))
+        moved = new.join(m.withColumnRenamed("w", "before"), [group, "row", "col"], "full").where(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))) >= 1e-8)
+        still = not moved.limit(1).count()
+        discard(m)
+        m = new
+        if still:
+            break
+    links = m.where("w > 1e-5 and row <> col").select(group, F.col("row").alias("src"), F.col("col").alias("dst"))
+    return components(nodes, links, group, read).select(group, F.col("component").alias("cluster"), read)
 
 
 def linkage_groups(nodes: DataFrame, distances: DataFrame, group: str, read: str, most: float) -> DataFrame:
-    """(group, cluster, read): complete linkage, cut at distance ``most``; a pair without a distance is at 1. The nearest two groups
-    join while their farthest members are within reach; ties by the smaller names."""
-
-    def run(key, node: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(node[read].unique())
-        at = {n: i for i, n in enumerate(names)}
-        m = np.ones((len(names), len(names)))
-        for a, b, x in zip(d["src"], d["dst"], d["distance"], strict=True):
-            m[at[a], at[b]] = m[at[b], at[a]] = x
-        np.fill_diagonal(m, np.inf)
-        label = np.arange(len(names))
-        while len(names) > 1:
-            i, j = np.unravel_index(np.argmin(m), m.shape)
-            if not m[i, j] <= most:
-                break
-            i, j = min(i, j), max(i, j)
-            m[i] = m[:, i] = np.maximum(m[i], m[j])
-            m[i, i] = np.inf
-            m[j] = m[:, j] = np.inf
-            label[label == j] = i
-        return pd.DataFrame({group: key[0], "cluster": names[label], read: names})
-
-    schema = f"{group} {dict(nodes.dtypes)[group]}, cluster {dict(nodes.dtypes)[read]}, {read} {dict(nodes.dtypes)[read]}"
-    return nodes.select(group, read).groupBy(group).cogroup(distances.select(F.col(group).alias("g"), "src", "dst", "distance").groupBy("g")).applyInPandas(run, schema)
+    """(group, cluster, read): complete linkage, cut at distance ``most``; a pair without a distance is out of reach. The nearest two groups
+    join while their farthest members are within reach; ties by the smaller names, which name the groups; integer names.
+
+    Each round joins all pairs that are nearest to each other, which gives what one after another would: a joint group is
+    never nearer than its parts. Only pairs within reach are kept, so the state shrinks.
+    """
+    d = distances.where((F.col("distance") <= most) & (F.col("src") != F.col("dst"))).select(group, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "distance")
+    d = cut(d.groupBy(group, "a", "b").agg(F.max("distance").alias("distance")))
+    names = cut(nodes.select(group, read, F.col(read).alias("cluster")).distinct())
+    while d.limit(1).count():
+        pair = d.withColumn("key", F.struct("distance", "a", "b"))
+        ends = pair.select(group, F.col("a").alias("n"), "key").union(pair.select(group, F.col("b").alias("n"), "key")).groupBy(group, "n").agg(F.min("key").alias("best"))
+        one = pair.join(ends.withColumnRenamed("n", "a"), [group, "a"]).where("key = best").drop("best")
+        joined = cut(one.join(ends.withColumnRenamed("n", "b"), [group, "b"]).where("key = best").select(group, "a", "b"))
+        to = cut(joined.select(group, F.col("b").alias("n"), F.col("a").alias("into")).union(joined.select(group, F.col("a").alias("n"), F.col("a").alias("into"))))
+        moved = d.join(to.toDF(group, "a", "x"), [group, "a"], "left").join(to.toDF(group, "b", "y"), [group, "b"], "left")
+        parts = (F.when(F.col("x").isNotNull(), 2).otherwise(1) * F.when(F.col("y").isNotNull(), 2).otherwise(1)).alias("parts")
+        moved = moved.select(group, F.coalesce("x", "a").alias("p"), F.coalesce("y", "b").alias("q"), "distance", parts).where("p <> q")
+        # a joint group is within reach of another if all its parts are
+        new = moved.groupBy(group, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.max("distance").alias("distance"), F.count("*").alias("n"), F.max("parts").alias("parts")).where("n = parts").drop("n", "parts")
+        again = cut(new)
+        renamed = cut(names.join(joined.select(group, F.col("b").alias("cluster"), F.col("a").alias("into")), [group, "cluster"], "left").select(group, read, F.coalesce("into", "cluster").alias("cluster")))
+        discard(d, names, joined, to)
+        d, names = again, renamed
+    return names.select(group, "cluster", read)
