@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,23 +54,25 @@ def _align(a: list[str], b: list[str]) -> Iterator[tuple[str, str]]:
         t = d[i - 1] + 1
         t[:, 1:] = np.minimum(t[:, 1:], d[i - 1][:, :-1] + (x[:, i - 1, None] != y))
         d[i] = np.minimum.accumulate(t - step, axis=1) + step
-    for k in range(len(a)):
-        i, j, p, q = int(n[k]), int(m[k]), [], []
-        while i or j:
-            here = d[i, k, j]
-            if i and j and here == d[i - 1, k, j - 1] + (a[k][i - 1] != b[k][j - 1]):
-                i, j = i - 1, j - 1
-                p.append(a[k][i])
-                q.append(b[k][j])
-            elif i and here == d[i - 1, k, j] + 1:
-                i -= 1
-                p.append(a[k][i])
-                q.append("-")
-            else:
-                j -= 1
-                p.append("-")
-                q.append(b[k][j])
-        yield "".join(reversed(p)), "".join(reversed(q))
+    # all pairs walk back together: 1 takes a letter of both, 2 of a alone, 3 of b alone
+    i, j, k = n.copy(), m.copy(), np.arange(len(a))
+    ops = np.zeros((int((n + m).max(initial=0)), len(a)), np.uint8)
+    for t in range(len(ops)):
+        live = (i > 0) | (j > 0)
+        if not live.any():
+            break
+        here, up, left = d[i, k, j], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        both = (i > 0) & (j > 0) & (here == d[up, k, left] + (x[k, up] != y[k, left]))
+        one = ~both & (i > 0) & (here == d[up, k, j] + 1)
+        two = live & ~both & ~one
+        ops[t] = both + 2 * one + 3 * two
+        i, j = i - (both | one), j - (both | two)
+    for r in range(len(a)):
+        o = ops[:, r]
+        o = o[o > 0][::-1]
+        p, q = np.full(len(o), 45, np.uint8), np.full(len(o), 45, np.uint8)
+        p[o != 3], q[o != 2] = x[r, : n[r]], y[r, : m[r]]
+        yield p.tobytes().decode("ascii", "replace"), q.tobytes().decode("ascii", "replace")
 
 
 def events(a: str, b: str) -> tuple[int, int, int, int]:
@@ -192,3 +194,76 @@ def orientation(seq: Column, reverse: Column, forward_primer: str, reverse_prime
     hit = lambda s: (infix_distance(F.lit(forward_primer), F.substring(s, F.lit(1), F.lit(window))) <= edits).cast("int") + (infix_distance(end, F.substring(s, F.greatest(F.length(s) - window + 1, F.lit(1)), F.lit(window))) <= edits).cast("int")
     f, r = hit(seq), hit(reverse)
     return F.when((f > 0) & (r == 0), "+").when((r > 0) & (f == 0), "-")
+
+
+def oriented(reads: DataFrame, seq: str, forward: str, reverse: str, edits: int, window: int) -> DataFrame:
+    """``reads`` with strand, and the sequence turned where that is '-'; where it's unknown, as it was."""
+    from ..functions.sequence import reverse_complement
+
+    rc = reverse_complement(F.col(seq))
+    r = reads.withColumn("strand", orientation(F.col(seq), rc, forward, reverse, edits, window))
+    return r.withColumn(seq, F.when(F.col("strand") == "-", rc).otherwise(F.col(seq)))
+
+
+def _masks() -> np.ndarray:
+    from ..functions.sequence import CODES
+
+    mask = np.zeros(256, np.uint8)
+    for c, m in CODES.items():
+        mask[ord(c)] = mask[ord(c.lower())] = m
+    return mask
+
+
+def _infix_row(pattern: np.ndarray, y: np.ndarray, anchored: bool) -> np.ndarray:
+    """The last row of the matrices of a pattern against texts (base masks); anchored: from each text's start."""
+    step = np.arange(y.shape[1] + 1, dtype=np.int32)
+    d = np.repeat((step if anchored else np.zeros_like(step))[None], len(y), axis=0)
+    for c in pattern:
+        t = d + 1
+        t[:, 1:] = np.minimum(t[:, 1:], d[:, :-1] + ((c & y) == 0))
+        d = np.minimum.accumulate(t - step, axis=1) + step
+    return d
+
+
+def infix_spans(pattern: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the first best place of a pattern in each text, the longest that ends there."""
+    mask = _masks()
+    x = mask[np.frombuffer(pattern.encode("ascii", "replace"), np.uint8)]
+    raw, size = _matrix(texts, 0)
+    y = mask[raw]
+    d = np.where(np.arange(y.shape[1] + 1) <= size[:, None], _infix_row(x, y, False), 1 << 30)
+    end = d.argmin(axis=1)
+    edits = d[np.arange(len(d)), end]
+    back = np.zeros_like(y)
+    for k, e in enumerate(end):
+        back[k, :e] = y[k, :e][::-1]
+    r = np.where(np.arange(y.shape[1] + 1) <= end[:, None], _infix_row(x[::-1], back, True), 1 << 30)
+    long = y.shape[1] - r[:, ::-1].argmin(axis=1)
+    return edits, end - long, end
+
+
+_TRIMMED = T.StructType([T.StructField("seq", T.StringType()), T.StructField("primers", T.ArrayType(T.StringType()))])
+
+
+def trimmed(seq: Column, primers: list[tuple[str, str]]) -> Column:
+    """(seq, primers): the sequence without the best primer (fewest edits, the first of equals, a quarter of its length at most)
+    within twice its length of either end, and what was found, as 5'-name and 3'-name."""
+
+    @F.pandas_udf(_TRIMMED)
+    def run(s: pd.Series) -> pd.DataFrame:
+        texts = s.fillna("").tolist()
+        n = len(texts)
+        best = [[(1 << 30, None, 0)] * n, [(1 << 30, None, 0)] * n]
+        for name, p in primers:
+            for side, windows in enumerate(([t[: 2 * len(p)] for t in texts], [t[-2 * len(p) :] for t in texts])):
+                if n:
+                    for k, (e, a, b) in enumerate(zip(*infix_spans(p, windows), strict=True)):
+                        if e <= len(p) // 4 and e < best[side][k][0]:
+                            best[side][k] = (e, name, int(b) if side == 0 else len(texts[k]) - len(windows[k]) + int(a))
+        out = []
+        for k, t in enumerate(texts):
+            (_, five, cut), (_, three, stop) = best[0][k], best[1][k]
+            out.append((t[cut if five else 0 : stop if three else len(t)], [f"5'-{five}"] * bool(five) + [f"3'-{three}"] * bool(three)))
+        return pd.DataFrame(out, columns=["seq", "primers"])
+
+    return run(seq)

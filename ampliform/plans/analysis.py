@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import records
-from ..operators import alignments, columns, curation, fitting, runs
+from ..functions import records, sequence
+from ..operators import alignments, columns, consensus, curation, fitting, graph, pairwise, runs
 from .derived import CELLS, load, oracle
 from .queries import _RANKED, _RID, _RUNS, _VARIANT, RATES, _at, _ids, query
 
@@ -337,3 +336,46 @@ def synthetic_reads(spark, d):
     from anchors2 a join anchors2 b on a.specimen = b.specimen and a.gid < b.gid) where r = 1""", _RANKED, "anchors2 as (select specimen, gid, arg_max(seq, size * 10000000000 - ordinal) as seq from ids group by all)"))
 def nearest_groups(spark, d):
     return curation.nearest_groups(_ids(spark, d), "specimen").select("specimen", F.col("gid").cast("long").alias("gid"), F.col("mate").cast("long").alias("mate"), F.col("edits").cast("long").alias("edits"))
+
+
+# ---- reads that are not aligned yet
+
+
+@query(oracle("select specimen, string_agg(base, '' order by pos) as consensus from ranked where r = 1 and base <> '-' group by specimen", CELLS))
+def aligned_consensus(spark, d):
+    """From reads without their gaps; the SQL has the columns that they were made in."""
+    few = graph.classes(load(spark, d, "reads"), "specimen", "read_id", "seq")
+    return consensus.aligned_consensus(few, "specimen", "seq", "copies", 2)
+
+
+_TEMPLATES = """hs as (select distinct specimen, hap, case when hap = 1 then concat(substr(tpl, 1, 19), translate(substr(tpl, 20, 1), 'ACGT', 'GTAC'), substr(tpl, 21)) when hap = 2 then concat(substr(tpl, 1, 69), translate(substr(tpl, 70, 1), 'ACGT', 'CATG'), substr(tpl, 71)) else tpl end as consensus from msa)"""
+
+
+@query(oracle("select specimen, seq, hap, edits from (select r.specimen, r.seq, h.hap, levenshtein(r.seq, h.consensus)::bigint as edits, row_number() over (partition by r.specimen, r.seq order by levenshtein(r.seq, h.consensus), h.hap) as k from (select distinct specimen, seq from reads) r join hs h using (specimen)) where k = 1", _TEMPLATES))
+def reassigned_reads(spark, d):
+    m = load(spark, d, "msa")
+    t = F.col("tpl")
+    swap = lambda k, to: F.concat(F.substring(t, 1, k - 1), F.translate(F.substring(t, k, 1), "ACGT", to), F.substring(t, k + 1, 96))
+    h = m.select("specimen", "hap", F.when(F.col("hap") == 1, swap(20, "GTAC")).when(F.col("hap") == 2, swap(70, "CATG")).otherwise(t).alias("consensus")).distinct()
+    few = graph.classes(load(spark, d, "reads"), "specimen", "read_id", "seq")
+    return consensus.reassigned(few, h, "specimen", "hap", "seq").withColumn("edits", F.col("edits").cast("long"))
+
+
+#: Primers for exact reads: what is put before and after them, so the SQL can cut it off again.
+_PRIMERS = (("f", "GATTACAGATTACAG"), ("r", "CCTTGGAACCTTGGA"))
+
+
+@query(oracle("select read_id, seq, '5''-f+3''-r' as primers from reads"))
+def trimmed_primers(spark, d):
+    r = load(spark, d, "reads").select("read_id", F.concat(F.lit(_PRIMERS[0][1]), "seq", F.lit(_PRIMERS[1][1])).alias("seq"))
+    x = r.select("read_id", pairwise.trimmed(F.col("seq"), list(_PRIMERS)).alias("x"))
+    return x.select("read_id", "x.seq", F.array_join("x.primers", "+").alias("primers"))
+
+
+@query(oracle("select read_id, case read_id % 3 when 0 then '+' when 1 then '-' end as strand, case when read_id % 3 < 2 then concat('GATTACAGATTACAG', seq, 'CCTTGGAACCTTGGA') else seq end as seq from reads"))
+def oriented_reads(spark, d):
+    """Reads with primers on one strand or the other, or without: kept, turned, or left as they are."""
+    r = load(spark, d, "reads")
+    whole = F.concat(F.lit(_PRIMERS[0][1]), "seq", F.lit(_PRIMERS[1][1]))
+    r = r.select("read_id", F.when(F.col("read_id") % 3 == 0, whole).when(F.col("read_id") % 3 == 1, sequence.reverse_complement(whole)).otherwise(F.col("seq")).alias("seq"))
+    return pairwise.oriented(r, "seq", _PRIMERS[0][1], "TCCAAGGTTCCAAGG", 2, 30).select("read_id", "strand", "seq")
