@@ -1,21 +1,15 @@
 """FASTA and FASTQ files.
 
-FASTA is read as text with a record separator, so large files are split. A FASTQ file's records can't be told apart
-from its middle, as quality lines may begin with the mark of a record; each file is one row of binaryFile and
-streams through one task.
+Both are read as text, so large files are split. FASTA has a record separator. A FASTQ file's records can't be told apart from
+its middle, as quality lines may begin with the mark of a record: its lines are numbered, within the block of the file that a
+task reads and over the counts of the blocks before, and four lines are a record.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-READ = "path string, ord long, read_id string, title string, seq string, qual string"
-
-
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(path, read_id, title, seq) of each record; lines of a sequence are joined."""
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
@@ -24,30 +18,18 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.element_at(F.split(title, r"\s+"), 1).alias("read_id"), title.alias("title"), seq.alias("seq"))
 
 
-def _parse(path: str, data: bytes) -> Iterator[tuple]:
-    lines = data.decode("utf-8").splitlines()
-    while lines and not lines[-1].strip():
-        lines.pop()
-    if len(lines) % 4:
-        raise ValueError(f"{path}: a record is cut off")
-    for k in range(0, len(lines), 4):
-        head, seq, plus, qual = (x.rstrip("\r") for x in lines[k : k + 4])
-        if not head.startswith("@") or not plus.startswith("+") or len(seq) != len(qual):
-            raise ValueError(f"{path}: record {k // 4} is malformed")
-        yield path, k // 4, (head[1:].split() or [""])[0], head[1:], seq, qual
-
-
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ord, read_id, title, seq, qual) of each record."""
-    names = ["path", "ord", "read_id", "title", "seq", "qual"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = list(_parse(p, data))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 1 else pa.string()) for i in range(6)], names=names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, READ)
+    """(path, ord, read_id, title, seq, qual) of each record; a malformed or cut off one is an error."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("k"))
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("k").alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = lines.join(blocks.withColumn("before", before).drop("n"), ["path", "block"]).withColumn("at", F.col("before") + F.col("k") - F.col("least"))
+    line = lambda i: F.max(F.when(F.col("at") % 4 == i, F.col("value")))
+    r = at.groupBy("path", F.floor(F.col("at") / 4).alias("ord")).agg(line(0).alias("head"), line(1).alias("seq"), line(2).alias("plus"), line(3).alias("qual"))
+    r = r.where("trim(concat_ws('', head, seq, plus, qual)) <> ''")  # blank lines at the end
+    ok = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
+    title = F.when(F.coalesce(ok, F.lit(False)), F.substring("head", 2, 1 << 30)).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(": record "), F.col("ord").cast("string"), F.lit(" is malformed"))))
+    return r.select("path", "ord", title.alias("title"), "seq", "qual").select("path", "ord", F.element_at(F.split("title", r"\s+"), 1).alias("read_id"), "title", "seq", "qual")
 
 
 def read_primers(spark: SparkSession, path: str) -> DataFrame:
