@@ -36,7 +36,7 @@ from .pairwise import NEVER, Machine, State
 
 #: Characters of a text that is counted in one go at most, characters of a chunk, characters after which states are compared,
 #: units memoised and states kept at most.
-LONG, CHUNK, MEET, MEMO, STATES = 1 << 20, 1 << 18, 4096, 600_000, 60_000
+LONG, CHUNK, MEET, MEMO, STATES = 1 << 20, 1 << 18, 4096, 400_000, 150_000
 
 
 class Map(NamedTuple):
