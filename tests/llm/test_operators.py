@@ -283,6 +283,42 @@ def test_mixing(docs, rows, nothing):
     assert mixing.apply(docs).columns == docs.columns
 
 
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Sharing by weight, again and again among the sources that are not full."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    full, total = set(), share * sum(sizes.values())
+    while True:
+        left = total - sum(most * sizes[s] for s in full)
+        rest = [s for s in names if s not in full]
+        part = {s: left * w[s] / sum(w[t] for t in rest) for s in rest}
+        over = {s for s in rest if part[s] > most * sizes[s]}
+        if not over:
+            return {s: most * sizes[s] if s in full else part[s] for s in names}
+        full |= over
+
+
+def test_mixing_targets_and_small_sources(spark):
+    """A source of one word beside large ones gets its slot; equal rows and repeated ids are taken row by row."""
+    data = [(i, "w " * (200 + i % 7), "big" if i % 2 else "other") for i in range(300)] + [(9000, "one", "tiny"), (9001, "a b", None), (7, "w w w", "big"), (7, "w w w", "big"), (None, "x y", "other"), (8, None, "void")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    sizes = defaultdict(int)
+    for _, t, s in data:
+        sizes[s] += len((t or "").split())
+    want = plain_targets(sizes)
+    got = mixing._mixed(df, (5, 2, 1), 1.5, 2.0, "text", "doc_id", "source").collect()
+    assert len(got) == len(data) and all(abs(r.target - want[r.source]) < 1e-6 and r.source_size == sizes[r.source] for r in got)
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.taken <= 2 * r.size
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    out = mixing.apply(df)
+    n = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    for key in {(r.doc_id, r.source) for r in got}:
+        assert sum(c for (i, _, s), c in n.items() if (i, s) == key) == sum(int(r.taken / r.size + 0.5) for r in got if r.size and (r.doc_id, r.source) == key)
+
+
 def test_toxicity(spark, docs, nothing):
     rng = random.Random(9)
     bad = ["grobnik", "sclurf", "vexmoor"]
