@@ -118,9 +118,11 @@ def variant_columns(spark, d):
     return alignments.variant_columns(_comp(spark, d), "specimen", 0.1, 3).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(oracle("""select specimen, pos, top, total from (select specimen, pos, max(n) as top, sum(n)::bigint as total from comp where base <> '-' group by all) where total >= 2 and top * 2 <= total""", CELLS))
+@query(oracle("""select donor, pos, top, total from (select donor, pos, max(n) as top, sum(n)::bigint as total from (select donor, i - 1 as pos, substr(row_aln, i, 1) as base, count(*) as n from msa, (select unnest(range(1, 97)) as i) group by all) where base <> '-' group by all)
+    where total >= 2 and top * 2 <= total"""))
 def columns_without_majority(spark, d):
-    return alignments.without_majority(_comp(spark, d), "specimen").withColumn("pos", F.col("pos").cast("long"))
+    comp = alignments.composition(load(spark, d, "msa"), "donor", "read_id", "row_aln")
+    return alignments.without_majority(comp, "donor").withColumn("pos", F.col("pos").cast("long"))
 
 
 _MASK = "case base when 'A' then 1 when 'C' then 2 when 'G' then 4 when 'T' then 8 else 0 end"
@@ -448,10 +450,17 @@ def other_errors(spark, d):
     return runs.other_errors(load(spark, d, "msa"), "specimen", "read_id", "row_aln")
 
 
-@query()
+#: Of each template, its reverse and a recombinant of both.
+_PLANTED = "planted as (select specimen, tpl as a, reverse(tpl) as b from (select distinct specimen, tpl from msa)), sites as (select specimen, i from planted, (select unnest(range(1, 97)) as i) where substr(a, i, 1) <> substr(b, i, 1))"
+
+
+@query(oracle("""select specimen, 3 as candidate, 1 as a, 2 as b, count(*) as sites, (max(i) filter (i <= 48) - 1)::bigint as at, 0::bigint as mismatches, least(count_if(i <= 48), count_if(i > 48))::bigint as gain from sites group by specimen""", _PLANTED))
 def chimeras(spark, d):
-    v = load(spark, d, "msa").groupBy("donor", F.col("row_aln")).agg(F.min("read_id").alias("read_id"), (F.count("*") * 1000 + F.max(F.col("price") % 997)).alias("size"))
-    return runs.chimeras(v, "donor", "read_id", "size", "row_aln")
+    t = load(spark, d, "msa").select("specimen", "tpl").distinct()
+    a, b = F.col("tpl"), F.reverse("tpl")
+    each = ((1, 100, a), (2, 90, b), (3, 10, F.concat(F.substring(a, 1, 48), F.substring(b, 49, 48))))
+    rows = t.select("specimen", F.explode(F.array(*(F.struct(F.lit(i).alias("name"), F.lit(n).alias("size"), x.alias("row_aln")) for i, n, x in each))).alias("x")).select("specimen", "x.*")
+    return runs.chimeras(rows, "specimen", "name", "size", "row_aln")
 
 
 from . import analysis  # noqa: E402, F401  registers more queries

@@ -28,8 +28,8 @@ def rows(pdf, columns):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     got = QUERIES[name](spark, str(DATA)).toPandas()
+    assert len(got)
     if name not in ORACLE:
-        assert len(got.columns)
         return
     want = db.sql(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
