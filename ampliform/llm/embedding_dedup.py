@@ -11,7 +11,7 @@ the lists miss, for whatever reason, is found there: they save work, and the res
 comparison of centres grows with the square of the number of pieces (of classes, where hardly any are near).
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of
-different length never link; rows that repeat a vec_id are vectors of their own; an empty table gives an empty result; extra
+different length never link; rows that repeat a vec_id are vectors of their own, and null ids never name a component; an empty table gives an empty result; extra
 columns are left alone.
 """
 
@@ -244,15 +244,17 @@ def _count_links(parts: DataFrame, units: DataFrame, threshold: float) -> DataFr
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, embedding: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
     rows = cut(_classes(vectors, embedding, vec_id))
-    units = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).where("id is not null"))
+    # a class has the hash of its vector as name, as vec_ids may repeat or be null
+    units = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.xxhash64("v")))
     n = units.count()
     lists = _refine(cut(_best(_first_lists(units, n, range(CODES)))), units, n)
     found = cut(_links(lists, units, threshold))
     parts = connected_components(found)
     parts = connected_components(found.union(_bridges(parts, units, threshold)))
     links = _count_links(parts, units, threshold)
-    classes = units.join(parts.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left")
-    named = classes.select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    classes = cut(units.join(parts.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").withColumn("root", F.coalesce("component", "id")))
+    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = classes.join(roots, "root").select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.join(named, rows.v == named.w, "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

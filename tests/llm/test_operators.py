@@ -4,6 +4,7 @@ extra columns whose names clash with those that the operators use."""
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -481,3 +482,56 @@ def test_exact_hot_group(spark, monkeypatch):
     copies = [i for i in range(4000) if i % 3 < 2]
     assert len(got) == 4000 and all((got[i].keep_id, got[i].group_size) == (0, len(copies)) for i in copies)
     assert all(got[i].kept for i in range(2, 4000, 3)) and exact_dedup.keep_first(df).count() == 4000 - len(copies) + 1
+
+
+def test_sharding_against_plain_values(spark, docs, rows):
+    """Sizes, checksums and the law by plain Python; equal texts together; each shard a stretch of (text hash, row hash)."""
+    both = docs.select("doc_id", "text").union(docs.where("doc_id < 9").select("doc_id", "text"))
+    data = sorted(((i, t) for i, t, *_ in [*rows, *(r for r in rows if r[0] < 9)]), key=str)
+    got = sharding.shard(both, 4).collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got) == sorted((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "bytes", None) for i, t in data)
+    assert {r.shard for r in got} <= set(range(4))
+    shard, crc = defaultdict(set), {i: zlib.crc32((t or "").encode()) for i, t in data}
+    for r in got:
+        shard[crc[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for s in shard.values())
+    for k in range(4):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_embeddings_of_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, component_id string, v int"
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, [1.0, 0.0], "x", 1), (1, [1.0, 0.01], "x", 1), (2, [1.0, 0.0], "x", 1), (None, [0.0, 1.0], "x", 1), (3, None, "x", 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 5 and sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id is not None) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
+def test_ftrl_is_the_published_update():
+    """Against a plain version, coordinate by coordinate."""
+    rng = random.Random(3)
+    rows = [(int(rng.random() < 0.4), sorted({rng.randrange(12) for _ in range(5)} | {12})) for _ in range(40)]
+    z, n = [0.0] * 13, [0.0] * 13
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for y, at in rows:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-(sum(w.values()) - 0.3))) - y
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    got = toxicity.ftrl([(y, np.array(at)) for y, at in rows], 12, -0.3)
+    assert np.allclose(got, [weight(i) for i in range(13)]) and np.count_nonzero(got)
+
+
+def test_keep_one_of_odd_ids(spark):
+    """Of a component one row stays, with null and repeated ids too; rows without words stay."""
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, base), (5, base + " end"), (None, base + " more"), (5, base), (3, "quite another text of some words here"), (None, ""), (None, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 4 and sorted((str(r.doc_id), r.text == "") for r in kept) == [("3", False), ("5", False), ("None", True), ("None", True)]
