@@ -50,7 +50,7 @@ def byte_letters() -> dict[str, int]:
 class Codec(Machine):
     """A byte-level BPE vocabulary read from a tokenizer's JSON file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, states: int | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letter = byte_letters()
@@ -65,7 +65,7 @@ class Codec(Machine):
         #: What a state holds of a token: its id, packed.
         packed = {b: i.to_bytes(4, "little") for b, i in self.ids.items()}
         longest = max(map(len, self.ids))
-        super().__init__(set(self.ids), lambda a, b: ranks.get((a, b), NEVER), b"", lambda w, p: w + packed[p], self._settle, STATES)
+        super().__init__(set(self.ids), lambda a, b: ranks.get((a, b), NEVER), b"", lambda w, p: w + packed[p], self._settle, states or STATES)
         table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         #: The tokens' bytes one after another, their sizes and places.
         self.flat, self.sizes = np.frombuffer(b"".join(table), np.uint8), np.array([len(t) for t in table])
@@ -153,16 +153,16 @@ class _Memo(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def codec(path: str, states: int | None = None) -> Codec:
     """One codec for each vocabulary and Python worker."""
-    return Codec(path)
+    return Codec(path, states)
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", states: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded, then decoded from its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, states)
         for b in pieces(batches):
             n, ids, back = [], [], []
             for t in utf8(b.column(1)):
