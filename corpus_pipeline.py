@@ -12,9 +12,7 @@ columns go along unchanged, whatever their names, up to the last stage.
 
 from __future__ import annotations
 
-import functools
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,42 +20,26 @@ from ampliform.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from ampliform.llm.common import own_folder
 
 
-def small_batches(stage: Callable) -> Callable:
-    """The stage with at most 1,000 rows handed to Python at once: texts may be long, and executors keep what they once took."""
-
-    @functools.wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        return stage(spark, docs, sf_dir)
-
-    return run
-
-
-@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@small_batches
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first(docs)
 
 
-@small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.keep_one(docs)
 
 
-@small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply(docs)
 
 
-@small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), states=30_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
