@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, importance, jaccard_join, licenses, mixing, repeats, sharding, token_counts, toxicity
+from . import bpe, embedding_dedup, exact_dedup, importance, jaccard_join, licenses, mixing, negatives, repeats, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_importance": importance.op11_importance,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 
-ORACLE = exact_dedup.ORACLE | embedding_dedup.ORACLE | jaccard_join.ORACLE | importance.ORACLE
+ORACLE = exact_dedup.ORACLE | embedding_dedup.ORACLE | jaccard_join.ORACLE | importance.ORACLE | negatives.ORACLE
