@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, importance, jaccard_join, licenses, mixing, negatives, repeats, sharding, token_counts, toxicity
+from . import bpe, embedding_dedup, exact_dedup, importance, jaccard_join, licenses, mixing, negatives, page_text, repeats, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_importance": importance.op11_importance,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_page_text": page_text.op13_page_text,
 }
 
 ORACLE = exact_dedup.ORACLE | embedding_dedup.ORACLE | jaccard_join.ORACLE | importance.ORACLE | negatives.ORACLE
