@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .alignments import cells, composition, consensus_cells
+from .alignments import composition, consensus_cells
 
 
 def consensus_runs(rows: DataFrame, group: str, read: str, aligned: str) -> DataFrame:
@@ -62,11 +62,17 @@ def bimodal(obs: DataFrame, context: DataFrame, group: str, least: float = 0.1,
 
 
 def other_errors(rows: DataFrame, group: str, read: str, aligned: str) -> DataFrame:
-    """(group): matches, substitutions and deletions of reads at consensus bases outside runs."""
-    single = consensus_runs(rows, group, read, aligned).where("length = 1").select(F.col(group).alias("r_group"), F.col("pos").alias("r_pos"), F.col("base").alias("r_base"))
-    c = cells(rows, group, read, aligned).join(single, (F.col(group) == F.col("r_group")) & (F.col("pos") == F.col("r_pos")))
-    same = F.col("base") == F.col("r_base")
-    return c.groupBy(group).agg(F.count_if(same).alias("matches"), F.count_if(~same & (F.col("base") != "-")).alias("subs"), F.count_if(F.col("base") == "-").alias("dels"), F.countDistinct(read).alias("reads"))
+    """(group, matches, subs, dels, ins, reads): what reads show at consensus bases outside runs, and the bases that they have in columns
+    where the consensus has none."""
+    comp = composition(rows, group, read, aligned)
+    single = consensus_runs(rows, group, read, aligned).where("length = 1").select(group, "pos", F.col("base").alias("c"))
+    none = consensus_cells(comp, group).where("base = '-'").select(group, "pos", F.lit("-").alias("c"))
+    c = comp.join(single.union(none), [group, "pos"])
+    n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("long")
+    solid, same, gap = F.col("c") != "-", F.col("base") == F.col("c"), F.col("base") == "-"
+    counts = c.groupBy(group).agg(n(solid & same).alias("matches"), n(solid & ~same & ~gap).alias("subs"), n(solid & gap).alias("dels"), n(~solid & ~gap).alias("ins"))
+    reads = rows.groupBy(group).agg(F.countDistinct(read).alias("reads"))
+    return counts.join(reads, group)
 
 
 def chimeras(rows: DataFrame, group: str, name: str, size: str, aligned: str, most: int = 6, sites: int = 6, wrong: int = 1, gain: int = 4, side: int = 3) -> DataFrame:

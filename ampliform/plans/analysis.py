@@ -204,16 +204,18 @@ def filtered_contexts(spark, d):
 _BINS = "case when reads >= 1000 then '1000-inf' when reads >= 500 then '500-1000' when reads >= 200 then '200-500' when reads >= 100 then '100-200' when reads >= 50 then '50-100' when reads >= 20 then '20-50' when reads >= 5 then '5-20' end"
 
 
-@query(oracle(f"""select bin, count(*) as clusters, round(sum(subs) / sum(matches + subs + dels)::double, 9) as sub, round(sum(dels) / sum(matches + subs + dels)::double, 9) as indel from (select *, {_BINS} as bin from (
-    select donor, count_if(base = top)::bigint as matches, count_if(base <> top and base <> '-')::bigint as subs, count_if(base = '-')::bigint as dels, count(distinct read_id) as reads
+@query(oracle(f"""select bin, count(*) as clusters, round(sum(subs) / sum(matches + subs + dels)::double, 9) as sub, round((sum(dels) + sum(ins)) / sum(matches + subs + dels)::double, 9) as indel from (select *, {_BINS} as bin from (
+    select donor, any_value(ins) as ins, count_if(base = top)::bigint as matches, count_if(base <> top and base <> '-')::bigint as subs, count_if(base = '-')::bigint as dels, count(distinct read_id) as reads
     from (select donor, read_id, pos, base from (select donor, read_id, i - 1 as pos, substr(row_aln, i, 1) as base from msa, (select unnest(range(1, 97)) as i)))
-    join (select donor, pos, c as top from donor_runs where length = 1) using (donor, pos) group by donor)) where bin is not null group by rollup (bin)""",
+    join (select donor, pos, c as top from donor_runs where length = 1) using (donor, pos) join dins using (donor) group by donor)) where bin is not null group by rollup (bin)""",
     """dcomp as (select donor, i - 1 as pos, substr(row_aln, i, 1) as base, count(*) as n from msa, (select unnest(range(1, 97)) as i) group by all),
-      dtop as (select donor, pos, base as c from (select *, row_number() over (partition by donor, pos order by n desc, instr('ACGT-', base)) as r from dcomp) where r = 1 and base <> '-'),
+      dfirst as (select donor, pos, base as c from (select *, row_number() over (partition by donor, pos order by n desc, instr('ACGT-', base)) as r from dcomp) where r = 1),
+      dtop as (select * from dfirst where c <> '-'),
+      dins as (select donor, sum(case when c = '-' and base <> '-' then n else 0 end)::bigint as ins from dcomp join dfirst using (donor, pos) group by donor),
       disle as (select *, sum(new) over (partition by donor order by pos) as run from (select donor, pos, c, case when c <> coalesce(lag(c) over (partition by donor order by pos), '') then 1 else 0 end as new from dtop)),
       donor_runs as (select donor, pos, c, count(*) over (partition by donor, run) as length from disle)"""))
 def other_error_rates(spark, d):
-    c = runs.other_errors(load(spark, d, "msa"), "donor", "read_id", "row_aln").withColumn("ins", F.lit(0))
+    c = runs.other_errors(load(spark, d, "msa"), "donor", "read_id", "row_aln")
     return fitting.other_rates(c, "reads").select("bin", "clusters", F.round("sub", 9).alias("sub"), F.round("indel", 9).alias("indel"))
 
 

@@ -28,10 +28,28 @@ def msa_sql(string: str) -> str:
                           case when read_id % 29 = 0 then concat('1.v', cast(read_id % 3 + 1 as {string})) end as chimera, replace(row_aln, '-', '') as seq from msa)"""
 
 
+def gapped_sql(string: str) -> str:
+    """Reads with a base too many, one missing and one replaced, of which one alignment is best: A and C take turns with G and T, so no run
+    blurs where a base is missing, and errors keep twelve columns apart. ``planted`` has the places, ``gapped`` the reads."""
+    swap = lambda x, at: f"concat(substr({x}, 1, {at} - 1), translate(substr({x}, {at}, 1), 'ACGT', 'CATG'), substr({x}, {at} + 1))"
+    far = lambda a, *others: " and ".join([f"{a} between 2 and 94", *(f"abs({a} - {o}) >= 12" for o in others)])
+    digits = f"translate(substr(concat(md5(concat('u', cast(o_custkey % 50 as {string}))), md5(concat('v', cast(o_custkey % 50 as {string})))), 1, 48), '0123456789abcdef', 'wxyzwxyzwxyzwxyz')"
+    return f"""
+      g0 as (select o_orderkey as read_id, o_custkey % 50 as specimen, case when o_orderkey % 10 < 6 then 0 when o_orderkey % 10 < 9 then 1 else 2 end as hap,
+                    cast(o_orderkey % 131 as int) + 1 as p0, cast(o_orderkey % 149 as int) + 1 as d0, cast(o_orderkey % 113 as int) + 1 as q0,
+                    replace(replace(replace(replace({digits}, 'w', 'AG'), 'x', 'AT'), 'y', 'CG'), 'z', 'CT') as tpl from orders),
+      g1 as (select *, case when hap = 1 then {swap("tpl", 20)} when hap = 2 then {swap("tpl", 70)} else tpl end as s0, case when {far("p0", 20, 70)} then p0 else 0 end as p from g0),
+      g2 as (select *, case when {far("d0", 20, 70, "p")} then d0 else 0 end as d, case when p > 0 then {swap("s0", "p")} else s0 end as s1 from g1),
+      planted as (select read_id, specimen, hap, tpl, s1, d, case when {far("q0", 20, 70, "p", "d")} then q0 else 0 end as q from g2),
+      gapped as (select read_id, specimen, hap, tpl, case when q > d and d > 0 then concat(substr(s1, 1, d - 1), substr(s1, d + 1, q - d), extra, substr(s1, q + 1)) when d > 0 and q > 0 then concat(substr(s1, 1, q), extra, substr(s1, q + 1, d - q - 1), substr(s1, d + 1))
+                        when d > 0 then concat(substr(s1, 1, d - 1), substr(s1, d + 1)) when q > 0 then concat(substr(s1, 1, q), extra, substr(s1, q + 1)) else s1 end as seq
+                 from (select *, translate(substr(s1, greatest(q, 1), 1), 'ACGT', 'CATG') as extra from planted))"""
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of msa, reads and variants over the orders of ``sf_dir``; only the columns that they need are read."""
+    """One of msa, reads, variants and gapped over the orders of ``sf_dir``; only the columns that they need are read."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
-    return spark.sql(f"with orders as (select * from {{o}}), {msa_sql('string')} select * from {name}", o=orders)
+    return spark.sql(f"with orders as (select * from {{o}}), {gapped_sql('string') if name == 'gapped' else msa_sql('string')} select * from {name}", o=orders)
 
 
 #: Positional counts for the DuckDB side.
@@ -40,6 +58,22 @@ CELLS = """cells as (select specimen, read_id, i - 1 as pos, substr(row_aln, i,
       ranked as (select *, sum(n) over (partition by specimen, pos) as total, row_number() over (partition by specimen, pos order by n desc, instr('ACGT-', base)) as r from comp)"""
 
 
+#: The columns that the gapped reads have in common: a column for each base of the template, and one for each place where any read has a base more.
+GAPPED = """gc as (select specimen, read_id, hap, 2 * i as s, case when i = d then '-' else substr(s1, i, 1) end as base from planted, (select unnest(range(1, 97))::int as i)),
+      extra as (select specimen, read_id, 2 * q + 1 as s, translate(substr(s1, q, 1), 'ACGT', 'CATG') as base from planted where q > 0),
+      slots as (select distinct specimen, s from extra),
+      gcells0 as (select specimen, read_id, s, base from gc union all
+                  select p.specimen, p.read_id, slots.s, coalesce(extra.base, '-') from planted p join slots on p.specimen = slots.specimen left join extra on extra.read_id = p.read_id and extra.s = slots.s),
+      live as (select specimen, s, (row_number() over (partition by specimen order by s) - 1)::int as pos from (select specimen, s from gcells0 group by all having count_if(base <> '-') > 0)),
+      gcells as (select specimen, read_id, pos, base from gcells0 join live using (specimen, s)),
+      gcomp as (select specimen, pos, base, count(*) as n from gcells group by all)"""
+
+
+def gapped_oracle(body: str, *ctes: str) -> str:
+    """SQL for DuckDB over the gapped reads and their planted columns."""
+    return "with recursive " + ",\n".join([gapped_sql("varchar"), GAPPED, *ctes]) + "\n" + body
+
+
 def oracle(body: str, *ctes: str) -> str:
     """SQL for DuckDB over the derived tables: further named queries, then the body."""
     return "with recursive " + ",\n".join([msa_sql("varchar"), *ctes]) + "\n" + body

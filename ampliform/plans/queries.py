@@ -444,8 +444,8 @@ def bimodal_runs(spark, d):
     return runs.bimodal(obs, runs.by_context(obs), "specimen", 0.01, 0.5).withColumn("start", F.col("start").cast("long"))
 
 
-@query(oracle("""select specimen, count_if(base = run_base)::bigint as matches, count_if(base <> run_base and base <> '-')::bigint as subs, count_if(base = '-')::bigint as dels, count(distinct read_id) as reads
-    from cells join cruns using (specimen, pos) where length = 1 group by specimen""", CELLS, _RID, _RUNS))
+@query(oracle("""select specimen, count_if(base = run_base)::bigint as matches, count_if(base <> run_base and base <> '-')::bigint as subs, count_if(base = '-')::bigint as dels, any_value(ins) as ins, count(distinct read_id) as reads
+    from cells join cruns using (specimen, pos) join (select specimen, sum(case when t.base = '-' and c.base <> '-' then c.n else 0 end)::bigint as ins from comp c join ranked t using (specimen, pos) where t.r = 1 group by specimen) using (specimen) where length = 1 group by specimen""", CELLS, _RID, _RUNS))
 def other_errors(spark, d):
     return runs.other_errors(load(spark, d, "msa"), "specimen", "read_id", "row_aln")
 
@@ -463,4 +463,4 @@ def chimeras(spark, d):
     return runs.chimeras(rows, "specimen", "name", "size", "row_aln")
 
 
-from . import analysis  # noqa: E402, F401  registers more queries
+from . import analysis, gapped  # noqa: E402, F401  register more queries
