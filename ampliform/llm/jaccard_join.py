@@ -109,7 +109,7 @@ def _classes_and_sketch(texts: DataFrame) -> DataFrame:
         names = ["doc_id", "th", "n", "set_id", "bits", "seg", "at", "count"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         seen: set[int] = set()
-        for b in pieces(batches, 2048):
+        for b in pieces(batches, 512):
             n, ids, bits, held, size = [0] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows, [], 0
             for i, s in shingle_sets(utf8(b.column(1))):
                 n[i], ids[i] = len(s), set_id(s)
@@ -118,7 +118,7 @@ def _classes_and_sketch(texts: DataFrame) -> DataFrame:
                     bits[i] = bitmap(s)
                 held.append(s >> np.uint64(43))
                 size += len(s)
-                if size > 1_000_000:
+                if size > 250_000:
                     total += np.bincount(np.concatenate(held).view(np.int64), minlength=CELLS)
                     held, size = [], 0
             if held:
@@ -299,7 +299,7 @@ def _queries(repeated: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
 
 def _chunked(asked: DataFrame, held: DataFrame, sets: DataFrame, run, schema: str) -> DataFrame:
     """run(queries, members) over buckets of chunks of groups: asked (g, chunk, set_id), held the same, each with what ``sets`` has."""
-    n = max(16, asked.count() // 2000)
+    n = max(16, asked.count() // 2000, held.count() // 2000)  # either side bounds what a bucket holds
     names = ["bucket", "g", "chunk", "set_id", *sets.columns[1:]]
     bucket = F.pmod(F.xxhash64("g", "chunk"), F.lit(n)).alias("bucket")
     one, two = (x.join(sets, "set_id").select(bucket, *names[1:]).toDF(*names) for x in (asked, held))  # as new columns: both sides come from one table
