@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alignments, columns, frames, runs
+from ..operators import alignments, columns, frames, phasing, runs
 from .derived import gapped_oracle, load
 from .queries import query
 
@@ -67,3 +67,10 @@ def gapped_error_factor(spark, d):
     rates = {"non-hp-sub": 0.0039, "non-hp-indel": 0.0027} | {f"hp-l{k}": 0.01 * k for k in range(2, 6)}
     e = alignments.expected_error(None, _comp(spark, d), rates, "specimen")
     return e.select("specimen", F.round("observed", 9).alias("observed"), F.round("expected", 9).alias("expected"), "columns")
+
+
+@query(gapped_oracle("""select read_id, case when one and hap = 1 then substr(s1, 20, 1) when one and two_left then concat(substr(s1, 20, 1), '-', substr(s1, 70, 1)) when one then substr(s1, 20, 1) when two then substr(s1, 70, 1) else '' end as path from planted join (
+      select specimen, n >= 6 and n1 >= 3 and n1 >= n * 0.05 and n - n1 >= 3 as one, n >= 6 and n2 >= 3 and n2 >= n * 0.05 and n - n2 >= 3 as two, n - n1 >= 6 and n2 >= 3 and n2 >= (n - n1) * 0.05 and n - n1 - n2 >= 3 as two_left
+      from (select specimen, count(*) as n, count_if(hap = 1) as n1, count_if(hap = 2) as n2 from planted group by specimen)) using (specimen)"""))
+def phased_reads(spark, d):
+    return phasing.phased(load(spark, d, "gapped"), "specimen", "read_id", "seq", 3, 0.05)[0].select("read_id", "path")
