@@ -69,8 +69,14 @@ def gapped_error_factor(spark, d):
     return e.select("specimen", F.round("observed", 9).alias("observed"), F.round("expected", 9).alias("expected"), "columns")
 
 
-@query(gapped_oracle("""select read_id, case when one and hap = 1 then substr(s1, 20, 1) when one and two_left then concat(substr(s1, 20, 1), '-', substr(s1, 70, 1)) when one then substr(s1, 20, 1) when two then substr(s1, 70, 1) else '' end as path from planted join (
-      select specimen, n >= 6 and n1 >= 3 and n1 >= n * 0.05 and n - n1 >= 3 as one, n >= 6 and n2 >= 3 and n2 >= n * 0.05 and n - n2 >= 3 as two, n - n1 >= 6 and n2 >= 3 and n2 >= (n - n1) * 0.05 and n - n1 - n2 >= 3 as two_left
+def _splits(n: str, m: str) -> str:
+    return f"({n}) >= 8 and {m} >= 4 and {m} >= 0.08 * ({n}) and ({n}) - {m} >= 4 and ({n}) - {m} >= 0.08 * ({n})"
+
+
+#: Two sites: the one with more of its rarer allele leaves less behind; the larger part may split at the other.
+@query(gapped_oracle(f"""select read_id, case when one and (n1 >= n2 or not two) then case when hap = 1 then a when {_splits("n - n1", "n2")} then concat(a, '-', b) else a end
+                             when two then case when hap = 2 then b when {_splits("n - n2", "n1")} then concat(b, '-', a) else b end else '' end as path
+    from (select read_id, specimen, hap, substr(s1, 20, 1) as a, substr(s1, 70, 1) as b from planted) join (select *, {_splits("n", "n1")} as one, {_splits("n", "n2")} as two
       from (select specimen, count(*) as n, count_if(hap = 1) as n1, count_if(hap = 2) as n2 from planted group by specimen)) using (specimen)"""))
 def phased_reads(spark, d):
-    return phasing.phased(load(spark, d, "gapped"), "specimen", "read_id", "seq", 3, 0.05)[0].select("read_id", "path")
+    return phasing.phased(load(spark, d, "gapped"), "specimen", "read_id", "seq", 4, 0.08)[0].select("read_id", "path")
