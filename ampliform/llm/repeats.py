@@ -467,4 +467,4 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bytes_to
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove(spark.read.parquet(f"{sf_dir}/documents.parquet"), bytes_too=False)
-    return out.select("doc_id", "n_removed", "n_bytes", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
