@@ -73,7 +73,7 @@ def merged(variants: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def mergeable(stats: DataFrame, most_snps: int, most_indels: int, longest_indel: int) -> Column:
+def within_limits(stats: DataFrame, most_snps: int, most_indels: int, longest_indel: int) -> Column:
     """Whether a set of variants may be merged: its differences, with those of earlier rounds, stay within the limits."""
     return (F.col("snps") + F.col("prior_snps") <= most_snps) & (F.col("indels") + F.col("prior_indels") <= most_indels) & (F.col("indel_length") <= longest_indel)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import merging, overlap
+from ..operators import merging, overlap, variant_merge
 from .derived import gapped_oracle, load, oracle
 from .queries import query
 
@@ -78,3 +78,16 @@ def groups_by_overlap(spark, d):
     from (select read_id, (p > 0)::int + (hap > 0)::int as n_subs, (d > 0)::int + (q > 0)::int as n_indels from planted join g1 using (read_id))""".replace("planted join g1 using (read_id)", "(select planted.*, g1.p from planted join g1 on planted.read_id = g1.read_id)")))
 def variant_summaries(spark, d):
     return load(spark, d, "gapped").select("read_id", overlap.variant_summary("tpl", "seq").alias("summary"))
+
+
+@query(gapped_oracle("""select specimen, case when merged and (hap = 0 or hap = mate) then least(top, 9) else hap end::bigint as name, any_value(case when merged and (hap = 0 or hap = mate) then both_ else n end)::bigint as size, count(*)::int as n_members,
+      max(case when merged and (hap = 0 or hap = mate) then concat(substr(tpl, 1, site - 1), translate(substr(tpl, site, 1), 'ACGT', 'MMKK'), substr(tpl, site + 1)) when hap = 1 then concat(substr(tpl, 1, 19), translate(substr(tpl, 20, 1), 'ACGT', 'CATG'), substr(tpl, 21)) when hap = 2 then concat(substr(tpl, 1, 69), translate(substr(tpl, 70, 1), 'ACGT', 'CATG'), substr(tpl, 71)) else tpl end) as seq
+    from (select v.*, mate, mate is not null and n0 is not null as merged, n0 + nm as both_, case when n0 >= nm then 0 else mate end as top, case when mate = 1 then 20 else 70 end as site from v left join (
+        select specimen, max(n) filter (hap = 0) as n0, first(hap order by n desc, hap) filter (hap > 0) as mate, max(n) filter (hap > 0) as nm from v group by specimen) using (specimen)) group by 1, 2""",
+    "v as (select specimen, hap, any_value(tpl) as tpl, count(*) as n from planted group by all)"))
+def merged_variants(spark, d):
+    r = load(spark, d, "gapped").groupBy("specimen", "hap").agg(F.first("tpl").alias("tpl"), F.count("*").alias("size"))
+    turn = lambda at: F.concat(F.substring("tpl", 1, at - 1), F.translate(F.substring("tpl", at, 1), "ACGT", "CATG"), F.substring("tpl", at + 1, 96))
+    v = r.withColumn("seq", F.when(F.col("hap") == 1, turn(20)).when(F.col("hap") == 2, turn(70)).otherwise(F.col("tpl"))).withColumn("name", F.col("hap").cast("long")).withColumn("primers", F.array(F.lit("p1")))
+    m = variant_merge.merge_variants(v, ["specimen"], "name", "seq", "size", "size", "primers", variant_merge.Limits(positions=1, floor=1))
+    return m.select("specimen", "name", "size", F.size("members").alias("n_members"), "seq")
