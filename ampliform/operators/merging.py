@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import same_primers
 from .graph import connected
 from .tables import cut, discard
 
@@ -98,12 +99,6 @@ def contracted(variants: DataFrame, links: DataFrame, specimen: str, group: str,
     return whole.select(specimen, group, into.alias("into"))
 
 
-def same_primers(a: Column, b: Column) -> Column:
-    """Whether two lists of primers are one set; an unknown one counts as the same."""
-    known = (F.size(F.coalesce(a, F.array().cast("array<string>"))) > 0) & (F.size(F.coalesce(b, F.array().cast("array<string>"))) > 0)
-    return ~known | (F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b)))
-
-
 def overlap_links(variants: DataFrame, specimen: str, group: str, seq: str, primers: str, overlap: int, identity: float, least: int = 1) -> DataFrame:
     """(specimen, a, b, distance): pairs of groups of which two members with different primers overlap with a distance below 1 - ``identity``; the
     least distance. Equal sequences of a group with equal primers are compared once, and not those of one primer set."""

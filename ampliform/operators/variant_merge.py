@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sequence import CODES
+from ..functions.sequence import CODES, merge_batch
 from .frames import FULL, place
 from .overlap import overlaps
 from .tables import cut, discard
@@ -189,14 +189,18 @@ def packed(batch: list[dict], whole: bool, limits: Limits) -> Iterator[tuple[dic
 
 
 _STATE = ("name", "seq", "size", "ric", "primers", "snps", "indels", "members")
+_FREE = (*_STATE, "most")
 
 
-def merge_variants(variants: DataFrame, keys: list[str], name: str, seq: str, size: str, ric: str, primers: str, limits: Limits, batch: int = 6) -> DataFrame:
+def merge_variants(variants: DataFrame, keys: list[str], name: str, seq: str, size: str, ric: str, primers: str, limits: Limits, batch: int = 6, effort: int | None = None) -> DataFrame:
     """(keys, name, seq, size, ric, primers, snps, indels, members): what is left when no subset merges any more; name is that of the largest
-    member, members are the names of all. Variants without a sequence stay as they are."""
+    member, members are the names of all. Variants without a sequence stay as they are. With an ``effort``, batches are as large as it allows
+    a group of the size."""
     kind = variants.schema[name].dataType
     state = variants.select(*keys, F.col(name).alias("name"), F.upper(F.coalesce(seq, F.lit(""))).alias("seq"), F.col(size).cast("long").alias("size"), F.col(ric).cast("long").alias("ric"), F.coalesce(F.col(primers), F.array().cast("array<string>")).alias("primers"), F.lit(0).cast("long").alias("snps"), F.lit(0).cast("long").alias("indels"), F.array(name).alias("members"))
-    out = T.StructType([state.schema[c] for c in (*keys, *_STATE)] + [T.StructField("overlapped", T.BooleanType()), T.StructField("used", T.ArrayType(kind))])
+    most = F.lit(batch) if effort is None else merge_batch(F.count("*").over(Window.partitionBy(*keys)), effort).cast("int")
+    state = state.withColumn("most", most)
+    out = T.StructType([state.schema[c] for c in (*keys, *_FREE)] + [T.StructField("overlapped", T.BooleanType()), T.StructField("used", T.ArrayType(kind))])
     by = Window.partitionBy(*keys).orderBy(F.desc("size"), "name")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +208,8 @@ def merge_variants(variants: DataFrame, keys: list[str], name: str, seq: str, si
         for r in rows:
             r["primers"], r["members"] = list(r["primers"]), list(r["members"])
         own = pdf[keys].iloc[0].tolist()
-        found = [[*own, *(rec[c] for c in _STATE), rec["overlapped"], used] for rec, used in packed(rows, bool(pdf["left"].iloc[0] <= batch), limits)]
+        most = int(pdf["most"].iloc[0])
+        found = [[*own, *(rec[c] for c in _STATE), most, rec["overlapped"], used] for rec, used in packed(rows, bool(pdf["left"].iloc[0] <= most), limits)]
         return pd.DataFrame(found, columns=out.names)
 
     finished = []
@@ -213,9 +218,9 @@ def merge_variants(variants: DataFrame, keys: list[str], name: str, seq: str, si
         done, again = [], free
         while again.limit(1).count():
             top = again.withColumn("place", F.row_number().over(by)).withColumn("left", F.count("*").over(Window.partitionBy(*keys)))
-            got = cut(top.where(F.col("place") <= batch).groupBy(*keys).applyInPandas(run, out))
+            got = cut(top.where(F.col("place") <= F.col("most")).groupBy(*keys).applyInPandas(run, out))
             used = got.select(*keys, F.explode("used").alias("name"))
-            rest = cut(again.join(used, [*keys, "name"], "left_anti").select(*keys, *_STATE))
+            rest = cut(again.join(used, [*keys, "name"], "left_anti").select(*keys, *_FREE))
             if again is not free:
                 discard(again)
             again = rest
@@ -225,5 +230,5 @@ def merge_variants(variants: DataFrame, keys: list[str], name: str, seq: str, si
         # once more where overlaps merged and more than one record is left
         more = whole.groupBy(*keys).agg(F.max(F.col("overlapped")).alias("more"), F.count("*").alias("n")).where("more and n > 1").select(*keys)
         finished.append(whole.join(more, keys, "left_anti").select(*keys, *_STATE))
-        free = cut(whole.join(more, keys, "left_semi").select(*keys, *_STATE))
+        free = cut(whole.join(more, keys, "left_semi").select(*keys, *_FREE))
     return functools.reduce(DataFrame.union, [*finished, silent.select(*keys, *_STATE)])

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from ampliform.functions import sequence
 from ampliform.operators import merging, overlap
 
 RUN = re.compile("A+|C+|G+|T+")
@@ -113,7 +114,7 @@ def test_distances():
 def test_primers(spark):
     rows = [(["a", "b"], ["b", "a"], True), (["a"], ["b"], False), (None, ["a"], True), ([], ["a"], True), (["a", "a"], ["a"], True)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p array<string>, q array<string>, same boolean")
-    assert all(r.same == r.got for r in df.withColumn("got", merging.same_primers(df.p, df.q)).collect())
+    assert all(r.same == r.got for r in df.withColumn("got", sequence.same_primers(df.p, df.q)).collect())
 
 
 def test_summaries():
