@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8
+from .common import give_back, pieces, utf8
 from .pairwise import NEVER, Machine
 
 #: The byte-level pre-tokenizer's pattern (fixed values of the format).
@@ -81,6 +81,12 @@ class Codec(Machine):
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.memo = _Memo(self)
 
+    def rest(self) -> None:
+        """Drops what was compiled and memoised; the vocabulary stays."""
+        self.memo.clear()
+        self.forget()
+        give_back()
+
     def stream(self, chunks: Iterator[bytes]) -> Iterator[bytes]:
         """The ids of one word that comes in chunks, packed, each as soon as it's stable."""
         state = self.start
@@ -158,8 +164,9 @@ def codec(path: str, states: int | None = None) -> Codec:
     return Codec(path, states)
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", states: int | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded, then decoded from its ids."""
+def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", states: int | None = None, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded, then decoded from its ids. Unless ``keep``, a worker drops its
+    tables at the end of a task, where other stages need the memory more than this one the time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, states)
@@ -181,6 +188,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
                 ids.append(digest.hexdigest())
                 back.append(turned.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if not keep:
+            c.rest()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -6,6 +6,7 @@ most ``SLICE`` bytes, so memory does not follow the length of a text or the size
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +33,13 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def give_back() -> None:
+    """Hands free memory back to the system: a Python worker outlives its task, and waits with what it holds for the next one."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as bytes; null is empty."""
     return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched_words, connected_components, cut, discard, fresh, group_rows, mix, pieces, utf8
+from .common import batched_words, connected_components, cut, discard, fresh, give_back, group_rows, mix, pieces, utf8
 from .exact_dedup import lookup, repeated_filter
 
 #: Words of a shingle, the similarity in hundredths, counters of the sketch, sets of a chunk of a group.
@@ -133,6 +133,8 @@ def _classes_and_sketch(texts: DataFrame) -> DataFrame:
                 gaps = np.diff(at, prepend=0).astype(np.uint16)
                 out.append((seg, zlib.compress(gaps.tobytes(), 1), zlib.compress(part[at].astype(np.int32).tobytes(), 1)))
         none = pa.nulls(len(out))
+        del total, seen
+        give_back()
         yield pa.RecordBatch.from_arrays([*(none.cast(k) for k in kinds[:5]), *(pa.array([o[j] for o in out], kinds[5 + j]) for j in range(3))], names=names)
 
     return texts.mapInArrow(run, "doc_id long, th long, n long, set_id long, bits binary, seg int, at binary, count binary")
@@ -205,6 +207,8 @@ def _repeated_tokens(texts: DataFrame, cls, similar: int, buckets: int) -> DataF
             to = (mix(np.where(hot, v["h"] ^ v["i"].view(np.uint64), v["h"])) % np.uint64(buckets)).astype(np.int64)
             out = list(group_rows(v, to))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), *(pa.array([x[c].tobytes() for _, x in out], pa.binary()) for c in "hinp")], names=["bucket", *"hinp"])
+        del seen
+        give_back()
 
     def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
         h, i, n, p = (np.frombuffer(b"".join(pdf[c]), t) for c, t in zip("hinp", (np.uint64, np.int64, np.uint8, np.uint8), strict=True))
@@ -225,6 +229,7 @@ def _repeated_tokens(texts: DataFrame, cls, similar: int, buckets: int) -> DataF
         star = ~first & _may_link_bytes(n, p, np.arange(len(h)), centre, similar)
         to = pd.array(np.where(star, i[centre], 0), dtype="Int64")
         to[~star] = pd.NA
+        give_back()
         return pd.DataFrame({"h": h[keep].view(np.int64), "set_id": i[keep], "size": n[keep].astype(np.int16), "place": p[keep].astype(np.int16), "first": to[keep]})
 
     packed = texts.mapInArrow(pack, "bucket int, h binary, i binary, n binary, p binary")
@@ -331,6 +336,8 @@ def _opened_links(repeated: DataFrame, texts: DataFrame, names: DataFrame, sketc
         for g, c, i, n, bits in zip(q["g"], q["chunk"], q["set_id"], q["n"], q["bits"], strict=True):
             if (u := unions.get((g, c))) is not None and 100 * (n - _lacking(np.frombuffer(bits, np.uint8), u)) >= similar * n:
                 out.append((g, c, i))
+        del unions
+        give_back()
         return pd.DataFrame(out, columns=["g", "chunk", "set_id"], dtype="int64")
 
     opened = cut(_chunked(asked, held, sketches, bound, "g long, chunk long, set_id long"))
@@ -366,6 +373,8 @@ def _opened_links(repeated: DataFrame, texts: DataFrame, names: DataFrame, sketc
                 hit = np.flatnonzero(100 * both >= similar * (len(t) + size - both))
                 if len(hit):
                     found.append((int(s), int(ids[hit[0]])))
+        _unpack.cache_clear()
+        give_back()
         return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
     return _chunked(opened, inside, sets, open_groups, "src long, dst long")
