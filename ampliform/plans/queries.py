@@ -463,4 +463,4 @@ def chimeras(spark, d):
     return runs.chimeras(rows, "specimen", "name", "size", "row_aln")
 
 
-from . import analysis, gapped, joined  # noqa: E402, F401  register more queries
+from . import analysis, gapped, joined, validated  # noqa: E402, F401  register more queries
