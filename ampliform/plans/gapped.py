@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alignments, columns, frames, phasing, runs
+from ..operators import alignments, columns, frames, phasing, reassignment, runs
 from .derived import gapped_oracle, load
 from .queries import query
 
@@ -80,3 +80,26 @@ def _splits(n: str, m: str) -> str:
       from (select specimen, count(*) as n, count_if(hap = 1) as n1, count_if(hap = 2) as n2 from planted group by specimen)) using (specimen)"""))
 def phased_reads(spark, d):
     return phasing.phased(load(spark, d, "gapped"), "specimen", "read_id", "seq", 4, 0.08)[0].select("read_id", "path")
+
+
+_MOVED = """two as (select *, hap = 1 and read_id % 7 = 0 as moved from planted where hap < 2),
+      steady as (select specimen from two group by specimen having count_if(hap = 1 and not moved) >= 5 and count_if(hap = 0) >= 8)"""
+
+
+def _two(spark, d):
+    r = load(spark, d, "gapped").where("hap < 2").withColumn("cluster", F.when((F.col("hap") == 1) & (F.col("read_id") % 7 == 0), 0).otherwise(F.col("hap")))
+    n = r.groupBy("specimen").agg(F.count_if((F.col("hap") == 1) & (F.col("cluster") == 1)).alias("a"), F.count_if(F.col("hap") == 0).alias("b")).where("a >= 5 and b >= 8")
+    return r.join(n.select("specimen"), "specimen")
+
+
+@query(gapped_oracle("select read_id, hap as cluster from two join steady using (specimen)", _MOVED))
+def reads_by_agreement(spark, d):
+    return reassignment.reassigned(_two(spark, d), "specimen", "cluster", "read_id", "seq").select("read_id", "cluster")
+
+
+@query(gapped_oracle("select read_id, hap as cluster from planted where hap < 2 and read_id % 9 = 0"))
+def recovered_reads(spark, d):
+    r = load(spark, d, "gapped").where("hap < 2")
+    turned = F.concat(F.substring("tpl", 1, 19), F.translate(F.substring("tpl", 20, 1), "ACGT", "CATG"), F.substring("tpl", 21, 96))
+    c = r.select("specimen", "tpl").distinct().select("specimen", F.lit(1).alias("grp"), F.explode(F.array(F.struct(F.lit(0).alias("cluster"), F.col("tpl").alias("consensus")), F.struct(F.lit(1).alias("cluster"), turned.alias("consensus")))).alias("c")).select("specimen", "grp", "c.*")
+    return reassignment.recovered(r.where("read_id % 9 = 0"), c, "specimen", "grp", "cluster", "read_id", "seq", 0.9).select("read_id", "cluster")
