@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import base_mask, mask_code
-from .alignments import allele_rank, cells
+from .alignments import allele_rank, cells, composition, variant_columns
 
 
 def _text(codes: Column) -> Column:
@@ -162,32 +162,34 @@ def best_split(errors: DataFrame, group: str) -> DataFrame:
     return errors.groupBy(group).agg(F.min(F.struct("error", "pos")).alias("x")).select(group, "x.pos", "x.error")
 
 
-def recursive_splits(rows: DataFrame, group: str, read: str, aligned: str, count: int, frequency: float, depth: int = 6) -> DataFrame:
-    """(group, path, read): reads split at the best column again and again, all groups of a depth in one job; reads with an allele
-    that doesn't pass go with the largest part. A part of fewer than twice ``count`` reads stays whole."""
-    from .alignments import cells as cells_of
-    from .alignments import composition, haplotypes, phasing_errors, variant_columns
+def recursive_splits(rows: DataFrame, group: str, read: str, aligned: str, count: int, frequency: float) -> DataFrame:
+    """(group, path, read, deferred): reads of one given alignment split at the best column again and again, until no part splits, all groups of a
+    depth in one job. Reads with an allele that doesn't pass are deferred: they leave, with the path of the part they left. A part of
+    fewer than twice ``count`` reads stays whole. `phasing.phased` aligns the parts anew."""
+    from .phasing import alleles_at, passing, split_errors
     from .tables import cut, discard
 
-    now = cut(rows.select(group, F.lit("").alias("path"), read, F.upper(aligned).alias("row")))
-    for _ in range(depth):
-        part = now.withColumn("part", F.concat_ws("/", F.col(group).cast("string"), "path"))
-        open_ = part.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * count).select("part")
-        some = part.join(open_, "part", "left_semi").select("part", read, "row")
-        c = cells_of(some, "part", read, "row")
-        pos = cut(variant_columns(composition(some, "part", read, "row"), "part", frequency, count).select("part", "pos"))
-        best = cut(best_split(phasing_errors(c, pos, "part", read, count, frequency).withColumn("error", F.round("error", 9)), "part").select("part", "pos"))
-        if not best.limit(1).count():
-            break
-        good = haplotypes(c, best, "part", read, count, frequency).select("part", "allele", "members")
-        top = good.groupBy("part").agg(F.max_by("allele", F.struct("members", -allele_rank(F.col("allele")))).alias("top"))
-        split = part.join(best, "part", "left").join(top, "part", "left").withColumn("allele", F.when(F.col("pos").isNotNull(), F.substring("row", F.col("pos") + 1, F.lit(1))))
-        split = split.join(good.select("part", "allele", F.lit(True).alias("own")), ["part", "allele"], "left")
-        step = F.when(F.col("pos").isNull(), "").otherwise(F.concat(F.col("pos").cast("string"), F.when(F.col("own"), F.col("allele")).otherwise(F.col("top"))))
-        new = cut(split.select(group, F.when(step == "", F.col("path")).otherwise(F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), step)).alias("path"), read, "row"))
-        discard(now, pos, best)
+    out = (group, "path", read, "deferred")
+    now = cut(rows.select(group, F.lit("").alias("path"), read, F.regexp_replace(F.upper(aligned), "[^ACGT]", "-").alias("row")))
+    done = []
+    while now.limit(1).count():
+        part = now.withColumn("part", F.concat(F.col(group).cast("string"), F.lit("/"), F.col("path")))
+        part = cut(part.withColumn("n", F.count("*").over(Window.partitionBy("part"))).withColumn("best", F.lit(True)))
+        some = part.where(F.col("n") >= 2 * count)
+        pos = variant_columns(composition(some, "part", read, "row"), "part", frequency, count).select("part", "pos")
+        at = cut(alleles_at(some, pos, "part", read, "row"))
+        good = cut(passing(at, "part", count, frequency))
+        best = cut(split_errors(at, good, "part", read).groupBy("part").agg(F.min(F.struct("error", "pos")).alias("x")).select("part", "x.pos"))
+        own = at.join(best, ["part", "pos"]).join(good.select("part", "pos", "base", F.lit(True).alias("ok")), ["part", "pos", "base"], "left").select("part", read, "pos", "base", F.coalesce("ok", F.lit(False)).alias("ok"))
+        told = cut(part.join(own, ["part", read], "left"))
+        done += [cut(told.where("ok is null").select(group, "path", read, F.lit(False).alias("deferred"))), cut(told.where("not ok").select(group, "path", read, F.lit(True).alias("deferred")))]
+        step = F.concat(F.col("pos").cast("string"), "base")
+        new = cut(told.where("ok").select(group, F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), step).alias("path"), read, "row"))
+        discard(now, part, at, good, best, told)
         now = new
-    return now.select(group, "path", read)
+    for more in done[1:]:
+        done[0] = done[0].union(more)
+    return done[0].select(*out) if done else now.select(group, "path", read, F.lit(False).alias("deferred"))
 
 
 def read_errors(rows: DataFrame, consensus: DataFrame, group: str, read: str, aligned: str) -> DataFrame:

@@ -127,10 +127,11 @@ def greedy_clusters(nodes: DataFrame, e: DataFrame, group: str, read: str) -> Da
     return known.union(alone.join(known.select(group, read), [group, read], "left_anti").select(group, read, read))
 
 
-def flow_clusters(nodes: DataFrame, e: DataFrame, group: str, read: str, inflation: float = 4.0, rounds: int = 100, keep: int = 50, least: float = 1e-6) -> DataFrame:
-    """(group, cluster, read): Markov flow: column-stochastic weights are squared, raised and pruned to ``keep`` a column until they stand
-    still; reads whose flow ends at the same attractors are a cluster, named by its smallest read. The matrix is rows (group, row,
-    col, w): squaring is a join on the shared read, and pruning bounds what a column brings to it."""
+def flow_clusters(nodes: DataFrame, e: DataFrame, group: str, read: str, inflation: float = 4.0, rounds: int = 100, least: float = 1e-6) -> DataFrame:
+    """(group, cluster, read): Markov flow: column-stochastic weights are squared, raised and pruned until they stand still; reads whose flow ends
+    at the same attractors are a cluster, named by its smallest read. The matrix is rows (group, row, col, w): squaring is a join on the
+    shared read. An entry goes if it's below the share ``least`` of its column's largest, so columns of any number of equal neighbours
+    stay whole. A flow that hasn't settled after ``rounds`` is an error, not an answer."""
 
     def normal(m: DataFrame) -> DataFrame:
         total = m.groupBy(group, "col").agg(F.sum("w").alias("total"))
@@ -138,17 +139,21 @@ def flow_clusters(nodes: DataFrame, e: DataFrame, group: str, read: str, inflati
 
     loops = nodes.select(group, F.col(read).alias("row"), F.col(read).alias("col"), F.lit(1.0).alias("w")).distinct()
     m = cut(normal(loops.union(_both(e, group, "weight"))))
-    by = Window.partitionBy(group, "col").orderBy(F.desc("w"), "row")
     for _ in range(rounds):
         left = m.select(group, "row", F.col("col").alias("mid"), F.col("w").alias("v"))
-        square = left.join(m.withColumnRenamed("row", "mid"), [group, "mid"]).groupBy(group, "row", "col").agg(F.pow(F.sum(F.col("v") * F.col("w")), F.lit(inflation)).alias("w"))
-        new = cut(normal(square.where(F.col("w") >= least).withColumn("r", F.row_number().over(by)).where(F.col("r") <= keep).drop("r")))
+        square = left.join(m.withColumnRenamed("row", "mid"), [group, "mid"]).groupBy(group, "row", "col").agg(F.sum(F.col("v") * F.col("w")).alias("w"))
+        # raised as shares of the column's largest, which keeps small numbers from vanishing
+        most = square.groupBy(group, "col").agg(F.max("w").alias("most"))
+        raised = square.join(most, [group, "col"]).select(group, "row", "col", F.pow(F.col("w") / F.col("most"), F.lit(inflation)).alias("w"))
+        new = cut(normal(raised.where(F.col("w") >= least)))
         moved = new.join(m.withColumnRenamed("w", "before"), [group, "row", "col"], "full").where(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))) >= 1e-8)
         still = not moved.limit(1).count()
         discard(m)
         m = new
         if still:
             break
+    else:
+        raise RuntimeError("the flow did not settle")
     links = m.where("w > 1e-5 and row <> col").select(group, F.col("row").alias("src"), F.col("col").alias("dst"))
     return components(nodes, links, group, read).select(group, F.col("component").alias("cluster"), read)
 

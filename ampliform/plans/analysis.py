@@ -163,7 +163,7 @@ def best_splits(spark, d):
 @query()
 def recursive_splits(spark, d):
     out = columns.recursive_splits(load(spark, d, "msa"), "specimen", "read_id", "row_aln", 5, 0.1)
-    return out.groupBy("specimen", "path").agg(F.count("*").alias("members"))
+    return out.groupBy("specimen", "path").agg(F.count_if(~F.col("deferred")).alias("members"), F.count_if("deferred").alias("deferred"))
 
 
 # ---- fitting

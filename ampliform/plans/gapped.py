@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignments, columns, frames, phasing, reassignment, runs
+from ..operators.tables import cut
 from .derived import gapped_oracle, load
 from .queries import query
 
 
 def _rows(spark, d):
-    return frames.common_columns(load(spark, d, "gapped"), "specimen", "read_id", "seq")
+    """The gapped reads in common columns; aligned once for the queries of an application over the same tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ALIGNED:
+        _ALIGNED[key] = cut(frames.common_columns(load(spark, d, "gapped"), "specimen", "read_id", "seq"))
+    return _ALIGNED[key]
+
+
+_ALIGNED: dict = {}
 
 
 def _comp(spark, d):

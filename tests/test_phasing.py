@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from ampliform.operators import phasing
+from ampliform.operators import columns, phasing
 
 TURN = str.maketrans("ACGT", "CATG")
 
@@ -96,6 +96,22 @@ def test_nested_haplotypes(spark):
     assert sorted(r.read for r in leaves.union(late).collect()) == sorted(r for _, r, _, _ in data)
 
 
+def test_splits_of_one_alignment(spark):
+    """The same recursion on rows that are aligned, deep: each haplotype half as frequent as the one before."""
+    rng = random.Random(5)
+    data, want, late = [], {}, {}
+    for g, depth in enumerate((4, 2)):
+        rows = [(0, 1000 * g + i, t) for i, t in enumerate(nested(rng, depth, halved=True))]
+        data += [(g, r, t) for _, r, t in rows]
+        leaves, gone = plain(rows, 4, 0.005)
+        want[g], late[g] = {frozenset(x) for x in leaves.values()}, {r for x in gone.values() for r in x}
+    got, gone = {}, {0: set(), 1: set()}
+    for r in columns.recursive_splits(spark.createDataFrame(data, "g long, read long, row string"), "g", "read", "row", 4, 0.005).collect():
+        gone[r.g].add(r.read) if r.deferred else got.setdefault(r.g, {}).setdefault(r.path, set()).add(r.read)
+    assert {g: {frozenset(x) for x in parts.values()} for g, parts in got.items()} == want
+    assert gone == late
+
+
 def test_runs_do_not_split(spark):
     core = "ACGTTGCAGCTTACG" + "A" * 7 + "GATCCATGACGTCA"
     data = [(1, i, core if i % 2 else core.replace("A" * 7, "A" * 6)) for i in range(20)]
