@@ -109,3 +109,59 @@ def write_discards(reads: DataFrame, discards: DataFrame, path: str) -> None:
     from .sequences import write_fastq
 
     write_fastq(reads.join(discards.select("read_id").distinct(), "read_id", "left_semi").orderBy("read_id"), path)
+
+
+def write_cluster_reads(reads: DataFrame, members: DataFrame, path: str, by: list[str]) -> None:
+    """FASTQ of the reads of each cluster, in folders by ``by`` (specimen, cluster): members has (by, read_id), reads (read_id, title, seq, qual)."""
+    from .sequences import write_fastq
+
+    write_fastq(reads.join(members.select(*by, "read_id").distinct(), "read_id"), path, by)
+
+
+def write_alignments(rows: DataFrame, consensus: DataFrame, path: str, by: list[str]) -> None:
+    """Aligned reads (by, read_id, row_aln) of each cluster as FASTA, in folders by ``by``, with the row of (by, consensus) named Consensus; what
+    `read_alignments` reads."""
+    text = lambda name, row: F.concat_ws("\n", F.concat(F.lit(">"), name), row).alias("value")
+    both = rows.select(*by, text(F.col("read_id").cast("string"), F.col("row_aln"))).union(consensus.select(*by, text(F.lit("Consensus"), F.col("consensus"))))
+    both.write.partitionBy(*by).text(path)
+
+
+def write_clusters(variants: DataFrame, reads: DataFrame, members: DataFrame, rows: DataFrame, consensus: DataFrame, path: str, by: list[str]) -> None:
+    """All that is kept of clusters, each in a folder of its own below ``path``: their records, reads and alignments."""
+    write_records(variants, f"{path}/records", by)
+    write_cluster_reads(reads, members, f"{path}/reads", by)
+    write_alignments(rows, consensus, f"{path}/alignments", by)
+
+
+def write_phasing(leaves: DataFrame, deferred: DataFrame, path: str, group: str) -> None:
+    """One line of JSON per group: how often it split, its leaves with their paths and reads, and how many reads were deferred."""
+    parts = leaves.groupBy(group, "path").agg(F.count("*").alias("reads"))
+    own = parts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("reads")).alias("order"), "path", "reads"))).alias("x"))
+    late = deferred.groupBy(group).agg(F.count("*").alias("deferred"))
+    leaf = F.transform("x", lambda p: F.struct(p["path"].alias("path"), p["reads"].alias("reads")))
+    line = own.join(late, group, "left").select(F.col(group).cast("string").alias("group"), (F.size("x") > 1).alias("split"), F.size("x").alias("leaves_n"), leaf.alias("leaves"), F.coalesce("deferred", F.lit(0)).alias("deferred"))
+    line.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+
+
+def write_positions(statistics: DataFrame, path: str, group: str) -> None:
+    """Columns that differ from the consensus, a tab between fields, sorted by group and place: counts of each base, errors by kind, rate."""
+    s = statistics.where("subs + ins + dels > 0").select(group, "pos", "coverage", "subs", "ins", "dels", F.round("rate", 6).alias("rate"), "A", "C", "G", "T", "gap")
+    s.repartitionByRange(group, "pos").sortWithinPartitions(group, "pos").write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_run_lengths(observations: DataFrame, path: str) -> None:
+    """How often runs of each base and length are called each length, with its share, as a table."""
+    n = observations.where("status = 'clean'").groupBy("run_base", "length", "called").agg(F.count("*").alias("n"))
+    share = F.round(F.col("n") / F.sum("n").over(Window.partitionBy("run_base", "length")), 6)
+    n.withColumn("share", share).orderBy("run_base", "length", "called").write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_trees(lines: DataFrame, path: str, by: list[str]) -> None:
+    """Variant trees as text, a folder per value of ``by``: (by, place, lead, label) of `tree.reading_order`, in order of place."""
+    lines.repartition(*by).sortWithinPartitions(*by, "place").select(*by, F.concat("lead", "label").alias("value")).write.partitionBy(*by).text(path)
+
+
+def merge_report(merges: DataFrame) -> DataFrame:
+    """(specimen, line): what variants of different extent were joined: how many, their lengths, what they share, and what came out."""
+    many = F.array_join(F.transform("lengths", lambda n: n.cast("string")), "+")
+    return merges.select("specimen", F.concat_ws("", F.size("lengths").cast("string"), F.lit(" variants ("), many, F.lit(" bp) share "), F.col("overlap").cast("string"), F.lit(" bp, extend it by "), F.col("prefix").cast("string"), F.lit(" and "), F.col("suffix").cast("string"), F.lit(" bp: "), F.col("length").cast("string"), F.lit(" bp")).alias("line"))

@@ -60,3 +60,38 @@ def test_large_fastq_is_split(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == want
+
+
+def test_cluster_files(spark, tmp_path):
+    reads = spark.createDataFrame([(i, f"r{i} x", "ACGT", "IIII") for i in range(4)], "read_id long, title string, seq string, qual string")
+    members = spark.createDataFrame([("a", 0), ("a", 1), ("b", 2)], "cluster string, read_id long")
+    rows = spark.createDataFrame([("a", 0, "AC-GT"), ("a", 1, "ACTGT"), ("b", 2, "ACGT")], "cluster string, read_id long, row_aln string")
+    cons = spark.createDataFrame([("a", "AC-GT"), ("b", "ACGT")], "cluster string, consensus string")
+    records = spark.createDataFrame([("a", "a.v1", "size=2", "ACGT"), ("b", "b.v1", "size=1", "ACGT")], "cluster string, name string, head string, seq string")
+    run_files.write_clusters(records, reads, members, rows, cons, str(tmp_path), ["cluster"])
+    fastq = sequences.read_fastq(spark, str(tmp_path / "reads/*/*")).collect()
+    assert {("cluster=a" in r.path, r.read_id) for r in fastq} == {(True, "r0"), (True, "r1"), (False, "r2")}
+    got = {(r.read_id, r.row_aln, r.consensus) for f in ("a", "b") for r in run_files.read_alignments(spark, str(tmp_path / f"alignments/cluster={f}")).collect() if r.read_id != "1"}
+    assert {("0", "AC-GT"), ("2", "ACGT")} <= {(a, b) for a, b, _ in got}
+    assert run_files.read_records(spark, str(tmp_path / "records/*/*")).count() == 2
+
+
+def test_reports(spark, tmp_path):
+    lines = lambda name: sorted(x for p in (tmp_path / name).rglob("part-*") for x in p.read_text().splitlines())
+    leaves = spark.createDataFrame([(1, "A", 10), (1, "A", 11), (1, "G-C", 12), (2, "", 13)], "g long, path string, read long")
+    late = spark.createDataFrame([(1, "", 14)], "g long, path string, read long")
+    run_files.write_phasing(leaves, late, str(tmp_path / "phasing"), "g")
+    one, two = map(json.loads, lines("phasing"))
+    assert (one["split"], one["leaves"], one["deferred"]) == (True, [{"path": "A", "reads": 2}, {"path": "G-C", "reads": 1}], 1)
+    assert (two["split"], two["leaves_n"], two["deferred"]) == (False, 1, 0)
+    stats = spark.createDataFrame([("s", 1, 9, 1, 0, 0, 0.1111111, 8, 1, 0, 0, 0), ("s", 0, 9, 0, 0, 0, 0.0, 9, 0, 0, 0, 0)], "specimen string, pos int, coverage int, subs int, ins int, dels int, rate double, A int, C int, G int, T int, gap int")
+    run_files.write_positions(stats, str(tmp_path / "pos"), "specimen")
+    assert [x for x in lines("pos") if not x.startswith("specimen\t")] == ["s\t1\t9\t1\t0\t0\t0.111111\t8\t1\t0\t0\t0"]
+    obs = spark.createDataFrame([("A", 3, 3, "clean"), ("A", 3, 3, "clean"), ("A", 3, 2, "clean"), ("A", 3, 1, "complex")], "run_base string, length int, called int, status string")
+    run_files.write_run_lengths(obs, str(tmp_path / "runs"))
+    assert [x for x in lines("runs") if x[0] == "A"] == ["A\t3\t2\t1\t0.333333", "A\t3\t3\t2\t0.666667"]
+    tree = spark.createDataFrame([("s", 2, "└─ ", "v2"), ("s", 1, "", "v1")], "specimen string, place int, lead string, label string")
+    run_files.write_trees(tree, str(tmp_path / "trees"), ["specimen"])
+    assert [x for p in (tmp_path / "trees/specimen=s").glob("part-*") for x in p.read_text().splitlines()] == ["v1", "└─ v2"]
+    merges = spark.createDataFrame([("s", [300, 170], 170, 0, 130, 300)], "specimen string, lengths array<int>, overlap int, prefix int, suffix int, length int")
+    assert run_files.merge_report(merges).first().line == "2 variants (300+170 bp) share 170 bp, extend it by 0 and 130 bp: 300 bp"
