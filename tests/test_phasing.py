@@ -80,8 +80,8 @@ def grouped(df):
 def test_nested_haplotypes(spark):
     rng = random.Random(12)
     data, want_leaves, want_late = [], {}, {}
-    for g, depth in enumerate((0, 5, 4)):
-        rows = [(round(rng.uniform(5, 30), 3), 1000 * g + i, t) for i, t in enumerate(nested(rng, depth, halved=depth == 4))]
+    for g, depth in enumerate((0, 4, 3)):
+        rows = [(round(rng.uniform(5, 30), 3), 1000 * g + i, t) for i, t in enumerate(nested(rng, depth, halved=depth == 3))]
         data += [(g, r, t, q) for q, r, t in rows]
         leaves, late = plain(rows, 4, 0.005, 12)
         want_leaves[g] = leaves
@@ -91,7 +91,7 @@ def test_nested_haplotypes(spark):
     leaves, late = phasing.phased(df, "g", "read", "seq", 4, 0.005, "q", 12)
     assert grouped(leaves) == want_leaves
     assert grouped(late) == want_late
-    assert max(p.count("-") for p in want_leaves[2]) >= 3
+    assert max(p.count("-") for p in want_leaves[2]) >= 2
     # no read is lost or doubled
     assert sorted(r.read for r in leaves.union(late).collect()) == sorted(r for _, r, _, _ in data)
 
@@ -100,7 +100,7 @@ def test_splits_of_one_alignment(spark):
     """The same recursion on rows that are aligned, deep: each haplotype half as frequent as the one before."""
     rng = random.Random(5)
     data, want, late = [], {}, {}
-    for g, depth in enumerate((4, 2)):
+    for g, depth in enumerate((4, 1)):
         rows = [(0, 1000 * g + i, t) for i, t in enumerate(nested(rng, depth, halved=True))]
         data += [(g, r, t) for _, r, t in rows]
         leaves, gone = plain(rows, 4, 0.005)
