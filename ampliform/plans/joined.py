@@ -35,12 +35,12 @@ def run_equivalent_clusters(spark, d):
     return merging.equivalence_classes(_clusters(spark, d), "specimen", "cluster", "seq", "size").withColumnRenamed("into", "into_cluster")
 
 
-@query(oracle("""select specimen, into_cluster as cluster, sum(size)::bigint as size, case when count(*) = 1 then any_value(source) end as source, case when count(*) = 1 then any_value(allele) end as allele,
+@query(oracle("""select specimen, into_cluster as cluster, sum(size)::bigint as size, coalesce(case when count(*) = 1 then any_value(source) end, -1)::int as source, case when count(*) = 1 then any_value(allele) end as allele,
     case when count(*) > 1 then string_agg(concat(source, allele, size), '+' order by size desc, cluster) end as merged_from from classes join clusters using (specimen, cluster) group by specimen, into_cluster""", _CLUSTERS))
 def merged_equivalent_clusters(spark, d):
     c = _clusters(spark, d)
     m = merging.merged_clusters(c, merging.equivalence_classes(c, "specimen", "cluster", "seq", "size"), "specimen", "cluster", "size", "source", "allele")
-    return m.withColumn("merged_from", F.array_join(F.transform("merged_from", lambda p: F.concat(p["source"].cast("string"), p["allele"], p["size"].cast("string"))), "+"))
+    return m.withColumn("source", F.coalesce("source", F.lit(-1))).withColumn("merged_from", F.array_join(F.transform("merged_from", lambda p: F.concat(p["source"].cast("string"), p["allele"], p["size"].cast("string"))), "+"))
 
 
 #: Amplicons of a read's template with one base replaced: the whole of it, its first 60 bases, its last 60, and its reverse.

@@ -25,14 +25,14 @@ _PEERS = f"""vs as (select specimen, hap as name, count(*) as size from planted
       factors as (select specimen, name, exp((log_q - k * ln({RATES["non-hp-sub"]})) / k) as f, exp(log_q / k) as p, k, peer, peer_place from asked join solved using (n, m, goal))"""
 
 
-@query(gapped_oracle("""select specimen, name, round(f, 5) as cer_factor, round(p, 8) as cer_pstar, k::bigint as k, peer from placed left join (
+@query(gapped_oracle("""select specimen, name, round(f, 5) as cer_factor, round(p, 8) as cer_pstar, coalesce(k, 0)::bigint as k, coalesce(peer, -1)::int as peer from placed left join (
     select specimen, name, f, p, k, peer, row_number() over (partition by specimen, name order by f, peer_place) as r from factors) using (specimen, name) where coalesce(r, 1) = 1""", _PEERS))
 def validated_variants(spark, d):
     r = load(spark, d, "gapped").groupBy("specimen", "hap").agg(F.first("tpl").alias("tpl"), F.count("*").alias("size"))
     turn = lambda at: F.concat(F.substring("tpl", 1, at - 1), F.translate(F.substring("tpl", at, 1), "ACGT", "CATG"), F.substring("tpl", at + 1, 96))
     v = r.withColumn("seq", F.when(F.col("hap") == 1, turn(20)).when(F.col("hap") == 2, turn(70)).otherwise(F.col("tpl")))
     x = validation.validated(v, ["specimen"], "hap", "seq", "size", RATES)
-    return x.select("specimen", "name", F.round("cer_factor", 5).alias("cer_factor"), F.round("cer_pstar", 8).alias("cer_pstar"), "k", "peer")
+    return x.select("specimen", "name", F.round("cer_factor", 5).alias("cer_factor"), F.round("cer_pstar", 8).alias("cer_pstar"), F.coalesce("k", F.lit(0)).cast("long").alias("k"), F.coalesce("peer", F.lit(-1)).cast("int").alias("peer"))
 
 
 #: Trees as deep as they come: a variant hangs on one of the four before it.

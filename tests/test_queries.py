@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ampliform.plans.queries import ORACLE, QUERIES
@@ -21,7 +22,7 @@ def db():
 def rows(pdf, columns):
     out = []
     for r in pdf[columns].itertuples(index=False):
-        out.append(tuple("" if v is None or v != v else f"{float(v):.6g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in r))
+        out.append(tuple("" if v is None or v is pd.NA or v != v else f"{float(v):.6g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in r))
     return sorted(out)
 
 
