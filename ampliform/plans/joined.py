@@ -44,14 +44,15 @@ def merged_equivalent_clusters(spark, d):
 
 
 #: Amplicons of a read's template with one base replaced: the whole of it, its first 60 bases, its last 60, and its reverse.
-_AMPLICONS = "amplicons as (select read_id, specimen, p, (read_id % 4)::int + 1 as grp, read_id % 97 + 1 as size, case read_id % 4 when 0 then s1 when 1 then substr(s1, 1, 60) when 2 then substr(s1, 37) else reverse(s1) end as seq from (select *, case when p0 between 4 and 93 then p0 else 0 end as p from (select read_id, specimen, tpl, p0 from g0)) join (select read_id, case when p0 between 4 and 93 then concat(substr(tpl, 1, p0 - 1), translate(substr(tpl, p0, 1), 'ACGT', 'CATG'), substr(tpl, p0 + 1)) else tpl end as s1 from g0) using (read_id))"
+_AMPLICONS = """amplicons as (select read_id, specimen, p, (read_id % 4)::int + 1 as grp, read_id % 97 + 1 as size, case read_id % 4 when 0 then s1 when 1 then substr(s1, 1, 60) when 2 then substr(s1, 37) else reverse(s1) end as seq
+      from (select *, concat(substr(tpl, 1, p - 1), translate(substr(tpl, p, 1), 'ACGT', 'CATG'), substr(tpl, p + 1)) as s1 from (select read_id, specimen, tpl, (read_id % 11)::int * 8 + 4 as p from g0)))"""
 
 
 def _amplicons(spark, d):
     r = load(spark, d, "gapped").select("read_id", "specimen", "tpl")
     i = F.col("read_id")
-    p = (i % 131).cast("int") + 1
-    s = F.when(p.between(4, 93), F.concat(F.substring("tpl", F.lit(1), p - 1), F.translate(F.substring("tpl", p, F.lit(1)), "ACGT", "CATG"), F.substring("tpl", p + 1, F.lit(96)))).otherwise(F.col("tpl"))
+    p = (i % 11).cast("int") * 8 + 4
+    s = F.concat(F.substring("tpl", F.lit(1), p - 1), F.translate(F.substring("tpl", p, F.lit(1)), "ACGT", "CATG"), F.substring("tpl", p + 1, F.lit(96)))
     r = r.withColumn("s", s).withColumn("k", i % 4)
     seq = F.when(F.col("k") == 0, F.col("s")).when(F.col("k") == 1, F.substring("s", 1, 60)).when(F.col("k") == 2, F.substring("s", 37, 96)).otherwise(F.reverse("s"))
     primers = F.when(F.col("k") == 0, F.array(F.lit("p1"), F.lit("p4"))).when(F.col("k") == 1, F.array(F.lit("p1"), F.lit("p2"))).when(F.col("k") == 2, F.array(F.lit("p4"), F.lit("p3"))).otherwise(F.array(F.lit("p5")))
