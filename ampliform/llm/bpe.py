@@ -50,7 +50,7 @@ def byte_letters() -> dict[str, int]:
 class Codec(Machine):
     """A byte-level BPE vocabulary read from a tokenizer's JSON file."""
 
-    def __init__(self, path: str, states: int | None = None):
+    def __init__(self, path: str, states: int | None = None, memo: int | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letter = byte_letters()
@@ -79,13 +79,7 @@ class Codec(Machine):
         self.low_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{letters}{digits}{blanks}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
         self.high = re.compile("[^\\x00-\u024f]")
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.memo = _Memo(self)
-
-    def rest(self) -> None:
-        """Drops what was compiled and memoised; the vocabulary stays."""
-        self.memo.clear()
-        self.forget()
-        give_back()
+        self.memo = _Memo(self, memo or MEMO)
 
     def stream(self, chunks: Iterator[bytes]) -> Iterator[bytes]:
         """The ids of one word that comes in chunks, packed, each as soon as it's stable."""
@@ -145,31 +139,31 @@ class Codec(Machine):
 
 
 class _Memo(dict):
-    def __init__(self, codec: Codec):
+    def __init__(self, codec: Codec, most: int):
         super().__init__()
-        self.codec = codec
+        self.codec, self.most = codec, most
 
     def __missing__(self, word: str) -> bytes:
         packed = self.codec.word(word)
         if len(word) <= MEMO_WORD:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = packed
         return packed
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str, states: int | None = None) -> Codec:
+def codec(path: str, states: int | None = None, memo: int | None = None) -> Codec:
     """One codec for each vocabulary and Python worker."""
-    return Codec(path, states)
+    return Codec(path, states, memo)
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", states: int | None = None, keep: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded, then decoded from its ids. Unless ``keep``, a worker drops its
-    tables at the end of a task, where other stages need the memory more than this one the time."""
+def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", states: int | None = None, memo: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded, then decoded from its ids. ``states`` and
+    ``memo`` bound what a worker keeps of states and of words, where other stages need the memory more than this one the time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, states)
+        c = codec(path, states, memo)
         for b in pieces(batches):
             n, ids, back = [], [], []
             for t in utf8(b.column(1)):
@@ -188,8 +182,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
                 ids.append(digest.hexdigest())
                 back.append(turned.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        if not keep:
-            c.rest()
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
