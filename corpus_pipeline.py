@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), states=30_000)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), states=20_000, memo=50_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
