@@ -63,12 +63,16 @@ def normalised(seq: Column) -> Column:
     return F.upper(F.regexp_replace(seq, r"\s", ""))
 
 
+def bounded_distance(a: Column, b: Column, least: float) -> Column:
+    """The edit distance; -1 if either is empty or it's beyond what a similarity of ``least`` admits."""
+    bound = F.floor(F.lit(1.0 - least) * F.greatest(F.length(a), F.length(b))).cast("int")
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), -1).otherwise(F.call_function("levenshtein", a, b, bound))
+
+
 def similarity(a: Column, b: Column, least: float) -> Column:
     """1 - edit distance / longer length; 0 if either is empty or the distance is beyond what ``least`` admits."""
-    longer = F.greatest(F.length(a), F.length(b))
-    bound = F.floor(F.lit(1.0 - least) * longer).cast("int")
-    d = F.levenshtein(a, b)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0) | (d > bound), 0.0).otherwise(1.0 - d / longer)
+    d = bounded_distance(a, b, least)
+    return F.when(d < 0, 0.0).otherwise(1.0 - d / F.greatest(F.length(a), F.length(b)))
 
 
 def same_primers(a: Column, b: Column) -> Column:

@@ -7,9 +7,12 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import similarity
+from ..functions.sequence import bounded_distance
 from .tables import cut, discard
 
+#: Reads of a group up to which all its pairs are compared.
+PAIRED = 64
+
 
 def classes(reads: DataFrame, group: str, read: str, seq: str) -> DataFrame:
     """(group, seq, first, copies): equal sequences of a group are compared once."""
@@ -20,25 +23,43 @@ def candidate_pairs(reads: DataFrame, group: str, read: str, seq: str, k: int) -
     """(group, src, dst): pairs of a group that share the k-mer at some multiple of k of the one anywhere near in the other.
 
     Sequences within d edits of each other share one of d + 1 disjoint pieces, moved by at most d: the pieces of one
-    are joined to the windows of the other. k is the length of a piece.
+    are joined to the windows of the other. k is the length of a piece. Windows are many times the reads, which no estimate of
+    their size shows, so they are never broadcast.
     """
     piece = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(seq) / k) - 1, F.lit(0))), lambda i: F.substring(F.col(seq), i * k + 1, F.lit(k)))
     window = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1))), lambda i: F.substring(F.col(seq), i, F.lit(k)))
     a = reads.select(group, F.col(read).alias("src"), F.explode(F.array_distinct(piece)).alias("gram"))
-    b = reads.select(F.col(group).alias("g"), F.col(read).alias("dst"), F.explode(F.array_distinct(window)).alias("h"))
-    pairs = a.join(b, (F.col(group) == F.col("g")) & (F.col("gram") == F.col("h")) & (F.col("src") != F.col("dst")))
+    b = reads.select(group, F.col(read).alias("dst"), F.explode(F.array_distinct(window)).alias("gram"))
+    pairs = a.join(b.hint("merge"), [group, "gram"]).where("src <> dst")
     return pairs.select(group, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def edges(reads: DataFrame, group: str, read: str, seq: str, least: float, k: int | None = None) -> DataFrame:
-    """(group, src, dst, sim): pairs of a group with similarity ``least`` or more; every pair is tried if k is None."""
-    a, b = reads.select(F.col(group), F.col(read).alias("src"), F.col(seq).alias("a")), reads.select(F.col(group).alias("g"), F.col(read).alias("dst"), F.col(seq).alias("b"))
-    if k:
-        pairs = candidate_pairs(reads, group, read, seq, k)
-        both = pairs.join(a, [group, "src"]).join(b.withColumnRenamed("g", group), [group, "dst"])
-    else:
-        both = a.join(b, (F.col(group) == F.col("g")) & (F.col("src") < F.col("dst"))).drop("g")
-    return both.withColumn("sim", similarity(F.col("a"), F.col("b"), least)).where(F.col("sim") >= least).select(group, "src", "dst", "sim")
+    """(group, src, dst, sim): pairs of a group with similarity ``least`` or more; every pair is tried if k is None.
+
+    With k, groups of at most ``PAIRED`` reads are still tried pair by pair: their pairs are fewer than the windows of their reads.
+    """
+
+    def side(r: DataFrame, name: str, text: str) -> DataFrame:
+        return r.select(group, F.col(read).alias(name), F.col(seq).alias(text))
+
+    def tried(r: DataFrame) -> DataFrame:
+        # scores cost more than rows: so many partitions, however small the reads are
+        r = r.repartition(int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")), group)
+        return side(r, "src", "a").join(side(r, "dst", "b").hint("merge"), group).where("src < dst")
+
+    def scored(both: DataFrame) -> DataFrame:
+        # exploded, a distance is computed once, not by the filter and again for the result
+        d = both.withColumn("d", F.explode(F.array(bounded_distance(F.col("a"), F.col("b"), least)))).where("d >= 0")
+        return d.withColumn("sim", 1.0 - F.col("d") / F.greatest(F.length("a"), F.length("b"))).where(F.col("sim") >= least).select(group, "src", "dst", "sim")
+
+    if not k:
+        return scored(tried(reads))
+    large = reads.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select(group)
+    many = reads.join(large, group, "left_semi")
+    pairs = candidate_pairs(many, group, read, seq, k)
+    found = pairs.join(side(many, "src", "a").hint("merge"), [group, "src"]).join(side(many, "dst", "b").hint("merge"), [group, "dst"])
+    return scored(tried(reads.join(large, group, "left_anti"))).union(scored(found))
 
 
 def nearest(e: DataFrame, group: str, k: int, both_ways: bool = False) -> DataFrame:
@@ -88,13 +109,14 @@ def components(nodes: DataFrame, e: DataFrame, group: str, read: str) -> DataFra
 
 def star_centres(e: DataFrame, group: str) -> DataFrame:
     """(group, centre, degree): the read with most neighbours, the first by name of equals."""
-    degree = e.select(group, F.col("src").alias("node")).union(e.select(group, F.col("dst").alias("node"))).groupBy(group, "node").agg(F.count("*").alias("degree"))
+    degree = e.select(group, F.explode(F.array("src", "dst")).alias("node")).groupBy(group, "node").agg(F.count("*").alias("degree"))
     best = F.max_by("node", F.struct("degree", -F.col("node")))
     return degree.groupBy(group).agg(best.alias("centre"), F.max("degree").alias("degree"))
 
 
 def _both(e: DataFrame, group: str, *more: str) -> DataFrame:
-    return e.select(group, "src", "dst", *more).union(e.select(group, F.col("dst").alias("src"), F.col("src").alias("dst"), *more))
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return e.select(group, F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("x"), *more).select(group, "x.src", "x.dst", *more)
 
 
 def greedy_clusters(nodes: DataFrame, e: DataFrame, group: str, read: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from ampliform.operators import graph
+from ampliform.operators.tables import cut
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +105,39 @@ def test_flow_of_many_neighbours(spark):
     assert {(r.cluster, r.id) for r in graph.flow_clusters(n, e, "g", "id").collect()} == flow(one + two, [x[1:] for x in edges])
     with pytest.raises(RuntimeError, match="settle"):
         graph.flow_clusters(n, e, "g", "id", rounds=1)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [20, 90])
+def test_edges(spark, size):
+    """Groups below and above the size up to which all pairs are tried; windows are never broadcast, edges not computed twice."""
+    rng = random.Random(size)
+    base = "".join(rng.choice("ACGT") for _ in range(96))
+    reads = []
+    for i in range(size):
+        s = list(base)
+        for _ in range(rng.randrange(4)):
+            s[rng.randrange(len(s))] = rng.choice(["A", "C", "G", "T", "", "AC"])
+        reads.append((1, i, "".join(s)))
+    r = cut(spark.createDataFrame([*reads, (2, 1000, ""), (2, 1001, "")], "g int, id long, seq string"))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for (_, i, a), (_, j, b) in itertools.combinations(reads, 2):
+        longer, d = max(len(a), len(b)), distance(a, b)
+        if d <= int((1 - 0.97) * longer):
+            want[i, j] = pytest.approx(1 - d / longer)
+    e = lambda: graph.edges(r, "g", "id", "seq", 0.97, k=24)
+    assert {(x.src, x.dst): x.sim for x in e().collect()} == want
+    assert "BroadcastHashJoin" not in plan(graph.candidate_pairs(r, "g", "id", "seq", 24))
+    assert plan(graph.star_centres(e(), "g")).count("levenshtein") == plan(e()).count("levenshtein")
