@@ -65,7 +65,7 @@ def log_tails(m: np.ndarray, n: np.ndarray, log_q: np.ndarray) -> np.ndarray:
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     f = d.copy()
-    for i in range(1, 400):
+    for i in range(1, max(400, int(5 * math.sqrt(n.max(initial=0))))):  # near the mean it takes the root of n
         for k in (i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))):
             d, c = 1 + k * d, 1 + k / c
             d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
@@ -93,7 +93,13 @@ def log_criticals(n: np.ndarray, m: np.ndarray, sites: np.ndarray, k: np.ndarray
 
 @F.pandas_udf(T.DoubleType())
 def log_tail_of(m: pd.Series, n: pd.Series, q: pd.Series) -> pd.Series:
-    return pd.Series([log_tail(int(a), int(b), math.log(c)) if c and c > 0 else None for a, b, c in zip(m, n, q, strict=True)], dtype="float64")
+    keys = pd.DataFrame({"m": m.astype("int64"), "n": n.astype("int64"), "q": q.astype("float64")})
+    few = keys.drop_duplicates()
+    known = few[(few["q"] > 0) & (few["m"] <= few["n"])]
+    sure = (known["m"] <= 0) | (known["q"] >= 1)
+    some = known[~sure]
+    tail = pd.concat([pd.Series(0.0, known.index[sure]), pd.Series(log_tails(some["m"], some["n"], np.log(some["q"])) if len(some) else [], some.index, "float64")])
+    return keys.merge(few.assign(tail=tail), how="left")["tail"].astype("float64")
 
 
 @F.pandas_udf(T.DoubleType())
