@@ -17,20 +17,22 @@ from .tables import cut, discard
 
 
 def paths(nodes: DataFrame, keys: list[str], name: str, parent: str, size: str) -> DataFrame:
-    """(keys, name, path): (place among the siblings, whether it's the last of them) of each ancestor, root first, and of the node itself."""
+    """(keys, name, path): 2 * place among the siblings + whether it's the last of them (1) of each ancestor, root first, and of the node itself.
+
+    Paths pack well on disk, so the size of their files says nothing about them: they are never broadcast."""
     n = nodes.select(*keys, F.col(name).alias("node"), F.col(parent).alias("up"), F.col(size).alias("size"))
     known = n.select(*keys, F.col("node").alias("up"), F.lit(True).alias("there"))
-    n = n.join(known, [*keys, "up"], "left").withColumn("up", F.when(F.col("there"), F.col("up"))).drop("there")
+    n = n.join(known.hint("merge"), [*keys, "up"], "left").withColumn("up", F.when(F.col("there"), F.col("up"))).drop("there")
     by = Window.partitionBy(*keys, "up")
     order = F.row_number().over(by.orderBy(F.desc("size"), "node"))
-    step = F.struct(order.alias("place"), (order == F.count("*").over(by)).alias("last"))
+    step = order * 2 + (order == F.count("*").over(by)).cast("int")
     now = cut(n.select(*keys, "node", "up", F.array(step).alias("path")))
     many, rounds = now.count(), 0
     while now.where("up is not null").limit(1).count():
         if 1 << rounds > 2 * many:
             raise ValueError("parents lead in a circle")
         far = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("further"), F.col("path").alias("before"))
-        new = cut(now.join(far, [*keys, "up"], "left").select(*keys, "node", F.col("further").alias("up"), F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path")))
+        new = cut(now.join(far.hint("merge"), [*keys, "up"], "left").select(*keys, "node", F.col("further").alias("up"), F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path")))
         discard(now)
         now, rounds = new, rounds + 1
     return now.select(*keys, F.col("node").alias(name), "path")
@@ -38,8 +40,8 @@ def paths(nodes: DataFrame, keys: list[str], name: str, parent: str, size: str)
 
 def lead(path: Column) -> Column:
     """What is drawn before a node's line: a bar for each ancestor that has siblings below, then a branch; nothing before a root."""
-    inner = F.transform(F.slice(path, F.lit(2), F.greatest(F.size(path) - 2, F.lit(0))), lambda p: F.when(p["last"], "   ").otherwise("│  "))
-    branch = F.when(F.element_at(path, -1)["last"], "└─ ").otherwise("├─ ")
+    inner = F.transform(F.slice(path, F.lit(2), F.greatest(F.size(path) - 2, F.lit(0))), lambda p: F.when(p % 2 == 1, "   ").otherwise("│  "))
+    branch = F.when(F.element_at(path, -1) % 2 == 1, "└─ ").otherwise("├─ ")
     return F.when(F.size(path) == 1, "").otherwise(F.concat(F.array_join(inner, ""), branch))
 
 
