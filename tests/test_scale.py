@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from ampliform.operators import runs, significance, tree
+from ampliform.operators import alignments, runs, significance, tree
 from ampliform.operators.tables import cut
 from ampliform.plans.queries import QUERIES
 
@@ -41,3 +41,12 @@ def test_paths_stay_off_the_driver(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["columns_without_majority"])
 def test_rows_of_small_groups_are_exchanged_whole(spark, name):
     assert plan(QUERIES[name](spark, "/root/testdata/sf0.001")).count("Exchange") == 1
+
+
+def test_cells_at_positions(spark):
+    rows = cut(spark.createDataFrame([(1, 1, "ACgT-"), (1, 2, "NCG"), (2, 3, "TTTT"), (3, 4, "A")], "g int, id long, row string"))
+    pos = spark.createDataFrame([(1, 0), (1, 4), (2, 2)], "g int, pos int")
+    want = alignments.cells(rows, "g", "id", "row").join(pos, ["g", "pos"]).select("g", "id", "pos", "base")
+    c = alignments.cells_at(rows, pos, "g", "id", "row")
+    assert sorted(map(tuple, c.collect())) == sorted(map(tuple, want.collect()))
+    assert "posexplode" not in plan(c)
