@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequence import bounded_distance
 from .tables import cut, discard
@@ -149,34 +152,84 @@ def greedy_clusters(nodes: DataFrame, e: DataFrame, group: str, read: str) -> Da
     return known.union(alone.join(known.select(group, read), [group, read], "left_anti").select(group, read, read))
 
 
+def _flow(names: list, src: list, dst: list, weight: list, inflation: float, rounds: int, least: float) -> list:
+    """The clusters of a group's sorted names by Markov flow over its matrix."""
+    every = np.union1d(names, np.concatenate([src, dst])) if len(src) else np.asarray(names)
+    m = np.diag(np.isin(every, names).astype(np.float64))
+    i, j = np.searchsorted(every, src), np.searchsorted(every, dst)
+    np.add.at(m, (i, j), weight)
+    np.add.at(m, (j, i), weight)
+    m /= m.sum(axis=0)
+    for _ in range(rounds if len(src) else 0):
+        new = m @ m
+        new = np.power(new / new.max(axis=0), inflation)
+        new[new < least] = 0
+        new /= new.sum(axis=0)
+        still = np.abs(new - m).max() < 1e-8
+        m = new
+        if still:
+            break
+    else:
+        if len(src):
+            raise RuntimeError("the flow did not settle")
+    reach = (m > 1e-5) | (m.T > 1e-5) | np.eye(len(m), dtype=bool)
+    while (more := reach @ reach).sum() > reach.sum():
+        reach = more
+    return every[reach.argmax(axis=1)[np.searchsorted(every, names)]].tolist()
+
+
 def flow_clusters(nodes: DataFrame, e: DataFrame, group: str, read: str, inflation: float = 4.0, rounds: int = 100, least: float = 1e-6) -> DataFrame:
     """(group, cluster, read): Markov flow: column-stochastic weights are squared, raised and pruned until they stand still; reads whose flow ends
-    at the same attractors are a cluster, named by its smallest read. The matrix is rows (group, row, col, w): squaring is a join on the
-    shared read. An entry goes if it's below the share ``least`` of its column's largest, so columns of any number of equal neighbours
-    stay whole. A flow that hasn't settled after ``rounds`` is an error, not an answer."""
-
+    at the same attractors are a cluster, named by its smallest read. An entry goes if it's below the share ``least`` of its column's largest, so
+    columns of any number of equal neighbours stay whole. A flow that hasn't settled after ``rounds`` is an error, not an answer.
+
+    Groups of at most ``PAIRED`` reads are exchanged once and flow by themselves, many to a task. The matrices of larger ones are rows
+    (group, row, col, w), squared by a join on the shared read, which is never broadcast; groups that stand still leave the rounds."""
+    e = cut(e.select(group, "src", "dst", "weight"))
+    nodes = cut(nodes.select(group, read).distinct())
+    large = cut(nodes.groupBy(group).agg((F.count("*") - F.count(read)).alias("unnamed"), F.count("*").alias("n")).where((F.col("n") > PAIRED) | (F.col("unnamed") > 0)).select(group))
+
+    @F.pandas_udf(T.ArrayType(nodes.schema[read].dataType))
+    def flow(names: pd.Series, src: pd.Series, dst: pd.Series, weight: pd.Series) -> pd.Series:
+        none = lambda x: [] if x is None else x
+        return pd.Series([_flow(n, none(a), none(b), none(w), inflation, rounds, least) for n, a, b, w in zip(names, src, dst, weight, strict=True)])
+
+    own = nodes.join(large, nodes[group].eqNullSafe(large[group]), "left_anti").groupBy(group).agg(F.array_sort(F.collect_set(read)).alias("names"))
+    links = e.join(large, group, "left_anti").groupBy(group).agg(F.collect_list(F.struct("src", "dst", "weight")).alias("x"))
+    both = own.join(links.hint("merge"), group, "left").select(group, "names", flow("names", "x.src", "x.dst", "x.weight").alias("cluster"))
+    small = both.select(group, F.explode(F.arrays_zip("cluster", "names")).alias("x")).select(group, "x.cluster", F.col("x.names").alias(read))
+    if not large.limit(1).count():
+        return small
+    some = nodes.join(large, nodes[group].eqNullSafe(large[group]), "left_semi")
+    return small.union(_flow_rounds(some, e.join(large, group, "left_semi"), group, read, inflation, rounds, least))
+
+
+def _flow_rounds(nodes: DataFrame, e: DataFrame, group: str, read: str, inflation: float, rounds: int, least: float) -> DataFrame:
     def normal(m: DataFrame) -> DataFrame:
         total = m.groupBy(group, "col").agg(F.sum("w").alias("total"))
         return m.join(total, [group, "col"]).select(group, "row", "col", (F.col("w") / F.col("total")).alias("w"))
 
-    loops = nodes.select(group, F.col(read).alias("row"), F.col(read).alias("col"), F.lit(1.0).alias("w")).distinct()
-    m = cut(normal(loops.union(_both(e, group, "weight"))))
+    loops = nodes.select(group, F.col(read).alias("row"), F.col(read).alias("col"), F.lit(1.0).alias("w"))
+    m, settled = cut(normal(loops.union(_both(e, group, "weight")))), []
     for _ in range(rounds):
         left = m.select(group, "row", F.col("col").alias("mid"), F.col("w").alias("v"))
-        square = left.join(m.withColumnRenamed("row", "mid"), [group, "mid"]).groupBy(group, "row", "col").agg(F.sum(F.col("v") * F.col("w")).alias("w"))
+        square = left.join(m.withColumnRenamed("row", "mid").hint("merge"), [group, "mid"]).groupBy(group, "row", "col").agg(F.sum(F.col("v") * F.col("w")).alias("w"))
         # raised as shares of the column's largest, which keeps small numbers from vanishing
         most = square.groupBy(group, "col").agg(F.max("w").alias("most"))
         raised = square.join(most, [group, "col"]).select(group, "row", "col", F.pow(F.col("w") / F.col("most"), F.lit(inflation)).alias("w"))
         new = cut(normal(raised.where(F.col("w") >= least)))
         moved = new.join(m.withColumnRenamed("w", "before"), [group, "row", "col"], "full").where(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))) >= 1e-8)
-        still = not moved.limit(1).count()
-        discard(m)
-        m = new
-        if still:
+        moving = cut(moved.select(group).distinct())
+        settled.append(cut(new.join(moving, group, "left_anti")))
+        going = cut(new.join(moving, group, "left_semi"))
+        discard(m, new, moving)
+        m = going
+        if not m.limit(1).count():
             break
     else:
         raise RuntimeError("the flow did not settle")
-    links = m.where("w > 1e-5 and row <> col").select(group, F.col("row").alias("src"), F.col("col").alias("dst"))
+    ends = functools.reduce(DataFrame.union, settled)
+    links = ends.where("w > 1e-5 and row <> col").select(group, F.col("row").alias("src"), F.col("col").alias("dst"))
     return components(nodes, links, group, read).select(group, F.col("component").alias("cluster"), read)
 
 

@@ -107,6 +107,20 @@ def test_flow_of_many_neighbours(spark):
         graph.flow_clusters(n, e, "g", "id", rounds=1)
 
 
+def test_flow_of_small_groups(spark, case, monkeypatch):
+    """Small groups take no rounds of joins and give what the rounds give; reads without edges stand alone."""
+    _, _, n, e = case
+    e = e.selectExpr("g", "src", "dst", "round(pow(1 - distance, 2), 6) as weight")
+    n = n.union(spark.createDataFrame([(9, 900), (9, 901), (None, 5)], n.schema))
+    rounds = graph._flow_rounds
+    monkeypatch.setattr(graph, "_flow_rounds", lambda *a: pytest.fail("rounds for small groups"))
+    whole = {tuple(r) for r in graph.flow_clusters(n, e, "g", "id").collect()}
+    monkeypatch.setattr(graph, "_flow_rounds", rounds)
+    monkeypatch.setattr(graph, "PAIRED", 0)
+    assert {tuple(r) for r in graph.flow_clusters(n, e, "g", "id").collect()} == whole
+    assert {(9, 900, 900), (9, 901, 901), (None, 5, 5)} <= whole
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
