@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,24 +102,89 @@ def read_consensus(comp: DataFrame, group: str, frequency: float, fraction: floa
     return col.groupBy(group).agg(_text(F.struct("pos", "code")).alias("consensus"), F.count_if(~F.col("code").isin("A", "C", "G", "T")).alias("snp_count"))
 
 
-def run_columns(rows: DataFrame, name: str, aligned: str, least: int) -> DataFrame:
+class _Runs:
+    """The runs of a batch of gapped rows: matrices with a row for each and its columns, as far as it is long."""
+
+    def __init__(self, texts: list[str]):
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.code = np.zeros((len(texts), max(1, int(self.size.max(initial=1)))), np.uint32)
+        for r, t in enumerate(texts):
+            self.code[r, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        width = self.code.shape[1]
+        pos, row = np.arange(width), np.arange(len(texts))[:, None]
+        self.solid = (self.code != ord("-")) & (pos < self.size[:, None])
+        last = np.maximum.accumulate(np.where(self.solid, pos, -1), axis=1)
+        before = np.concatenate([np.full((len(texts), 1), -1), last[:, :-1]], axis=1)
+        self.new = self.solid & ((before < 0) | (self.code[row, np.maximum(before, 0)] != self.code))
+        self.start = np.maximum.accumulate(np.where(self.new, pos, -1), axis=1)
+        ahead = lambda x: np.concatenate([np.minimum.accumulate(np.where(x, pos, width)[:, ::-1], axis=1)[:, ::-1][:, 1:], np.full((len(texts), 1), width)], axis=1)
+        self.next_run, self.next_solid = ahead(self.new), ahead(self.solid)
+        self.stop = np.where(self.start >= 0, last[row, self.next_run - 1], -1)
+        self.count = np.cumsum(self.solid, axis=1)
+        self.length = np.where(self.start >= 0, self.count[row, np.maximum(self.stop, 0)] - self.count[row, np.maximum(self.start, 0)] + 1, 0)
+        self.base = np.where(self.start >= 0, self.code[row, np.maximum(self.start, 0)], 0)
+        self.before, self.row, self.pos, self.width = before, row, pos, width
+
+    def contexts(self, least: int) -> np.ndarray:
+        """The base of the run that a column belongs to, as in `run_columns`; 0 for none."""
+        tag = np.where(self.length >= least, self.base, 0)
+        after = np.where(self.next_solid < self.width, tag[self.row, np.minimum(self.next_solid, self.width - 1)], 0)
+        between = np.where((tag > 0) & (after > 0), np.where(self.next_solid > self.pos + 1, tag, 0), np.where(tag > 0, tag, after))
+        return np.where(self.solid | (self.pos < self.stop), tag, between)
+
+
+def _letters(codes: np.ndarray) -> pa.Array:
+    """Code points as texts, 0 as null."""
+    kinds, at = np.unique(codes, return_inverse=True)
+    return pa.array([chr(k) if k else None for k in kinds.tolist()], pa.string()).take(pa.array(at))
+
+
+def _of_rows(rows: DataFrame, name: str, aligned: str, made, schema: str) -> DataFrame:
+    """(name, what ``made`` gives for the runs of a batch: which row, and columns) of rows, which stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                b = whole.slice(k, 1024)
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                row, columns = made(_Runs(texts))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *columns.values()], names=[name, *columns])
+
+    kind = rows.schema[name].dataType.simpleString()
+    return rows.select(name, F.upper(aligned).alias("row")).mapInArrow(run, f"`{name}` {kind}, {schema}")
+
+
+def run_columns(rows: DataFrame, name: str, aligned: str, least: int, shown: int = 0) -> DataFrame:
     """(name, pos, base, place, run_base, run_start, run_stop, run_length, context) of each column of a gapped row: place counts its
     bases; context is the base of a run of ``least`` or more that the column belongs to. Gap columns inside a run belong to it;
     beside runs they take the base of the one run next to them, and between two runs that of the left one, but for the
-    last of them, which has none."""
-    c = rows.select(name, F.posexplode(F.split(F.upper(aligned), "")).alias("pos", "base")).where("base <> ''")
-    by, solid = Window.partitionBy(name).orderBy("pos"), F.col("base") != "-"
-    past, ahead = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
-    c = c.withColumn("place", F.when(solid, F.sum(solid.cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1))
-    c = c.withColumn("before", F.last(F.when(solid, F.col("base")), ignorenulls=True).over(past))
-    c = c.withColumn("new", (solid & ~F.coalesce(F.col("base") == F.col("before"), F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy(name, "run")
-    c = c.withColumn("run_base", F.max(F.when(solid, F.col("base"))).over(own)).withColumn("run_start", F.min(F.when(solid, F.col("pos"))).over(own)).withColumn("run_stop", F.max(F.when(solid, F.col("pos"))).over(own)).withColumn("run_length", F.sum(solid.cast("long")).over(own))
-    tag = F.when(F.col("run_length") >= least, F.col("run_base"))
-    c = c.withColumn("tag", tag).withColumn("next", F.first(F.when(solid, F.struct(F.col("tag").alias("t"))), ignorenulls=True).over(ahead)["t"]).withColumn("next_solid", F.lead(solid).over(by))
-    inside = solid | (F.col("pos") < F.col("run_stop"))
-    between = F.when(F.col("tag").isNotNull() & F.col("next").isNotNull(), F.when(~F.col("next_solid"), F.col("tag"))).otherwise(F.coalesce("tag", "next"))
-    return c.select(name, "pos", "base", "place", "run_base", "run_start", "run_stop", "run_length", F.when(inside, F.col("tag")).otherwise(between).alias("context"))
+    last of them, which has none. Of columns with a base, only those of runs of ``shown`` bases or more are given. A row's columns are told
+    from the row alone, so nothing is exchanged."""
+
+    def made(x: _Runs):
+        keep = (x.pos < x.size[:, None]) & (~x.solid | (x.length >= shown))
+        row, pos = np.nonzero(keep)
+        at = lambda v: v[row, pos]
+        known = at(x.start) >= 0
+        ints = lambda v, ok, kind: pa.array(v, kind, mask=~ok)
+        return row, {
+            "pos": pa.array(pos, pa.int32()), "base": _letters(at(x.code)), "place": ints(at(x.count) - 1, at(x.solid), pa.int64()), "run_base": _letters(at(x.base)),
+            "run_start": ints(at(x.start), known, pa.int32()), "run_stop": ints(at(x.stop), known, pa.int32()), "run_length": pa.array(at(x.length), pa.int64()), "context": _letters(at(x.contexts(least))),
+        }
+
+    return _of_rows(rows, name, aligned, made, "pos int, base string, place long, run_base string, run_start int, run_stop int, run_length long, context string")
+
+
+def anchors_of_rows(rows: DataFrame, name: str, aligned: str, length: int, least: int = 1) -> DataFrame:
+    """What `run_anchors` gives for the `run_columns` of rows, from each row alone."""
+
+    def made(x: _Runs):
+        row, pos = np.nonzero(x.new & (x.length >= least))
+        after = x.next_run[row, pos]
+        right = np.where(after < x.width, after, length)
+        return row, {"run_base": _letters(x.code[row, pos]), "run_start": pa.array(pos, pa.int32()), "run_stop": pa.array(x.stop[row, pos], pa.int32()), "run_length": pa.array(x.length[row, pos], pa.int64()), "left": pa.array(x.before[row, pos], pa.int32()), "right": pa.array(right, pa.int32())}
+
+    return _of_rows(rows, name, aligned, made, "run_base string, run_start int, run_stop int, run_length long, left int, right int")
 
 
 def run_anchors(columns: DataFrame, name: str, length: int, least: int = 1) -> DataFrame:
