@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Matrix cells of a batch.
 CELLS = 4_000_000
+#: Edits up to which a pair is aligned within so many columns of the diagonal.
+BAND = 8
 
 
 def _matrix(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,9 +41,64 @@ def _batches(a: list[str], b: list[str]) -> Iterator[slice]:
 
 
 def align(a: list[str], b: list[str]) -> Iterator[tuple[str, str]]:
-    """The aligned texts of each pair."""
-    for s in _batches(a, b):
-        yield from _align(a[s], b[s])
+    """The aligned texts of each pair. All best ways of pairs of at most ``BAND`` edits lie within ``BAND`` columns of the diagonal, so what
+    is beyond is computed for the other pairs alone."""
+    for k in range(0, len(a), 2048):
+        some, others = a[k : k + 2048], b[k : k + 2048]
+        out = dict(enumerate(_banded(some, others)))
+        far = [i for i, x in out.items() if x is None]
+        one, two = [some[i] for i in far], [others[i] for i in far]
+        for s in _batches(one, two):
+            for i, x in zip(far[s], _align(one[s], two[s]), strict=True):
+                out[i] = x
+        yield from out.values()
+
+
+def _banded(a: list[str], b: list[str]) -> Iterator[tuple[str, str] | None]:
+    """The same within the band, column k of a row being place i + k - BAND of the second text; None for pairs of more edits, and for
+    texts that are too long for the matrix."""
+    fit = [i for i in range(len(a)) if len(a[i]) <= 512 and len(b[i]) <= 512 and abs(len(a[i]) - len(b[i])) <= BAND]
+    if not fit:
+        yield from [None] * len(a)
+        return
+    x, n = _matrix([a[i] for i in fit], 1)
+    text, m = _matrix([b[i] for i in fit], 2)
+    wide, rows = 2 * BAND + 1, np.arange(len(fit))
+    y = np.full((len(fit), BAND + max(text.shape[1], x.shape[1] + BAND + 1)), 2, np.uint8)
+    y[:, BAND : BAND + text.shape[1]] = text
+    step = np.arange(wide, dtype=np.int16)
+    d = np.full((x.shape[1] + 1, len(fit), wide + 1), 8192, np.int16)  # the last column is out of reach
+    d[0, :, BAND:wide] = step[: wide - BAND]
+    for i in range(1, len(d)):
+        t = np.minimum(d[i - 1, :, 1:] + 1, d[i - 1, :, :wide] + (x[:, i - 1, None] != y[:, i - 1 : i - 1 + wide]))
+        if i < BAND:
+            t[:, : BAND - i] = 8192
+        d[i, :, :wide] = np.minimum.accumulate(t - step, axis=1) + step
+    near = d[n, rows, m - n + BAND] <= BAND
+    i, j = np.where(near, n, 0), np.where(near, m, 0)
+    ops = np.zeros((int((n + m).max(initial=0)), len(fit)), np.uint8)
+    for s in range(len(ops)):
+        live = (i > 0) | (j > 0)
+        if not live.any():
+            break
+        k = np.clip(j - i + BAND, 0, wide - 1)
+        here, up, left = d[i, rows, k], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        both = (i > 0) & (j > 0) & (here == d[up, rows, k] + (x[rows, up] != text[rows, left]))
+        one = ~both & (i > 0) & (here == d[up, rows, k + 1] + 1)
+        two = live & ~both & ~one
+        ops[s] = both + 2 * one + 3 * two
+        i, j = i - (both | one), j - (both | two)
+    at = dict(zip(fit, range(len(fit)), strict=True))
+    for i in range(len(a)):
+        yield _walked(ops[:, r], x[r, : n[r]], text[r, : m[r]]) if (r := at.get(i)) is not None and near[r] else None
+
+
+def _walked(ops: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[str, str]:
+    """The aligned texts by the steps back from their ends."""
+    o = ops[ops > 0][::-1]
+    p, q = np.full(len(o), 45, np.uint8), np.full(len(o), 45, np.uint8)
+    p[o != 3], q[o != 2] = x, y
+    return p.tobytes().decode("ascii", "replace"), q.tobytes().decode("ascii", "replace")
 
 
 def _align(a: list[str], b: list[str]) -> Iterator[tuple[str, str]]:
@@ -68,11 +125,7 @@ def _align(a: list[str], b: list[str]) -> Iterator[tuple[str, str]]:
         ops[t] = both + 2 * one + 3 * two
         i, j = i - (both | one), j - (both | two)
     for r in range(len(a)):
-        o = ops[:, r]
-        o = o[o > 0][::-1]
-        p, q = np.full(len(o), 45, np.uint8), np.full(len(o), 45, np.uint8)
-        p[o != 3], q[o != 2] = x[r, : n[r]], y[r, : m[r]]
-        yield p.tobytes().decode("ascii", "replace"), q.tobytes().decode("ascii", "replace")
+        yield _walked(ops[:, r], x[r, : n[r]], y[r, : m[r]])
 
 
 def events(a: str, b: str) -> tuple[int, int, int, int]:
@@ -133,6 +186,58 @@ def tags(a: str, b: str, least: int = 2) -> list[str]:
     return out
 
 
+def _run_at(text: str, i: int) -> tuple[int, int, str]:
+    """What `run_of` has for column i, from the columns around it."""
+    j = i
+    while j >= 0 and text[j] == "-":
+        j -= 1
+    if j < 0:
+        j = i
+        while j < len(text) and text[j] == "-":
+            j += 1
+        if j == len(text):
+            return 0, 0, "-"
+    c, first, n = text[j], j, 1
+    for step in (-1, 1):
+        k = j + step
+        while 0 <= k < len(text) and text[k] in (c, "-"):
+            if text[k] == c:
+                n += 1
+                first = min(first, k)
+            k += step
+    return first, n, c
+
+
+def compared(a: str, b: str, least: int = 2, free: int = 6) -> tuple:
+    """(edits, `events`, `tags`, the share of `run_free_distance`) of an aligned pair; only columns that differ are looked at."""
+    at = [i for i, (p, q) in enumerate(zip(a, b, strict=True)) if p != q]
+    subs, sizes, found, unscored, k = 0, [], [], 0, 0
+    while k < len(at):
+        i = at[k]
+        if a[i] != "-" and b[i] != "-":
+            subs += 1
+            found.append("non-hp-sub")
+            k += 1
+            continue
+        own, other = (a, b) if a[i] == "-" else (b, a)
+        e = i
+        while e < len(own) and own[e] == "-":
+            e += 1
+        k += e - i
+        sizes.append(e - i)
+        near = {_run_at(b, x) for x in range(i, e)}
+        run, moved = next(iter(near)), set(other[i:e])
+        if len(near) == 1 and run[1] >= least and moved == {run[2]}:
+            found.append(f"hp-l{run[1]}-{run[2]}-{'del' if own is a else 'ins'}{e - i}")
+        else:
+            found.append("non-hp-indel")
+        for x in range(i, e):
+            mine, beside = _run_at(other, x), _run_at(own, x)
+            unscored += max(mine[1], beside[1] if beside[2] == other[x] else 0) >= free
+    scored = len(a) - unscored
+    return len(at), subs, sum(x == 1 for x in sizes), sum(2 <= x <= 3 for x in sizes), sum(x >= 4 for x in sizes), found, (len(at) - unscored) / scored if scored else 0.0
+
+
 def run_free_distance(a: str, b: str, least: int = 6) -> tuple[float, bool]:
     """(mismatching share of scored columns, whether nothing differs) of an aligned pair, indels inside runs of ``least`` bases or more being free."""
     runs_a, runs_b = run_of(a), run_of(b)
@@ -154,9 +259,7 @@ _COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("edits", "su
 @F.pandas_udf(_COUNTS)
 def differences(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """What differs between candidate and reference."""
-    rows = []
-    for p, q in align(a.fillna("").tolist(), b.fillna("").tolist()):
-        rows.append((sum(x != y for x, y in zip(p, q, strict=True)), *events(p, q), tags(p, q), run_free_distance(p, q)[0]))
+    rows = [compared(p, q) for p, q in align(a.fillna("").tolist(), b.fillna("").tolist())]
     return pd.DataFrame(rows, columns=[f.name for f in _COUNTS])
 
 

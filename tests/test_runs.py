@@ -56,3 +56,5 @@ def test_band(monkeypatch):
     assert list(pairwise.align([*a, "ACGT" * 30], [*b, "TTT"])) == [*want, *pairwise._align(["ACGT" * 30], ["TTT"])]
     monkeypatch.setattr(pairwise, "_align", None)
     assert list(pairwise.align(a, b)) == want
+    for p, q in [*want, ("AA--AAAAAAC-", "AAAAA--AACCG"), ("A-", "-C"), ("--AA", "CAA-")]:
+        assert pairwise.compared(p, q) == (sum(x != y for x, y in zip(p, q, strict=True)), *pairwise.events(p, q), pairwise.tags(p, q), pairwise.run_free_distance(p, q)[0])
