@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import base_mask, mask_code
-from .alignments import allele_rank, cells, composition, variant_columns
+from .alignments import allele_rank, composition, variant_columns
 
 
 def _text(codes: Column) -> Column:
@@ -243,7 +243,7 @@ def recursive_splits(rows: DataFrame, group: str, read: str, aligned: str, count
     done = []
     while now.limit(1).count():
         part = now.withColumn("part", F.concat(F.col(group).cast("string"), F.lit("/"), F.col("path")))
-        part = cut(part.withColumn("n", F.count("*").over(Window.partitionBy("part"))).withColumn("best", F.lit(True)))
+        part = cut(part.withColumn("n", F.count("*").over(Window.partitionBy("part"))).withColumn("copies", F.lit(1)).withColumn("some", F.lit(1)))
         some = part.where(F.col("n") >= 2 * count)
         pos = variant_columns(composition(some, "part", read, "row"), "part", frequency, count).select("part", "pos")
         at = cut(alleles_at(some, pos, "part", read, "row"))
@@ -262,6 +262,11 @@ def recursive_splits(rows: DataFrame, group: str, read: str, aligned: str, count
 
 
 def read_errors(rows: DataFrame, consensus: DataFrame, group: str, read: str, aligned: str) -> DataFrame:
-    """(group, read, pos, kind, base): where a read differs from (group, pos, base) of the consensus; kind sub, ins or del."""
-    c = cells(rows, group, read, aligned).join(consensus.select(group, "pos", F.col("base").alias("c")), [group, "pos"]).where(F.col("base") != F.col("c"))
+    """(group, read, pos, kind, base): where a read differs from (group, pos, base) of the consensus; kind sub, ins or del. A group's
+    consensus travels to its rows as one array, and only columns that differ become rows."""
+    at = consensus.groupBy(group).agg(F.collect_list(F.struct("pos", F.col("base").alias("c"))).alias("at"))
+    r = rows.select(group, read, F.regexp_replace(F.upper(aligned), "[^ACGT]", "-").alias("row")).join(at, group)
+    # as a lambda's variable the row isn't computed again for each column
+    seen = lambda row: F.filter(F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["c"].alias("c"), F.substring(row, x["pos"] + 1, F.lit(1)).alias("base"))), lambda x: (x["base"] != "") & (x["base"] != x["c"]))
+    c = r.select(group, read, F.explode(F.element_at(F.transform(F.array("row"), seen), 1)).alias("x")).select(group, read, "x.*")
     return c.select(group, read, "pos", F.when(F.col("c") == "-", "ins").when(F.col("base") == "-", "del").otherwise("sub").alias("kind"), "base")

@@ -147,7 +147,9 @@ def frame(classes: DataFrame, group: str, seq: str, copies: str, rounds: int = 1
     own = cut(classes.withColumn(seq, F.upper(F.coalesce(seq, F.lit("")))).groupBy(group, seq).agg(F.sum(copies).alias(copies)))
     profile = centres(own, group, seq, copies).select(group, _of_text(F.col("centre")).alias("profile"))
     for k in range(rounds + 2):
-        held = own.join(profile, group, "left").withColumn("profile", F.coalesce("profile", F.unhex(F.lit(""))))  # a group of empty sequences has none
+        # alignment costs more than rows: so many partitions, however small the sequences are
+        spread = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, seq)
+        held = spread.join(profile, group, "left").withColumn("profile", F.coalesce("profile", F.unhex(F.lit(""))))  # a group of empty sequences has none
         x = held.select(group, seq, copies, _placed("profile", seq).alias("x"), (F.length("profile") / 5).cast("int").alias("size"))
         placed = cut(x.select(group, seq, copies, "x.row", "x.more", "size"))
         wide = widths(placed, group, F.col("size"))
@@ -163,16 +165,27 @@ def frame(classes: DataFrame, group: str, seq: str, copies: str, rounds: int = 1
     return rows.join(kept, group, "left").select(group, seq, copies, row.alias("row_aln"))
 
 
+def class_rows(reads: DataFrame, group: str, seq: str, rounds: int = 1) -> DataFrame:
+    """(group, seq, copies, row_aln): the distinct sequences of each group in its common columns, with how many reads have them."""
+    r = reads.select(group, F.upper(F.coalesce(seq, F.lit(""))).alias("seq"))
+    return frame(r.groupBy(group, "seq").agg(F.count("*").alias("copies")), group, "seq", "copies", rounds)
+
+
+def of_reads(reads: DataFrame, found: DataFrame, group: str, read: str, seq: str) -> DataFrame:
+    """(group, read, columns of ``found``): what is known of each distinct (group, seq), for its reads; those of a null group have none."""
+    r = reads.select(group, read, F.upper(F.coalesce(seq, F.lit(""))).alias("seq")).where(F.col(group).isNotNull())
+    return r.join(found, [group, "seq"]).drop("seq")
+
+
 def common_columns(reads: DataFrame, group: str, read: str, seq: str, rounds: int = 1) -> DataFrame:
     """(group, read, row_aln): all reads of each group in its common columns."""
-    r = reads.select(group, read, F.upper(F.coalesce(seq, F.lit(""))).alias("seq"))
-    found = frame(r.groupBy(group, "seq").agg(F.count("*").alias("copies")), group, "seq", "copies", rounds)
-    return r.where(F.col(group).isNotNull()).join(found.drop("copies"), [group, "seq"]).select(group, read, "row_aln")
+    return of_reads(reads, class_rows(reads, group, seq, rounds).drop("copies"), group, read, seq)
 
 
-def consensus_rows(rows: DataFrame, group: str, row: str = "row_aln") -> DataFrame:
+def consensus_rows(rows: DataFrame, group: str, row: str = "row_aln", copies: str | None = None) -> DataFrame:
     """(group, consensus): the most frequent letter of each column as one text, gaps too."""
-    return _majority(rows.select(group, F.col(row).alias("row"), F.lit(1).alias("copies")), group, "copies", "row")
+    n = F.col(copies) if copies else F.lit(1)
+    return _majority(rows.select(group, F.col(row).alias("row"), n.alias("copies")), group, "copies", "row")
 
 
 def run_context(consensus: DataFrame, group: str, least: int = 1) -> DataFrame:

@@ -17,15 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import common_columns, consensus_rows, run_context, scored
+from .frames import class_rows, consensus_rows, of_reads, run_context, scored
 from .tables import cut, discard
 
 
 def normal_rows(reads: DataFrame, group: str, read: str, seq: str, run: int) -> DataFrame:
-    """(group, read, row): reads in their group's columns, with the consensus' letter where a run explains a difference."""
-    rows = cut(common_columns(reads, group, read, seq))
-    cons = run_context(consensus_rows(rows, group), group, run)
-    return scored(rows, cons, group).select(group, read, F.regexp_replace("normal", "[^ACGT]", "-").alias("row"))
+    """(group, read, row): reads in their group's columns, with the consensus' letter where a run explains a difference. Equal
+    sequences of a group are aligned and scored once."""
+    found = cut(class_rows(reads, group, seq))
+    cons = run_context(consensus_rows(found, group, copies="copies"), group, run)
+    rows = cut(scored(found, cons, group).select(group, "seq", F.regexp_replace("normal", "[^ACGT]", "-").alias("row")))
+    return of_reads(reads, rows, group, read, seq)
 
 
 def _at(row: Column, columns: Column) -> Column:

@@ -10,19 +10,27 @@ from .derived import gapped_oracle, load
 from .queries import query
 
 
-def _rows(spark, d):
-    """The gapped reads in common columns; aligned once for the queries of an application over the same tables."""
+def _classes(spark, d):
+    """The distinct gapped reads in common columns; aligned once for the queries of an application over the same tables."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _ALIGNED:
-        _ALIGNED[key] = cut(frames.common_columns(load(spark, d, "gapped"), "specimen", "read_id", "seq"))
+        _ALIGNED[key] = cut(frames.class_rows(load(spark, d, "gapped"), "specimen", "seq"))
     return _ALIGNED[key]
 
 
 _ALIGNED: dict = {}
 
 
+def _of_reads(spark, d, found):
+    return frames.of_reads(load(spark, d, "gapped"), found, "specimen", "read_id", "seq")
+
+
+def _rows(spark, d):
+    return _of_reads(spark, d, _classes(spark, d).drop("copies"))
+
+
 def _comp(spark, d):
-    return alignments.composition(_rows(spark, d), "specimen", "read_id", "row_aln")
+    return alignments.composition(_classes(spark, d), "specimen", "seq", "row_aln", "copies")
 
 
 _TOP = "gtop as (select specimen, pos, base as c from (select *, row_number() over (partition by specimen, pos order by n desc, instr('ACGT-', base)) as r from gcomp) where r = 1)"
@@ -40,7 +48,7 @@ def gapped_rows(spark, d):
 
 @query(gapped_oracle("select specimen, string_agg(c, '' order by pos) as consensus from gtop group by specimen", _TOP))
 def gapped_consensus(spark, d):
-    return frames.consensus_rows(_rows(spark, d), "specimen")
+    return frames.consensus_rows(_classes(spark, d), "specimen", copies="copies")
 
 
 @query(gapped_oracle("""select specimen, pos, string_agg(base, '' order by base) as alleles, count(*) as n_variants from (select *, sum(n) over (partition by specimen, pos) as total, row_number() over (partition by specimen, pos order by n desc, instr('ACGT-', base)) as r from gcomp)
@@ -52,9 +60,9 @@ def gapped_variants(spark, d):
 @query(gapped_oracle("""select read_id, count_if(base <> '-' and c = '-')::int as insertions, count_if(base = '-' and c <> '-')::int as deletions, count_if(base <> '-' and c <> '-' and base <> c)::int as substitutions,
     count_if(base <> c)::int as normalised, round(1 - count_if(base <> c) / count_if(c <> '-')::double, 9) as rid from gcells join gtop using (specimen, pos) group by read_id""", _TOP))
 def gapped_scores(spark, d):
-    rows = _rows(spark, d)
-    s = frames.scored(rows, frames.run_context(frames.consensus_rows(rows, "specimen"), "specimen", 6), "specimen")
-    return s.select("read_id", "insertions", "deletions", "substitutions", "normalised", F.round("rid", 9).alias("rid"))
+    rows = _classes(spark, d)
+    s = frames.scored(rows, frames.run_context(frames.consensus_rows(rows, "specimen", copies="copies"), "specimen", 6), "specimen")
+    return _of_reads(spark, d, s).select("read_id", "insertions", "deletions", "substitutions", "normalised", F.round("rid", 9).alias("rid"))
 
 
 @query(gapped_oracle("""select specimen, count_if(base = c and c <> '-')::bigint as matches, count_if(c <> '-' and base not in (c, '-'))::bigint as subs, count_if(c <> '-' and base = '-')::bigint as dels, count_if(c = '-' and base <> '-')::bigint as ins, count(distinct read_id) as reads

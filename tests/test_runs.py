@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from ampliform.operators import columns, pairwise
+from ampliform.operators import alignments, columns, frames, pairwise
 
 
 def plan(df):
@@ -58,3 +58,29 @@ def test_band(monkeypatch):
     assert list(pairwise.align(a, b)) == want
     for p, q in [*want, ("AA--AAAAAAC-", "AAAAA--AACCG"), ("A-", "-C"), ("--AA", "CAA-")]:
         assert pairwise.compared(p, q) == (sum(x != y for x, y in zip(p, q, strict=True)), *pairwise.events(p, q), pairwise.tags(p, q), pairwise.run_free_distance(p, q)[0])
+
+
+def test_errors_of_reads_and_copies(spark):
+    """Only columns that differ become rows; a row that counts several times is as good as so many."""
+    rng = random.Random(9)
+    rows = [(i % 2, i, "".join(rng.choice("ACGTN-a") for _ in range(rng.choice([0, 7, 12])))) for i in range(30)]
+    cons = [(g, k, rng.choice("ACGT-")) for g in range(2) for k in range(12) if k != 3]
+    r, c = spark.createDataFrame(rows, "g int, id long, row string"), spark.createDataFrame(cons, "g int, pos int, base string")
+    got = columns.read_errors(r, c, "g", "id", "row")
+    assert "posexplode" not in plan(got)
+    top, plain = {(g, k): b for g, k, b in cons}, lambda x: x if x in "ACGT" else "-"
+    want = {(g, i, k, "ins" if top[g, k] == "-" else "del" if plain(x) == "-" else "sub", plain(x)) for g, i, t in rows for k, x in enumerate(t.upper()) if top.get((g, k), plain(x)) != plain(x)}
+    assert {tuple(x) for x in got.collect()} == want
+    few = r.selectExpr("g", "row", "id % 3 + 1 as n")
+    each = few.selectExpr("g", "row", "explode(sequence(1, n)) as i")
+    assert {tuple(x) for x in alignments.composition(few, "g", "n", "row", "n").collect()} == {tuple(x) for x in alignments.composition(each, "g", "i", "row").collect()}
+
+
+def test_equal_reads_are_scored_once(spark):
+    """Reads meet what is known of their sequence; no alignment or score stands above the join to them."""
+    reads = spark.createDataFrame([(1, i, s) for i, s in enumerate(["ACGTACGTAC"] * 5 + ["acgtacgac", None])] + [(None, 99, "ACGT")], "g int, id long, seq string")
+    found = frames.class_rows(reads, "g", "seq")
+    got = {x.id: x.row_aln for x in frames.of_reads(reads, found, "g", "id", "seq").collect()}
+    assert got == {x.id: x.row_aln for x in frames.common_columns(reads, "g", "id", "seq").collect()}
+    assert sorted(got) == list(range(7)) and {got[i] for i in range(5)} == {"ACGTACGTAC"}
+    assert {x.copies for x in found.where("g = 1").collect()} == {5, 1}
