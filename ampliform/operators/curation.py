@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .parentage import best_larger
+from .tables import cut
+
 #: Least critical-error factor and largest error factor of a variant that passes.
 MIN_CER, MAX_ERR = 1.0, 1.5
 
@@ -109,13 +112,21 @@ def summary_rows(variants: DataFrame, specimen: str, order: list[str]) -> DataFr
 
 def parents(variants: DataFrame, keys: list[str]) -> DataFrame:
     """(ordinal, parent, parent_size, identity, edits): of each variant but the anchor the most similar larger one of its group, or the
-    anchor; of equals the larger, then the first."""
-    v = variants.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("size"), "ordinal"))).select(*keys, "ordinal", "size", "seq", "place")
-    p = v.select(*keys, F.col("ordinal").alias("parent"), F.col("size").alias("parent_size"), F.col("seq").alias("parent_seq"), F.col("place").alias("parent_place"))
-    pairs = v.join(p, keys).where((F.col("parent_size") > F.col("size")) | (F.col("parent_place") == 1) & (F.col("place") != 1))
-    pairs = pairs.withColumn("edits", F.levenshtein("seq", "parent_seq")).withColumn("identity", 1 - F.col("edits") / F.greatest(F.length("seq"), F.length("parent_seq")))
-    best = F.max_by(F.struct("parent", "parent_size", "identity", "edits"), F.struct(F.round("identity", 9), "parent_size", -F.col("parent")))
-    return pairs.groupBy("ordinal").agg(best.alias("x")).select("ordinal", "x.*")
+    anchor; of equals the larger, then the first. Equal sequences are looked up once: one that isn't the largest of its sequence has that as parent."""
+    own = Window.partitionBy(*keys, "seq").orderBy(F.desc("size"), "ordinal")
+    v = variants.dropna(subset=keys).select(*keys, "ordinal", "size", "seq")
+    v = cut(v.withColumn("top", F.first("ordinal").over(own)).withColumn("top_size", F.first("size").over(own)))
+    first = F.max_by(F.struct("ordinal", "size", "seq"), F.struct("size", -F.col("ordinal")))
+    anchors = v.groupBy(*keys).agg(first.alias("anchor"))
+    found = best_larger(v.where("ordinal = top and seq is not null"), keys).withColumnRenamed("ordinal", "top")
+    x = v.join(anchors, keys).where(F.col("ordinal") != F.col("anchor.ordinal")).join(found, [*keys, "top"], "left")
+    edits = F.levenshtein("seq", "anchor.seq")
+    whole = F.when(F.greatest(F.length("seq"), F.length("anchor.seq")) == 0, 1.0).otherwise(1 - edits / F.greatest(F.length("seq"), F.length("anchor.seq"), F.lit(1)))
+    told = lambda parent, size, identity, e: F.struct(parent.alias("parent"), size.alias("parent_size"), identity.alias("identity"), e.alias("edits"))
+    same = F.col("seq").isNotNull() & F.coalesce((F.col("top_size") > F.col("size")) | (F.col("top") == F.col("anchor.ordinal")), F.lit(False))
+    alone = F.col("seq").isNull() | F.col("size").isNull() | F.col("parent").isNull()  # nothing is larger, or comparable: the anchor
+    best = F.when(same, told(F.col("top"), F.col("top_size"), F.lit(1.0), F.lit(0))).when(alone, told(F.col("anchor.ordinal"), F.col("anchor.size"), whole, edits)).otherwise(told(*map(F.col, ("parent", "parent_size", "identity", "edits"))))
+    return x.select("ordinal", best.alias("x")).select("ordinal", "x.*")
 
 
 def specimens(variants: DataFrame, specimen: str) -> DataFrame:
