@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import base_mask, mask_code
-from .alignments import allele_rank, composition, variant_columns
+from ..functions.sequence import CODES, base_mask, mask_code
+from .alignments import allele_rank, composition, together, variant_columns
 
 
 def _text(codes: Column) -> Column:
@@ -59,34 +59,131 @@ def column_summary(columns: DataFrame, events: DataFrame, group: str) -> DataFra
     return snp.join(e, group, "left").select(group, "snps", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names))
 
 
-def content(rows: DataFrame, group: str, aligned: str) -> DataFrame:
-    """``rows`` with first and last, the columns of each row's outer bases, and from and upto, what all rows of the group span."""
-    bare = F.col(aligned)
-    r = rows.withColumn("first", F.length(bare) - F.length(F.ltrim(bare, F.lit("-")))).withColumn("last", F.length(F.rtrim(bare, F.lit("-"))) - 1)
-    by = Window.partitionBy(group)
-    return r.withColumn("from", F.max("first").over(by)).withColumn("upto", F.min("last").over(by))
+class _Extents:
+    """Gapped rows as a matrix of code points, with the columns of each row's outer bases; rows of a group stand together and begin at ``start``."""
+
+    def __init__(self, texts: list[str | None], start: np.ndarray):
+        self.start, self.there = start, np.array([t is not None for t in texts])
+        flat = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), np.uint32)
+        self.size = np.array([len(t or "") for t in texts], np.int64)
+        width = max(1, int(self.size.max(initial=1)))
+        self.pos = np.arange(width)
+        self.solid = self.pos < self.size[:, None]
+        self.code = np.zeros((len(texts), width), np.uint32)
+        self.code[self.solid] = flat
+        base = self.solid & (self.code != ord("-"))
+        any_ = base.any(axis=1)
+        self.first = np.where(any_, base.argmax(axis=1), self.size)
+        self.last = np.where(any_, width - 1 - base[:, ::-1].argmax(axis=1), -1)
+        self.base = base
+
+    def over(self, how: np.ufunc, v: np.ndarray, none) -> np.ndarray:
+        """``how`` over the rows of each group; rows without a text have no part."""
+        return how.reduceat(np.where(self.there if v.ndim == 1 else self.there[:, None], v, none), self.start, axis=0)
+
+
+#: What stands for no first and no last column.
+_FAR = 1 << 40
+
+
+def _wider(v: np.ndarray, width: int, none) -> np.ndarray:
+    """A matrix with more columns, which change nothing."""
+    return np.concatenate([v, np.full((len(v), max(0, width - v.shape[1])), none, v.dtype)], axis=1)
+
+
+def _joined(before: list[np.ndarray], values: list[np.ndarray], how: list[tuple[np.ufunc, object]]) -> list[np.ndarray]:
+    """States of groups, the first of which goes on from ``before``."""
+    out = []
+    for h, v, (f, none) in zip(before, values, how, strict=True):
+        if v.ndim > 1:
+            width = max(h.shape[1], v.shape[1])
+            h, v = _wider(h, width, none), _wider(v, width, none)
+        out.append(np.concatenate([f(h, v[:1]), v[1:]]))
+    return out
+
+
+def _of_groups(rows: DataFrame, group: str, state, how: list[tuple[np.ufunc, object]], told, schema: str) -> DataFrame:
+    """(group, what ``told`` makes of states): rows (group, row, more) are exchanged whole and sorted by group, and a group's state, a few numbers for each of its
+    columns, grows row by row; ``how`` joins two states. No row becomes its cells, and what a task holds is one batch."""
+    kind = rows.schema[group].dataType.simpleString()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+        for whole in batches:
+            k = 0
+            while k < whole.num_rows:
+                longest = max((len(t) for t in whole.column(1).slice(k, 64).to_pylist() if t), default=1)
+                b = whole.slice(k, max(1, min(4096, 1_000_000 // longest)))
+                k += b.num_rows
+                at = b.column(0).dictionary_encode().indices.fill_null(-1).to_numpy()
+                start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                yield b.column(0).take(pa.array(start)), state(_Extents(b.column(1).to_pylist(), start), b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for names, values in parts(batches):
+            if last is not None:
+                if last[0].equals(names[:1]):
+                    values = _joined(last[1], values, how)
+                else:
+                    yield told(*last)
+            last = names[-1:], [v[-1:] for v in values]
+            if len(names) > 1:
+                yield told(names[:-1], [v[:-1] for v in values])
+        if last is not None:
+            yield told(*last)
+
+    return together(rows, group).sortWithinPartitions(group).mapInArrow(run, f"`{group}` {kind}, {schema}")
 
 
 def overlap_summary(rows: DataFrame, group: str, aligned: str) -> DataFrame:
     """(group, overlap, prefix, suffix, snps): columns that all rows fill within what all span, what goes beyond it at either end,
     and columns of several bases in it."""
-    c = content(rows, group, aligned)
-    out = c.groupBy(group).agg(F.first("from").alias("from"), F.first("upto").alias("upto"), F.min("first").alias("least"), F.max("last").alias("most"))
-    cell = c.select(group, "from", "upto", F.posexplode(F.split(aligned, "")).alias("pos", "base")).where("base <> '' and pos >= `from` and pos <= upto")
-    col = cell.groupBy(group, "pos").agg(F.count_if(F.col("base") == "-").alias("gaps"), F.countDistinct("base").alias("kinds"))
-    col = col.groupBy(group).agg(F.count_if(F.col("gaps") == 0).alias("overlap"), F.count_if((F.col("gaps") == 0) & (F.col("kinds") > 1)).alias("snps"))
-    return out.join(col, group, "left").select(group, F.coalesce("overlap", F.lit(0)).alias("overlap"), (F.col("from") - F.col("least")).alias("prefix"), (F.col("most") - F.col("upto")).alias("suffix"), F.coalesce("snps", F.lit(0)).alias("snps"))
+    how = [(np.maximum, -1), (np.minimum, _FAR), (np.minimum, _FAR), (np.maximum, -_FAR), (np.minimum, np.uint32(0xFFFFFFFF)), (np.maximum, np.uint32(0)), (np.logical_or, False)]
+
+    def state(x: _Extents, b: pa.RecordBatch) -> list[np.ndarray]:
+        low = np.where(x.solid, x.code, np.uint32(0xFFFFFFFF))
+        values = (x.first, x.last, x.first, x.last, low, x.code, x.solid & ~x.base)
+        return [x.over(f, v, none) for v, (f, none) in zip(values, how, strict=True)]
+
+    def told(names: pa.Array, values: list[np.ndarray]) -> pa.RecordBatch:
+        first, last, least, most, low, high, gap = values
+        pos = np.arange(low.shape[1])
+        full = (pos >= first[:, None]) & (pos <= last[:, None]) & ~gap & (high > 0)
+        known, keyed = first >= 0, ~names.is_null().to_numpy(zero_copy_only=False)
+        number = lambda v: pa.array(np.where(keyed, v, 0), pa.int64())
+        place = lambda v: pa.array(v, pa.int32(), mask=~known)
+        ends = [np.where(known, v, 0) for v in (first - least, most - last)]
+        return pa.RecordBatch.from_arrays([names, number(full.sum(axis=1)), *map(place, ends), number((full & (low != high)).sum(axis=1))], names=[group, "overlap", "prefix", "suffix", "snps"])
+
+    return _of_groups(rows.select(group, F.col(aligned).alias("row")), group, state, how, told, "overlap long, prefix int, suffix int, snps long")
 
 
 def overlap_consensus(rows: DataFrame, group: str, aligned: str, weight: str, fraction: float = 0.5, floor: int = 3) -> DataFrame:
     """(group, consensus, snp_count): the union of rows of different extent. Within what all rows span, a column stays if its bases
     have ``fraction`` of the weight and ``floor`` at least; beyond, whatever bases there are stay."""
-    c = content(rows, group, aligned).select(group, "first", "last", "from", "upto", F.col(weight).alias("w"), F.posexplode(F.split(F.upper(aligned), "")).alias("pos", "base"))
-    c = c.where("base <> '' and pos >= first and pos <= last")
-    col = c.groupBy(group, "pos").agg(F.first("from").alias("from"), F.first("upto").alias("upto"), F.sum("w").alias("all"), F.sum(F.when(F.col("base") != "-", F.col("w")).otherwise(0)).alias("bases"), F.bit_or(base_mask(F.col("base"))).alias("mask"))
-    shared = F.col("pos").between(F.col("from"), F.col("upto"))
-    kept = col.where("mask > 0").where(~shared | (F.col("bases") >= F.col("all") * F.lit(fraction)) & (F.col("bases") >= floor)).withColumn("code", mask_code(F.col("mask")))
-    return kept.groupBy(group).agg(_text(F.struct("pos", "code")).alias("consensus"), F.count_if(~F.col("code").isin("A", "C", "G", "T")).alias("snp_count"))
+    how = [(np.maximum, -1), (np.minimum, _FAR), (np.add, 0.0), (np.add, 0.0), (np.bitwise_or, np.uint8(0))]
+    codes = np.array(["-", *sorted(CODES, key=CODES.__getitem__)])
+    masks = np.full(128, 15, np.uint8)
+    masks[[ord("-"), *map(ord, CODES)]] = [0, *CODES.values()]
+
+    def state(x: _Extents, b: pa.RecordBatch) -> list[np.ndarray]:
+        w = b.column(2).to_numpy(zero_copy_only=False)[:, None]
+        own = (x.pos >= x.first[:, None]) & (x.pos <= x.last[:, None])
+        mask = masks[np.minimum(x.code, 127)]
+        values = (x.first, x.last, np.where(own, w, 0.0), np.where(own & x.base, w, 0.0), np.where(own, mask, np.uint8(0)))
+        return [x.over(f, v, none) for v, (f, none) in zip(values, how, strict=True)]
+
+    def told(names: pa.Array, values: list[np.ndarray]) -> pa.RecordBatch:
+        first, last, every, bases, mask = values
+        pos = np.arange(mask.shape[1])
+        shared = (pos >= first[:, None]) & (pos <= last[:, None])
+        kept = (mask > 0) & (~shared | (bases >= every * fraction) & (bases >= floor))
+        some = np.flatnonzero(kept.any(axis=1))
+        texts = ["".join(codes[mask[r, kept[r]]]) for r in some]
+        several = (kept & ((mask & (mask - 1)) > 0)).sum(axis=1)[some]
+        return pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(texts, pa.string()), pa.array(several, pa.int64())], names=[group, "consensus", "snp_count"])
+
+    return _of_groups(rows.select(group, F.upper(aligned).alias("row"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w")), group, state, how, told, "consensus string, snp_count long")
 
 
 def read_consensus(comp: DataFrame, group: str, frequency: float, fraction: float = 0.5, floor: int = 3) -> DataFrame:
