@@ -331,31 +331,44 @@ def best_split(errors: DataFrame, group: str) -> DataFrame:
 def recursive_splits(rows: DataFrame, group: str, read: str, aligned: str, count: int, frequency: float) -> DataFrame:
     """(group, path, read, deferred): reads of one given alignment split at the best column again and again, until no part splits, all groups of a
     depth in one job. Reads with an allele that doesn't pass are deferred: they leave, with the path of the part they left. A part of
-    fewer than twice ``count`` reads stays whole. `phasing.phased` aligns the parts anew."""
-    from .phasing import alleles_at, passing, split_errors
+    fewer than twice ``count`` reads stays whole. `phasing.phased` aligns the parts anew.
+
+    Equal rows of a group go the same way, so each is split once, with its number of reads. In a round, rows that have the same letters at all variant columns
+    of their part are one kind; what is counted, scored and decided are kinds, and rows are neither sorted nor exchanged."""
+    from .phasing import passing, split_errors
     from .tables import cut, discard
 
-    out = (group, "path", read, "deferred")
-    now = cut(rows.select(group, F.lit("").alias("path"), read, F.regexp_replace(F.upper(aligned), "[^ACGT]", "-").alias("row")))
+    row = F.regexp_replace(F.upper(aligned), "[^ACGT]", "-")
+    every = cut(rows.select(group, read, row.alias("row")))
+    now = cut(every.groupBy(group, "row").agg(F.count("*").alias("copies")).withColumn("path", F.lit("")))
     done = []
+    part = F.concat(F.col(group).cast("string"), F.lit("/"), F.col("path")).alias("part")
     while now.limit(1).count():
-        part = now.withColumn("part", F.concat(F.col(group).cast("string"), F.lit("/"), F.col("path")))
-        part = cut(part.withColumn("n", F.count("*").over(Window.partitionBy("part"))).withColumn("copies", F.lit(1)).withColumn("some", F.lit(1)))
-        some = part.where(F.col("n") >= 2 * count)
-        pos = variant_columns(composition(some, "part", read, "row"), "part", frequency, count).select("part", "pos")
-        at = cut(alleles_at(some, pos, "part", read, "row"))
-        good = cut(passing(at, "part", count, frequency))
-        best = cut(split_errors(at, good, "part", read).groupBy("part").agg(F.min(F.struct("error", "pos")).alias("x")).select("part", "x.pos"))
-        own = at.join(best, ["part", "pos"]).join(good.select("part", "pos", "base", F.lit(True).alias("ok")), ["part", "pos", "base"], "left").select("part", read, "pos", "base", F.coalesce("ok", F.lit(False)).alias("ok"))
-        told = cut(part.join(own, ["part", read], "left"))
-        done += [cut(told.where("ok is null").select(group, "path", read, F.lit(False).alias("deferred"))), cut(told.where("not ok").select(group, "path", read, F.lit(True).alias("deferred")))]
+        some = now.select(part, "row", "copies")
+        comp = cut(composition(some, "part", "row", "row", "copies"))
+        n = some.groupBy("part").agg(F.sum("copies").alias("reads")).where(F.col("reads") >= 2 * count).select("part")
+        at = cut(variant_columns(comp, "part", frequency, count).join(n, "part").groupBy("part").agg(F.array_sort(F.collect_list("pos")).alias("at")))
+        letters = F.array_join(F.transform("at", lambda i: F.substring("row", i + 1, F.lit(1))), "")
+        split = now.withColumn("part", part).join(at, "part", "left").withColumn("kind", letters)
+        kinds = cut(split.where("at is not null").groupBy("part", "at", "kind").agg(F.sum("copies").alias("copies")))
+        cells = kinds.select("part", "kind", "copies", F.col("copies").alias("some"), F.posexplode("at").alias("i", "pos")).select("part", "kind", "copies", "some", "pos", F.substring("kind", F.col("i") + 1, F.lit(1)).alias("base"))
+        cells = cut(cells)
+        good = cut(passing(cells, "part", count, frequency))
+        best = cut(split_errors(cells, good, "part", "kind").groupBy("part").agg(F.min(F.struct("error", "pos")).alias("x")).select("part", "x.pos"))
+        own = cells.join(best, ["part", "pos"]).join(good.select("part", "pos", "base", F.lit(True).alias("ok")), ["part", "pos", "base"], "left").select("part", "kind", "pos", "base", F.coalesce("ok", F.lit(False)).alias("ok"))
+        told = cut(split.join(cut(own), ["part", "kind"], "left").select(group, "path", "row", "copies", "pos", "base", "ok"))
+        done.append(cut(told.where("not coalesce(ok, false)").select(group, "path", "row", F.col("ok").isNotNull().alias("deferred"))))
         step = F.concat(F.col("pos").cast("string"), "base")
-        new = cut(told.where("ok").select(group, F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), step).alias("path"), read, "row"))
-        discard(now, part, at, good, best, told)
+        new = cut(told.where("ok").select(group, "row", "copies", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), step).alias("path")))
+        discard(now, comp, at, kinds, cells, good, best, told)
         now = new
+    if not done:
+        return every.select(group, F.lit("").alias("path"), read, F.lit(False).alias("deferred"))
     for more in done[1:]:
         done[0] = done[0].union(more)
-    return done[0].select(*out) if done else now.select(group, "path", read, F.lit(False).alias("deferred"))
+    ends = done[0].withColumnRenamed(group, "of").withColumnRenamed("row", "end")
+    same = every[group].eqNullSafe(ends["of"]) & every["row"].eqNullSafe(ends["end"])
+    return every.join(ends, same).select(group, "path", read, "deferred")
 
 
 def read_errors(rows: DataFrame, consensus: DataFrame, group: str, read: str, aligned: str) -> DataFrame:
