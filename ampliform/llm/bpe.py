@@ -37,7 +37,7 @@ from .pairwise import NEVER, Machine
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Words memoised at most, the longest word that is, the states kept at most, and the ids that are handed over at once.
-MEMO, MEMO_WORD, STATES, RUN = 250_000, 64, 100_000, 1 << 16
+MEMO, MEMO_WORD, STATES, RUN = 500_000, 64, 200_000, 1 << 16
 
 
 def byte_letters() -> dict[str, int]:
