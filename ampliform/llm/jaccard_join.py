@@ -312,16 +312,36 @@ def _chunked(asked: DataFrame, held: DataFrame, sets: DataFrame, run, schema: st
 
 
 def _opened_links(repeated: DataFrame, texts: DataFrame, names: DataFrame, sketches: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
-    """A link of each query into each chunk of a larger group that holds one."""
+    """A link of each query into each larger group that holds one. A query asks one chunk of a group first, then twice as many each time, and no
+    more once it has a link, so those of a large group of near copies don't meet all of its chunks."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     groups = cut(groups.join(sizes, "component").select("node", "component", "members"))
-    queries = cut(_queries(repeated, groups, similar))
+    left = queries = cut(_queries(repeated, groups, similar))
     chunks = F.ceil(F.col("members") / MEMBERS)
-    asked = cut(queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).select("g", "chunk", "set_id"))
     wanted = queries.select("g", "members").distinct()
     alone = wanted.where("members = 1").select("g", F.lit(0).cast("long").alias("chunk"), F.col("g").alias("set_id"))
     held = wanted.where("members > 1").select("g").join(groups.toDF("set_id", "g", "members"), "g").select("g", F.pmod(F.xxhash64("set_id"), chunks).alias("chunk"), "set_id")
     held = cut(alone.union(held))
+    at, width, out = 0, 1, None
+    while True:
+        turn = lambda k: F.pmod(F.pmod(F.xxhash64("set_id"), chunks) + k, chunks)
+        if width == 1:
+            asked = cut(left.select("g", turn(F.lit(0)).alias("chunk"), "set_id"))
+        else:
+            k = F.explode(F.sequence(F.lit(at).cast("long"), F.least(F.lit(at + width), chunks) - 1)).alias("k")
+            asked = cut(left.select("g", "set_id", "members", k).select("g", turn(F.col("k")).alias("chunk"), "set_id"))
+        part = cut(held.join(asked.select("g", "chunk").distinct(), ["g", "chunk"]))
+        found = cut(_chunk_links(asked, part, left, texts, names, sketches, similar))
+        out = found.select("src", "dst") if out is None else out.union(found.select("src", "dst"))
+        at, width = at + width, 2 * width
+        linked = found.select("g", F.col("src").alias("set_id")).distinct()
+        left = cut(left.where(chunks > at).join(linked, ["g", "set_id"], "left_anti").select("set_id", "g", "members"))
+        if not left.limit(1).count():
+            return out
+
+
+def _chunk_links(asked: DataFrame, held: DataFrame, queries: DataFrame, texts: DataFrame, names: DataFrame, sketches: DataFrame, similar: int) -> DataFrame:
+    """(g, src, dst): a link of each query (g, chunk, set_id) into its chunk, if it holds one."""
 
     def bound(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         """The chunks that a query may overlap enough, by the bitmap of their union."""
@@ -372,12 +392,12 @@ def _opened_links(repeated: DataFrame, texts: DataFrame, names: DataFrame, sketc
                 both = np.bincount(owner[places], minlength=len(held_sets))
                 hit = np.flatnonzero(100 * both >= similar * (len(t) + size - both))
                 if len(hit):
-                    found.append((int(s), int(ids[hit[0]])))
+                    found.append((int(key[0]), int(s), int(ids[hit[0]])))
         _unpack.cache_clear()
         give_back()
-        return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+        return pd.DataFrame(found, columns=["g", "src", "dst"], dtype="int64")
 
-    return _chunked(opened, inside, sets, open_groups, "src long, dst long")
+    return _chunked(opened, inside, sets, open_groups, "g long, src long, dst long")
 
 
 def _components(docs: DataFrame, similar: int, text: str, doc_id: str) -> DataFrame:

@@ -551,3 +551,17 @@ def test_bpe_memo_holds_the_words_of_a_corpus():
         for i in range(345_000):  # distinct words of documents at sf0.1
             memo[str(i)]
     assert stub.asked == 345_000
+
+
+def test_jaccard_asks_no_further_chunk_once_linked(spark, monkeypatch):
+    asked = []
+    whole = jaccard_join._chunk_links
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 4)
+    monkeypatch.setattr(jaccard_join, "_chunk_links", lambda a, *more: (asked.append(a.count()), whole(a, *more))[1])
+    words = [f"w{i}" for i in range(40)]
+    # one large group of near copies, and sets that link with every member of it but begin no group with it
+    data = [(i, " ".join([*words, f"x{i}"])) for i in range(40)]
+    data += [(100 + i, " ".join([*words[:39], f"y{i}", f"z{i}"])) for i in range(3)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0} and len(got) == 43
+    assert sum(asked) <= 43  # chunks times queries before
