@@ -11,8 +11,10 @@ copies cost no pairs.
 The order is by a count sketch of all documents' tokens (``CELLS`` counters, bounded), then by hash: tokens of common
 passages come last, and lists of a token stay short. Tokens travel packed in arrays, and only repeated ones leave
 the first exchange; a token that very many sets have is salted by set there. Groups are dealt in chunks of
-``MEMBERS`` sets, each with its own union. A set's bitmap has two to four bits a token: each bit that one set has and
-another lacks is a token that the other lacks, so the bitmaps' bound never rules a link out.
+``MEMBERS`` sets, each with its own union. Near copies of one text that lie just too far apart have no group: the sets without
+one that share a token meet block by block, and only pairs that may link become rows; looking at them still grows with
+the square of their number. A set's bitmap has two to four bits a token: each bit that one set has and another lacks
+is a token that the other lacks, so the bitmaps' bound never rules a link out.
 
 Edge cases: a null text, or one without words, has the empty set and links with nothing; a text of one to four words is
 one shingle; equal texts are one class whatever their number; rows repeating a doc_id are alike; a null doc_id
@@ -40,6 +42,8 @@ WORDS, SIMILAR, CELLS, MEMBERS = 5, 75, 1 << 21, 512
 _SEGMENT = 1 << 16
 #: The class of count from which a token is salted by its sets; it passes as repeated without a count.
 _HOT = 17
+#: A token that more than LONG sets without a group have; their pairs are looked at in cells of two blocks of about BLOCK of them.
+LONG, BLOCK = 16, 256
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
@@ -289,10 +293,56 @@ def _star_links(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return pairs.join(t, "src").join(u, "dst").where(linked("a", "b")).select("src", "dst")
 
 
-def _queries(repeated: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
-    """(set_id, g, size): the larger groups that share a prefix token with a set, as far as sizes and places admit a link."""
-    named = repeated.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("h", "set_id", "size", "place", F.coalesce("component", "set_id").alias("g"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
-    index = named.groupBy("h", F.col("g").alias("to"), F.col("members").alias("to_members")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("place").alias("to_place"))
+def _named(repeated: DataFrame, groups: DataFrame) -> DataFrame:
+    """(h, set_id, size, place, g, members): each token of a set with the set's group, which is the set itself if it has no link yet."""
+    return repeated.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("h", "set_id", "size", "place", F.coalesce("component", "set_id").alias("g"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
+
+
+def _near_rows(ids: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, block: np.ndarray, a: int, b: int, similar: int) -> Iterator[tuple[int, int]]:
+    """The pairs of one token's sets, one of block a and one of block b, that sizes, places and bitmaps don't rule out."""
+    one, two = np.flatnonzero(block == a), np.flatnonzero(block == b)
+    size = np.array([len(x) for x in bits])
+    rest = n - place * n / 256.0  # from the token on; places are rounded down
+    for k, i in enumerate(one):
+        j = two[k + 1 :] if a == b else two
+        need = np.ceil(similar * (n[i] + n[j]) / (100 + similar) - 1e-6)
+        j = j[np.minimum(rest[i], rest[j]) >= need - 1e-6]
+        x = np.frombuffer(bits[i], np.uint8)
+        for w in np.unique(size[j]):
+            at = j[size[j] == w]
+            y, least = np.frombuffer(b"".join(bits[at]), np.uint8).reshape(len(at), w), min(w, len(x))
+            y, z = np.bitwise_or.reduce(y.reshape(len(at), -1, least), axis=1), _fold(x, least)
+            need = np.ceil(similar * (n[i] + n[at]) / (100 + similar) - 1e-6)
+            may = (np.bitwise_count(z & ~y).sum(axis=1) <= n[i] - need) & (np.bitwise_count(y & ~z).sum(axis=1) <= n[at] - need)
+            for other in ids[at[may]]:
+                yield int(ids[i]), int(other)
+
+
+def _single_pairs(named: DataFrame, long: DataFrame, sketches: DataFrame, similar: int) -> DataFrame:
+    """(src, dst): the pairs of sets without a group that share a token of ``long`` (h, sets), as far as sizes, places and bitmaps
+    admit a link. A token's sets are dealt into blocks and meet in cells of two blocks, so only pairs that may link become rows."""
+    blocks = F.ceil(F.col("sets") / BLOCK)
+    entries = named.where("members = 1").join(long, "h").select("h", "set_id", "place", F.pmod(F.xxhash64("h", "set_id"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    cells = cut(entries.select("h", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "set_id", "place"))
+    buckets = max(16, cells.count() // 2000)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: set[tuple[int, int]] = set()
+        for (_, a, b), c in pdf.groupby(["h", "a", "b"]):
+            c = c.sort_values("set_id")
+            found.update(_near_rows(*(c[k].to_numpy() for k in ("set_id", "n", "place", "bits", "block")), a, b, similar))
+        give_back()
+        return pd.DataFrame([(max(p), min(p)) for p in found], columns=["src", "dst"], dtype="int64")
+
+    dealt = cells.join(sketches, "set_id").select(F.pmod(F.xxhash64("h", "a", "b"), F.lit(buckets)).alias("bucket"), "h", "a", "b", "block", "set_id", "place", "n", "bits")
+    return dealt.groupBy("bucket").applyInPandas(run, "src long, dst long").distinct()
+
+
+def _queries(named: DataFrame, long: DataFrame, similar: int) -> DataFrame:
+    """(set_id, g, size): the larger groups that share a prefix token with a set, as far as sizes and places admit a link; without the
+    pairs of `_single_pairs`."""
+    told = named.join(long.select("h", F.lit(True).alias("long")), "h", "left").where("members > 1 or long is null").select(*named.columns)
+    index = told.groupBy("h", F.col("g").alias("to"), F.col("members").alias("to_members")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("place").alias("to_place"))
     larger = (F.col("to_members") > F.col("members")) | (F.col("to_members") == F.col("members")) & (F.col("to") < F.col("g"))
     # the bound of _may_link_bytes at the size of a member that favours it
     share = similar / (100 + similar)
@@ -316,13 +366,19 @@ def _opened_links(repeated: DataFrame, texts: DataFrame, names: DataFrame, sketc
     more once it has a link, so those of a large group of near copies don't meet all of its chunks."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     groups = cut(groups.join(sizes, "component").select("node", "component", "members"))
-    left = queries = cut(_queries(repeated, groups, similar))
+    named = _named(repeated, groups)
+    long = cut(named.where("members = 1").groupBy("h").agg(F.count("*").alias("sets")).where(F.col("sets") > LONG))
+    near = cut(_single_pairs(named, long, sketches, similar))
+    sets = cut(_texts_of(texts, near.select("src").union(near.select("dst")).distinct().toDF("set_id"), names))
+    out = cut(_star_links(near, sets, similar))
+    discard(near, sets)
+    left = queries = cut(_queries(named, long, similar))
     chunks = F.ceil(F.col("members") / MEMBERS)
     wanted = queries.select("g", "members").distinct()
     alone = wanted.where("members = 1").select("g", F.lit(0).cast("long").alias("chunk"), F.col("g").alias("set_id"))
     held = wanted.where("members > 1").select("g").join(groups.toDF("set_id", "g", "members"), "g").select("g", F.pmod(F.xxhash64("set_id"), chunks).alias("chunk"), "set_id")
     held = cut(alone.union(held))
-    at, width, out = 0, 1, None
+    at, width = 0, 1
     while True:
         turn = lambda k: F.pmod(F.pmod(F.xxhash64("set_id"), chunks) + k, chunks)
         if width == 1:
@@ -332,7 +388,7 @@ def _opened_links(repeated: DataFrame, texts: DataFrame, names: DataFrame, sketc
             asked = cut(left.select("g", "set_id", "members", k).select("g", turn(F.col("k")).alias("chunk"), "set_id"))
         part = cut(held.join(asked.select("g", "chunk").distinct(), ["g", "chunk"]))
         found = cut(_chunk_links(asked, part, left, texts, names, sketches, similar))
-        out = found.select("src", "dst") if out is None else out.union(found.select("src", "dst"))
+        out = out.union(found.select("src", "dst"))
         at, width = at + width, 2 * width
         linked = found.select("g", F.col("src").alias("set_id")).distinct()
         left = cut(left.where(chunks > at).join(linked, ["g", "set_id"], "left_anti").select("set_id", "g", "members"))

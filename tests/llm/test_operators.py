@@ -565,3 +565,30 @@ def test_jaccard_asks_no_further_chunk_once_linked(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard_join.join_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert set(got.values()) == {0} and len(got) == 43
     assert sum(asked) <= 43  # chunks times queries before
+
+
+def test_jaccard_sets_without_a_group_meet_in_blocks(spark, monkeypatch):
+    """Near copies of one text that lie just too far apart to link are no query each to all others."""
+    asked, whole = [], jaccard_join._chunk_links
+    monkeypatch.setattr(jaccard_join, "_chunk_links", lambda a, *more: (asked.append(a.count()), whole(a, *more))[1])
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    data = []
+    for i in range(90):
+        words = list(base)
+        for j in rng.sample(range(5, 75, 5), 2):
+            words[j] = f"x{i}_{j}"
+        data.append((i, " ".join(words)))
+        if i % 30 == 0:  # some link with a copy of their own
+            words[77] = f"y{i}"
+            data.append((1000 + i, " ".join(words)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(76)} for i, t in data}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert 3 <= len(links) < 200
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    for block in (256, 7):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block, raising=False)
+        asked.clear()
+        got = jaccard_join.join_classes(frame).collect()
+        assert {r.doc_id: r.component_id for r in got} == components(sets, links)
+        assert sum(asked) <= 10 * len(data)  # pairs of sets before
