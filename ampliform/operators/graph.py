@@ -98,7 +98,7 @@ def connected(e: DataFrame, keys: tuple[str, ...] = (), rounds: int = 100) -> Da
         discard(low, e)
         e, before = new, state
         mark = F.xxhash64(*keys, "src", "dst")
-        state = e.agg(F.count("*"), F.bit_xor(mark), F.sum(F.shiftright(mark, 8))).first()
+        state = e.agg(F.count("*"), F.bit_xor(mark), F.sum(F.shiftright(mark, 32))).first()  # upper halves: the sum holds for 2^32 edges
         if state == before:
             return e.select(*keys, F.col("src").alias("node"), F.col("dst").alias("component")).union(e.select(*keys, "dst", "dst").distinct())
     raise RuntimeError("the stars did not settle")

@@ -155,3 +155,11 @@ def test_edges(spark, size):
     assert {(x.src, x.dst): x.sim for x in e().collect()} == want
     assert "BroadcastHashJoin" not in plan(graph.candidate_pairs(r, "g", "id", "seq", 24))
     assert plan(graph.star_centres(e(), "g")).count("levenshtein") == plan(e()).count("levenshtein")
+
+
+def test_connected_counts_many_edges(spark, monkeypatch):
+    """The marks of a round's edges are added up; those of a few hundred thousand passed 2^63. Here the largest mark stands for many."""
+    monkeypatch.setattr(graph.F, "xxhash64", lambda *c: graph.F.lit((1 << 63) - 1))
+    e = spark.range(300).selectExpr("2 * id + 1 as src", "2 * id as dst")
+    found = {r.node: r.component for r in graph.connected(e).collect()}
+    assert found == {n: n - n % 2 for n in range(600)}
