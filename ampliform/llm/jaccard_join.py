@@ -8,8 +8,8 @@ token among the rarest quarter of each, whatever fixed order the tokens have); t
 opened groups compare members. A query needs one link into a group, as the group is connected already, so groups of
 copies cost no pairs.
 
-The order is by a count sketch of all documents' tokens (``CELLS`` counters, bounded), then by hash: tokens of common
-passages come last, and lists of a token stay short. Tokens travel packed in arrays, and only repeated ones leave
+The order is by a count sketch of all documents' tokens (``CELLS`` counters, up to eight times as many by the number of rows, so a counter
+stands for about as many tokens at any size up to there), then by hash: tokens of common passages come last, and lists of a token stay short. Tokens travel packed in arrays, and only repeated ones leave
 the first exchange; a token that very many sets have is salted by set there. Groups are dealt in chunks of
 ``MEMBERS`` sets, each with its own union. Near copies of one text that lie just too far apart have no group: the sets without
 one that share a token meet block by block, and only pairs that may link become rows; looking at them still grows with
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import batched_words, connected_components, cut, discard, fresh, give_back, group_rows, mix, pieces, utf8
 from .exact_dedup import lookup, repeated_filter
 
-#: Words of a shingle, the similarity in hundredths, counters of the sketch, sets of a chunk of a group.
+#: Words of a shingle, the similarity in hundredths, counters of the sketch at least, sets of a chunk of a group.
 WORDS, SIMILAR, CELLS, MEMBERS = 5, 75, 1 << 21, 512
 _SEGMENT = 1 << 16
 #: The class of count from which a token is salted by its sets; it passes as repeated without a count.
@@ -104,33 +104,37 @@ def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("th"))
 
 
-def _classes_and_sketch(texts: DataFrame) -> DataFrame:
+def _cells(rows: int) -> int:
+    """Counters of the sketch for so many documents: eight each, a power of two from ``CELLS`` to 8 * ``CELLS`` (a byte each once merged)."""
+    return min(8 * CELLS, max(CELLS, 1 << (8 * max(1, rows) - 1).bit_length()))
+
+
+def _cell(tokens: np.ndarray, cells: int) -> np.ndarray:
+    """The counter of each token: the first bits of its hash."""
+    return (tokens >> np.uint64(65 - cells.bit_length())).view(np.int64)
+
+
+def _classes_and_sketch(texts: DataFrame, cells: int) -> DataFrame:
     """Rows of two kinds: (doc_id, th, n, set_id, bits) of each document, the bitmap with the first of a partition's equal sets,
     and (seg, at, count) pieces of the token counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(cells, np.uint32)
         names = ["doc_id", "th", "n", "set_id", "bits", "seg", "at", "count"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         seen: set[int] = set()
         for b in pieces(batches, 512):
-            n, ids, bits, held, size = [0] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows, [], 0
+            n, ids, bits = [0] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
             for i, s in shingle_sets(utf8(b.column(1))):
                 n[i], ids[i] = len(s), set_id(s)
                 if ids[i] not in seen:
                     seen.add(ids[i])
                     bits[i] = bitmap(s)
-                held.append(s >> np.uint64(43))
-                size += len(s)
-                if size > 250_000:
-                    total += np.bincount(np.concatenate(held).view(np.int64), minlength=CELLS)
-                    held, size = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held).view(np.int64), minlength=CELLS)
+                np.add.at(total, _cell(s, cells), np.uint32(1))
             none = pa.nulls(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, kinds[2]), pa.array(ids, kinds[3]), pa.array(bits, kinds[4]), *(none.cast(k) for k in kinds[5:])], names=names)
         out = []
-        for seg in range(CELLS // _SEGMENT):
+        for seg in range(cells // _SEGMENT):
             part = total[seg * _SEGMENT : (seg + 1) * _SEGMENT]
             at = np.flatnonzero(part)
             if len(at):
@@ -144,7 +148,7 @@ def _classes_and_sketch(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, th long, n long, set_id long, bits binary, seg int, at binary, count binary")
 
 
-def _order(pieces: DataFrame) -> np.ndarray:
+def _order(pieces: DataFrame, cells: int) -> np.ndarray:
     """The class (the logarithm of the count) of each cell of the sketch."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,7 +157,7 @@ def _order(pieces: DataFrame) -> np.ndarray:
             total[np.cumsum(np.frombuffer(zlib.decompress(gaps), np.uint16), dtype=np.int64)] += np.frombuffer(zlib.decompress(count), np.int32)
         return pd.DataFrame({"seg": pdf["seg"].iloc[:1], "cls": [np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
 
-    out = np.zeros(CELLS, np.uint8)
+    out = np.zeros(cells, np.uint8)
     for r in pieces.groupBy("seg").applyInPandas(add, "seg int, cls binary").toLocalIterator():
         out[r.seg * _SEGMENT : (r.seg + 1) * _SEGMENT] = np.frombuffer(r.cls, np.uint8)
     return out
@@ -162,7 +166,7 @@ def _order(pieces: DataFrame) -> np.ndarray:
 def _prefix(tokens: np.ndarray, cls: np.ndarray, similar: int) -> np.ndarray:
     """The rarest tokens: two sets that link have one of these in common."""
     keep = len(tokens) - -(-similar * len(tokens) // 100) + 1
-    order = np.argsort(cls[(tokens >> np.uint64(43)).astype(np.int64)], kind="stable")  # tokens are sorted by hash
+    order = np.argsort(cls[_cell(tokens, len(cls))], kind="stable")  # tokens are sorted by hash
     return tokens[order[:keep]]
 
 
@@ -207,7 +211,7 @@ def _repeated_tokens(texts: DataFrame, cls, similar: int, buckets: int) -> DataF
             if not hs:
                 continue
             v = {"h": np.concatenate(hs), "i": np.concatenate(ids), "n": np.concatenate(ns), "p": np.concatenate(ps)}
-            hot = cls.value[(v["h"] >> np.uint64(43)).astype(np.int64)] >= _HOT
+            hot = cls.value[_cell(v["h"], len(cls.value))] >= _HOT
             to = (mix(np.where(hot, v["h"] ^ v["i"].view(np.uint64), v["h"])) % np.uint64(buckets)).astype(np.int64)
             out = list(group_rows(v, to))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), *(pa.array([x[c].tobytes() for _, x in out], pa.binary()) for c in "hinp")], names=["bucket", *"hinp"])
@@ -226,7 +230,7 @@ def _repeated_tokens(texts: DataFrame, cls, similar: int, buckets: int) -> DataF
         at = np.flatnonzero(first)
         size = np.diff(np.append(at, len(h)))
         two = at[size == 2]
-        keep = np.repeat(size > 2, size) | (cls.value[(h >> np.uint64(43)).astype(np.int64)] >= _HOT)
+        keep = np.repeat(size > 2, size) | (cls.value[_cell(h, len(cls.value))] >= _HOT)
         fits = _may_link_bytes(n, p, two, two + 1, similar)
         keep[two[fits]] = keep[two[fits] + 1] = True
         centre = np.repeat(at, size)
@@ -459,10 +463,11 @@ def _chunk_links(asked: DataFrame, held: DataFrame, queries: DataFrame, texts: D
 def _components(docs: DataFrame, similar: int, text: str, doc_id: str) -> DataFrame:
     """(doc_id, th, n_shingles, root, component_id) of each row; root is null for the empty set."""
     spark, texts = docs.sparkSession, _texts(docs, text, doc_id)
-    both = cut(_classes_and_sketch(texts))
+    cells = _cells(docs.count())
+    both = cut(_classes_and_sketch(texts, cells))
     rows = both.where("seg is null").select("doc_id", "th", "n", "set_id")
     own = both.where("bits is not null").groupBy("set_id").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.first("bits").alias("bits"))
-    cls = spark.sparkContext.broadcast(_order(both.where("seg is not null").select("seg", "at", "count")))
+    cls = spark.sparkContext.broadcast(_order(both.where("seg is not null").select("seg", "at", "count"), cells))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     repeated = cut(_repeated_tokens(texts, cls, similar, max(16, total // 1_000_000)))
     wanted = own.join(repeated.select("set_id").distinct(), "set_id", "left_semi")

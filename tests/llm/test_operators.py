@@ -592,3 +592,14 @@ def test_jaccard_sets_without_a_group_meet_in_blocks(spark, monkeypatch):
         got = jaccard_join.join_classes(frame).collect()
         assert {r.doc_id: r.component_id for r in got} == components(sets, links)
         assert sum(asked) <= 10 * len(data)  # pairs of sets before
+
+
+def test_jaccard_sketch_grows(spark, monkeypatch):
+    """A token of many documents and a unique one stay apart in the order at any number of documents; results don't hang on the counters."""
+    rows, most = [1, 256_410, 262_145, 769_230, 10**9], 8 * jaccard_join.CELLS
+    assert [jaccard_join._cells(n) for n in rows] == [jaccard_join.CELLS, jaccard_join.CELLS, 2 * jaccard_join.CELLS, 4 * jaccard_join.CELLS, most]
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 3}x{k + (i % 3) // 2}" for k in range(60))) for i in range(30)], "doc_id long, text string")
+    want = sorted(map(tuple, jaccard_join.join_classes(docs).collect()))
+    monkeypatch.setattr(jaccard_join, "_cells", lambda n: 2 * jaccard_join.CELLS)
+    assert sorted(map(tuple, jaccard_join.join_classes(docs).collect())) == want
+    assert {c for _, _, c in want} == {3 * g for g in range(10)}
