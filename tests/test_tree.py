@@ -46,3 +46,27 @@ def test_circles(spark):
     with pytest.raises(ValueError, match="circle"):
         tree.paths(spark.createDataFrame([(1, 1, 2, 1), (1, 2, 1, 1)], SCHEMA), ["g"], "name", "parent", "size")
     assert tree.reading_order(spark.createDataFrame([], SCHEMA), ["g"], "name", "parent", "size").count() == 0
+
+
+def test_trees_are_walked_whole(spark, monkeypatch):
+    """Small trees take no rounds over paths, whose size grows with the square of a deep tree; larger ones still do, and both draw the same."""
+    rng = random.Random(8)
+    data = [(g, 1000 * g + i, None if i < 2 else 1000 * g + max(0, i - 1 - rng.randrange(3)), rng.randrange(1, 9)) for g, n in ((1, 400), (2, 30), (3, 600)) for i in range(n)]
+    data.append((None, 5000, 1001, 1))
+    want = {}
+    for g in (1, 2, 3, None):
+        want |= walk([r[1:] for r in data if r[0] == g])
+    rows = spark.createDataFrame(data, SCHEMA)
+    draw = lambda: {r.name: (r.depth, r.place, r.lead) for r in tree.reading_order(rows, ["g"], "name", "parent", "size").collect()}
+    monkeypatch.setattr(tree, "BYTES", 5000)
+    asked, paths = [], tree.paths
+    monkeypatch.setattr(tree, "paths", lambda n, *a: (asked.append(n.select("g").distinct().count()), paths(n, *a))[1])
+    assert draw() == want and not asked
+    assert max(d for d, _, _ in want.values()) > 2 * tree.BLOCK
+    monkeypatch.setattr(tree, "WHOLE", 500)
+    assert draw() == want and asked == [1]
+
+
+def test_circles_in_a_walk(spark):
+    with pytest.raises(Exception, match="circle"):
+        tree.reading_order(spark.createDataFrame([(1, 1, None, 1), (1, 2, 3, 1), (1, 3, 2, 1)], SCHEMA), ["g"], "name", "parent", "size").collect()
