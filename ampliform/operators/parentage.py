@@ -1,8 +1,10 @@
 """The most similar larger sequence of each, among the distinct sequences of a group: exact, without comparing all pairs.
 
 Sequences come in order (largest first), cut into slices of a bounded number of letters; each slice meets itself and every earlier one in a cell
-of its own, so a large group is many tasks'. Within a cell, sequences that share a piece form parts: one without any of its ``m`` pieces is ``m`` edits
-away at least, so a sequence looks beyond its part only if nothing in it is nearer than that. Within a part, candidates are tried best first by
+of its own, so a large group is many tasks'. Within a cell, larger sequences a single edit away are looked up by hashes of what is left without one
+letter, which is linear; only sequences without one are compared, and nothing is nearer to these than two edits. Sequences that share a piece form parts: one without any of its ``m`` pieces is ``m`` edits
+away at least, so a sequence looks beyond its part only if nothing in it is nearer than that; then the edits to the first of each part, and from
+there to the others, bound the edits to all of them from below. Within a part, candidates are tried best first by
 the edits that their four-letter words admit at least, and trying ends when no bound beats, or equals and precedes, the best one found.
 """
 
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .tables import cut
 
-#: Letters of a slice and of a bucket of cells, of a piece, of a word; rows of a block; pairs of a step; entries of matrices held at a time.
-SLICE, BUCKET, PIECE, WORD, BLOCK, PAIRS, LIVE = 1_500_000, 2_000_000, 12, 4, 256, 4096, 4_000_000
+#: Letters of a slice and of a bucket of cells, of a piece, of a word; rows of a block; pairs of a step; entries of matrices held at a time; rows of
+#: a part whose first one bounds the others.
+SLICE, BUCKET, PIECE, WORD, BLOCK, PAIRS, LIVE, LED = 5_000_000, 2_000_000, 16, 4, 256, 4096, 4_000_000, 8
 
 
 class Texts:
@@ -116,11 +119,63 @@ def _parts(x: Texts, cell: np.ndarray, asked: np.ndarray, held: np.ndarray) -> n
     return np.unique(cell, return_index=True)[1][np.unique(cell, return_inverse=True)[1]]  # a long chain: whole cells
 
 
-def _search(x: Texts, asked: np.ndarray, held: np.ndarray, need: np.ndarray, have: np.ndarray):
-    """Asks for the edits of pairs of rows until the best of ``held`` (in order) is known for each of ``asked``; gives (asked row, held row, edits)."""
+def _first(keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The first of ``rows`` (ascending) with each wanted key; -1 if none has it."""
+    kinds, at = np.unique(keys, return_index=True)
+    if not len(kinds):
+        return np.full(len(wanted), -1)
+    to = np.minimum(np.searchsorted(kinds, wanted), len(kinds) - 1)
+    return np.where(kinds[to] == wanted, rows[at[to]], -1)
+
+
+def _single_edits(x: Texts, cell: np.ndarray, asked: np.ndarray, held: np.ndarray, need: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """The best of ``held`` (largest first) that is larger and a single edit away for each of ``asked``, -1 if none is, as far as hashes tell.
+
+    Of equal letters but one, both leave the same without that place; of a letter more, the longer leaves the shorter. The first row of
+    a hash is the largest, so no pairs are made."""
+    base, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    power = np.ones(x.code.shape[1] + 1, np.uint64)
+    np.multiply.accumulate(np.full(x.code.shape[1], base), out=power[1:])
+    own = cell.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    named = lambda h, size: (h ^ own) * base + size.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    letter = lambda k: (x.code[:, k].astype(np.uint64) + np.uint64(1)) * (k < x.size)
+    total = np.zeros(len(x.size), np.uint64)
+    for k in range(x.code.shape[1]):
+        total += letter(k) * power[k]
+    whole, before = named(total, x.size), np.zeros(len(x.size), np.uint64)
+    none, most = len(x.size), int(x.size.max(initial=0))
+    longer, same = np.full(len(asked), none), np.full(len(asked), none)  # of the candidates of a letter more, and of no more letters, the first
+
+    def take(into: np.ndarray, at: np.ndarray, row: np.ndarray) -> None:
+        ok = (row >= 0) & (have[row] > need[asked[at]])
+        into[at[ok]] = np.minimum(into[at[ok]], row[ok])
+
+    every = np.arange(len(asked))
+    for k in range(most):
+        here = letter(k) * power[k]
+        left = named(before + (total - before - here) * back, x.size - 1)  # without the letter at k
+        before += here
+        h, at = held[x.size[held] > k], every[x.size[asked] > k]
+        take(same, at, _first(left[h], h, left[asked[at]]))
+        take(longer, every, _first(left[h], h, whole[asked]))
+        take(same, at, _first(whole[held], held, left[asked[at]]))
+    n = np.maximum(x.size[asked], 1)
+    one, two = np.round(1 - 1 / (n + 1), 9), np.round(1 - 1 / n, 9)
+    best = np.where((longer < none) & ((same == none) | (one > two) | (longer < same)), longer, same)
+    return np.where(best < none, best, -1)
+
+
+def _search(x: Texts, asked: np.ndarray, held: np.ndarray, need: np.ndarray, have: np.ndarray, least: np.ndarray, leader: np.ndarray, reach: np.ndarray):
+    """Asks for the edits of pairs of rows until the best of ``held`` (in order) is known for each of ``asked``, which are ``least`` edits away from all
+    larger ones; gives (asked row, held row, edits)."""
     common = x.words[asked].astype(np.float32) @ x.words[held].astype(np.float32).T
     lacking = np.maximum(x.kinds[asked][:, None], x.kinds[held][None, :]) - common
-    low = np.maximum(np.ceil(lacking / WORD), np.maximum(1, np.abs(x.size[asked][:, None] - x.size[held][None, :])))
+    low = np.maximum(np.ceil(lacking / WORD), np.maximum(least[asked][:, None], np.abs(x.size[asked][:, None] - x.size[held][None, :])))
+    led = np.flatnonzero(leader[held] >= 0)
+    if len(led):  # edits keep the triangle inequality
+        leaders, at = np.unique(leader[held[led]], return_inverse=True)
+        e = yield np.repeat(asked, len(leaders)), np.tile(leaders, len(asked))
+        low[:, led] = np.maximum(low[:, led], np.abs(e.reshape(len(asked), -1)[:, at] - reach[held[led]][None, :]))
     longer = np.maximum(np.maximum(x.size[asked][:, None], x.size[held][None, :]), 1)
     may = np.where(have[held][None, :] > need[asked][:, None], np.round(1 - low / longer, 9), -1.0)
     known, found = np.zeros(may.shape, bool), np.zeros(may.shape, np.int32)
@@ -136,7 +191,9 @@ def _search(x: Texts, asked: np.ndarray, held: np.ndarray, need: np.ndarray, hav
             k = min(len(held), 8 << min(turn, 20))
             more = np.argpartition(-np.where(known[rows], -1.0, may[rows]), k - 1, axis=1)[:, :k]
             r, c = np.concatenate([r, np.repeat(rows, k)]), np.concatenate([c, more.ravel()])
-            fit = (may[r, c] >= 0) & ~known[r, c]
+            found_best = np.full(len(may), -1.0)
+            found_best[rows] = np.where(known[rows], may[rows], -1.0).max(axis=1)
+            fit = (may[r, c] >= np.maximum(found_best[r], 0)) & ~known[r, c]
             r, c = np.divmod(np.unique(r[fit] * len(held) + c[fit]), len(held))
         e = yield asked[r], held[c]
         found[r, c], known[r, c] = e, True
@@ -147,8 +204,9 @@ def _search(x: Texts, asked: np.ndarray, held: np.ndarray, need: np.ndarray, hav
     return asked[ok], held[first[ok]], found[ok, first[ok]]
 
 
-def _together(x: Texts, jobs: Iterator[tuple[np.ndarray, np.ndarray]], need: np.ndarray, have: np.ndarray, best: np.ndarray, cost: np.ndarray) -> None:
-    """Runs searches side by side, their pairs in one step; what they find goes into best and cost by row."""
+def _together(x: Texts, jobs: Iterator[tuple[np.ndarray, np.ndarray]], need: np.ndarray, have: np.ndarray, least: np.ndarray, leader: np.ndarray, reach: np.ndarray, best: np.ndarray, cost: np.ndarray) -> None:
+    """Runs searches side by side, their pairs in one step; what they find goes into best and cost by row. Rows have a leader, or -1, that is ``reach``
+    edits away."""
     live: list = []
     entries, more = 0, True
     while more or live:
@@ -157,7 +215,7 @@ def _together(x: Texts, jobs: Iterator[tuple[np.ndarray, np.ndarray]], need: np.
                 more = False
                 break
             size = len(job[0]) * len(job[1])
-            live.append([_search(x, *job, need, have), None, size])
+            live.append([_search(x, *job, need, have, least, leader, reach), None, size])
             entries += size
         wanted, left = [], []
         for one in live:
@@ -183,9 +241,9 @@ def _jobs(asked: np.ndarray, held: np.ndarray, key: np.ndarray, need: np.ndarray
     for a0, a1, h0, h1 in zip(*edges, strict=True):
         one, other = a[a0:a1], h[h0:h1]
         if len(other):
-            one = one[need[one] < have[other].max()]
-            for k in range(0, len(one), BLOCK):
-                yield one[k : k + BLOCK], other
+            one, rows = one[need[one] < have[other].max()], max(1, min(BLOCK, LIVE // len(other)))
+            for k in range(0, len(one), rows):
+                yield one[k : k + rows], other
 
 
 def nearest_larger(texts: list[str], size: np.ndarray, first: np.ndarray, cell: np.ndarray, asked: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,13 +253,26 @@ def nearest_larger(texts: list[str], size: np.ndarray, first: np.ndarray, cell:
     have = np.where(first, np.inf, np.where(np.isnan(size), -np.inf, size))
     need = np.where(first, np.inf, np.where(np.isnan(size), np.finfo(float).max, size))
     best, cost = np.full(len(texts), -1), np.full(len(texts), -1, np.int32)
+    one = _single_edits(x, cell, asked, held, need, have)
+    hit = one >= 0
+    least = np.full(len(texts), 2)
+    least[asked[hit]] = 1
+    hit[hit] = x.edits(asked[hit], one[hit]) == 1
+    best[asked[hit]], cost[asked[hit]] = one[hit], 1
+    asked = asked[~hit | (x.size[asked] < 3)]  # of shorter ones, a longer one two edits away may be as similar
     part = _parts(x, cell, asked, held)
-    _together(x, _jobs(asked, held, part, need, have), need, have, best, cost)
+    leader, reach = np.full(len(texts), -1), np.zeros(len(texts), np.int32)
+    _together(x, _jobs(asked, held, part, need, have), need, have, least, leader, reach, best, cost)
     # what shares no piece is as many edits away as there are pieces
     n = x.size[asked]
     longer = np.maximum(np.maximum(n, x.size[np.maximum(best[asked], 0)]), 1)
     sure = (best[asked] >= 0) & (1 - cost[asked] / longer > n / np.maximum(n + n // PIECE, 1) + 1e-8)
-    _together(x, _jobs(asked[~sure], held, cell, need, have), need, have, best, cost)
+    if not sure.all():
+        _, first_of, at, n = np.unique(part[held], return_index=True, return_inverse=True, return_counts=True)
+        led = n[at] >= LED
+        leader[held[led]] = held[first_of[at[led]]]
+        reach[held[led]] = x.edits(leader[held[led]], held[led])
+    _together(x, _jobs(asked[~sure], held, cell, need, have), need, have, least, leader, reach, best, cost)
     return best, cost
 
 

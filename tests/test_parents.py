@@ -75,3 +75,39 @@ def test_pairs_tried_do_not_grow_with_the_square_of_a_group(monkeypatch):
     n = len(texts)
     parentage.nearest_larger(texts, np.arange(n, 0, -1).astype(float), np.arange(n) == 0, np.zeros(n, int), np.arange(n), np.arange(n))
     assert sum(tried) < 40 * n < n * n / 20
+
+
+def all_pairs(texts, size):
+    """(row, edits) of the best larger row of each, over all pairs; rows in order, the first has none."""
+    x, n = parentage.Texts(texts), len(texts)
+    e = x.edits(np.repeat(np.arange(n), n), np.tile(np.arange(n), n)).reshape(n, n)
+    longer = np.maximum(np.maximum(x.size[:, None], x.size[None, :]), 1)
+    may = np.where((size[None, :] > size[:, None]) | (np.arange(n) == 0)[None, :], np.round(1 - e / longer, 9), -1.0)
+    best = may.argmax(axis=1)
+    best[0], cost = -1, e[np.arange(n), best]
+    return best.tolist(), [-1, *cost[1:].tolist()]
+
+
+def test_clusters_without_a_larger_neighbour_are_not_compared_one_by_one(monkeypatch):
+    tried = []
+    edits = parentage.Texts.edits
+    monkeypatch.setattr(parentage.Texts, "edits", lambda x, a, b: (tried.append(len(a)), edits(x, a, b))[1])
+    rnd = random.Random(11)
+    centres = ["".join(rnd.choice("ACGT") for _ in range(96)) for _ in range(12)]
+    texts = list(dict.fromkeys(t for c in centres for t in (c, *(changed(rnd, c) for _ in range(60)))))
+    size = np.array([100.0 - min(k for k, c in enumerate(centres) if distance(c, t) < 12) for t in texts])
+    n = len(texts)
+    best, cost = parentage.nearest_larger(texts, size, np.arange(n) == 0, np.zeros(n, int), np.arange(n), np.arange(n))
+    assert sum(tried) < (size[:, None] < size[None, :]).sum() / 4
+    assert (best.tolist(), cost.tolist()) == all_pairs(texts, size)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_single_edits_of_short_texts(seed):
+    rnd = random.Random(seed)
+    texts = list({"".join(rnd.choice("AC" if seed % 2 else "ACGTé") for _ in range(rnd.randrange(0, 7))) for _ in range(150)})
+    rnd.shuffle(texts)
+    n = len(texts)
+    size = np.array(sorted((rnd.randrange(30) for _ in texts), reverse=True), float)
+    best, cost = parentage.nearest_larger(texts, size, np.arange(n) == 0, np.zeros(n, int), np.arange(n), np.arange(n))
+    assert (best.tolist(), cost.tolist()) == all_pairs(texts, size)
